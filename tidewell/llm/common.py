@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only where ``rows`` counted rows of ``row_bytes`` stay under the bound; else the planner decides."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a session, so functions that need it can be loaded there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewell_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidewell-"), "tidewell_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    sc._tidewell_shipped = True

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD, documents, materialise
+from tidewell.llm.common import WORD, documents, materialise, ship
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -147,6 +147,8 @@ def cut(text: str, ranges: list) -> list[str]:
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each full repeat of a text and for each picked part."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("array<string>")
     def parts(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([cut(t or "", [(r["lo"], r["hi"]) for r in rs]) if len(rs) else [] for t, rs in zip(texts, ranges, strict=True)], dtype=object)
