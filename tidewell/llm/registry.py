@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewell.llm import chat, exact_dedup, language_id, licenses, mixing, near_dedup, pieces, quality, sharding
+from tidewell.llm import chat, exact_dedup, language_id, licenses, line_dedup, mixing, near_dedup, pieces, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_chat_formatting": chat.op4_chat_formatting,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_sharding": sharding.oracle(), "op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op5_sharding": sharding.oracle(), "op7_exact_dedup": exact_dedup.ORACLE}
