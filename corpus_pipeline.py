@@ -1,15 +1,57 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: five stages, each one of the operators in ``tidewell.llm``.
+
+Every stage takes ``(spark, docs, sf_dir)``, works on all documents that the one before kept, and returns a DataFrame
+with the columns of ``documents``; the last returns the encoded corpus. A runner may write each stage's result and read
+it back, and ``run`` does so in the shared folder, so that no plan spans two stages.
+
+Language ID drops texts without any letter, which no language can claim. Line dedup takes repeated lines out of texts.
+Near-dedup keeps one document of each group. Mixing repeats documents, or cuts word ranges out of them, until each
+source has its share; documents that the mix does not draw are not in its result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidewell.llm import language_id, line_dedup, mixing, near_dedup, pieces
+from tidewell.llm.common import materialise
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.identify(docs)
+    return found.filter(found["_language"]["lang_pred"] != language_id.UND).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", dedup_documents),
+    ("mixing", mix_sources),
+    ("SentencePiece", encode_pieces),
+]
+
+#: Trained models, signatures and merges are beyond SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

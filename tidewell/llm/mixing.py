@@ -3,7 +3,8 @@
 The mix's words are cut into equal blocks. Blocks go to sources one at a time, each to the source with the highest
 quotient target / (2 blocks held + 1); a source's blocks then go to its shards in the same way, by the shards' sizes.
 A shard lines its documents up in a seeded order, repeats them in full as often as its quota allows, and takes the
-rest as blocks of that line picked by a seeded permutation. So a document's share is a set of word ranges.
+rest as blocks of that line: as many as are left, from a seeded block on. As the order is seeded too, these are random
+documents, and only those at the ends of the picked run are cut, between words.
 
 Sizes are the only thing read from texts. A source is split into shards by the hash of ``doc_id``, so a source that
 holds a third of all rows is laid out by many tasks. To the driver go one row for each source and shard: at most
@@ -31,7 +32,7 @@ TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 #: Words of a shard at least, and shards at most.
 SHARD_WORDS, MAX_SHARDS = 4_000_000, 65_536
-#: Blocks that a mix has if their size stays within these words.
+#: Blocks that a mix has, if their size stays within these words.
 BLOCKS, BLOCK_WORDS = 65_536, (1, 4096)
 SEED = 20
 
@@ -108,27 +109,21 @@ def plan(sizes: DataFrame, rows: DataFrame | None = None, seed: int = SEED) -> D
         given = sainte_lague([float(n) for _, n in own], quota, [MAX_REPEATS * n // block for _, n in own])
         for (shard, n), q in zip(own, given, strict=True):
             full, rest = divmod(q * block, n) if n else (0, 0)
-            grid = max(1, -(-n // block))
-            step = _number(seed, "step", source, shard) % grid or 1
-            while math.gcd(step, grid) != 1:
-                step += 1
-            per_shard.append((source, shard, full, rest, grid, step, _number(seed, "shift", source, shard) % grid))
-    shards = F.broadcast(spark.createDataFrame(per_shard, "s_source string, s_shard bigint, full bigint, rest bigint, grid bigint, step bigint, shift bigint"))
+            per_shard.append((source, shard, n, full, rest, block * (_number(seed, source, shard) % max(1, -(-n // block)))))
+    shards = F.broadcast(spark.createDataFrame(per_shard, "s_source string, s_shard bigint, words bigint, full bigint, rest bigint, first bigint"))
     order = Window.partitionBy("source", "shard").orderBy("s_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = sizes if rows is None else rows
     lined = dealt(rows).withColumn("s_at", F.xxhash64(F.lit(seed + 1), "doc_id")).withColumn("s_from", F.coalesce(F.sum("size").over(order), F.lit(0)))
     lined = lined.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
-    end = F.col("s_from") + F.col("size")
 
-    def piece(k):
-        # the block at rank r of the seeded permutation is taken whole if r < rest // block, and in part if r equals it
-        rank = F.pmod(k * F.col("step") + F.col("shift"), F.col("grid"))
-        lo, hi = k * block, k * block + F.least(F.lit(block), F.greatest(F.lit(0), F.col("rest") - rank * block))
-        return F.struct(F.greatest(lo - F.col("s_from"), F.lit(0)).cast("bigint").alias("lo"), (F.least(hi, end) - F.col("s_from")).cast("bigint").alias("hi"))
+    def overlap(lo, hi):
+        at = lambda x: F.greatest(F.lit(0), F.least(x - F.col("s_from"), F.col("size"))).cast("bigint")
+        return F.struct(at(lo).alias("lo"), at(hi).alias("hi"))
 
-    first, last = F.floor(F.col("s_from") / F.lit(block)), F.floor((end - 1) / F.lit(block))
-    blocks = F.when(F.col("size") > 0, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
-    return lined.select(*rows.columns, "source_size", "target", "full", F.filter(F.transform(blocks, piece), lambda p: p["hi"] > p["lo"]).alias("ranges"))
+    # the picked blocks follow each other in the seeded order, from a seeded one on and past the end from the start on
+    to = F.col("first") + F.col("rest")
+    picked = F.array(overlap(F.col("first"), F.least(to, F.col("words"))), overlap(F.lit(0), to - F.col("words")))
+    return lined.select(*rows.columns, "source_size", "target", "full", F.filter(picked, lambda p: p["hi"] > p["lo"]).alias("ranges"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:

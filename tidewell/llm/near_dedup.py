@@ -117,7 +117,7 @@ def _groups(texts, size: int = CHUNK_BYTES) -> Iterator[list[str | None]]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, n, set_key, signature`` of each document; ``row`` is unique."""
+    """``row, doc_id, body, n, set_key, signature`` of each document; ``row`` is unique, ``body`` a hash of the text."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("n bigint, set_key binary, signature binary")
@@ -129,8 +129,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                     rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes() if len(s) else None))
             yield pd.DataFrame(rows, columns=["n", "set_key", "signature"])
 
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), sketch("text").alias("s"))
-    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "s.*")
+    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), sketch("text").alias("s"))
+    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body", "s.*")
 
 
 @lru_cache(maxsize=8)
@@ -262,7 +262,7 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``, and ``row``, unique, in the order of reading."""
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``, and ``body``, a hash of its text."""
     rows = materialise(sketches(docs), "sketches")
     some = rows.filter("n > 0 AND doc_id IS NOT NULL")
     alike = some.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
@@ -284,8 +284,28 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     sets = named.join(least, "root").select("set_key", "component_id")
     out = rows.drop("signature").join(sets, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "body")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, and all rows without shingles.
+
+    Of a component the row of its smallest ``doc_id`` stays; of several such rows one, the one with the least hash.
+    """
+    found = materialise(near_dedup(docs), "components")
+    stays = found.filter("kept AND n_shingles > 0").groupBy(F.col("component_id").alias("group")).agg(F.min("body").alias("stays"))
+    found = found.filter("n_shingles > 0").join(stays, F.col("component_id").eqNullSafe(F.col("group")), "left")
+    dropped = materialise(found.filter("NOT kept OR body != stays").select("doc_id", "body").distinct(), "dropped")
+    again = materialise(found.filter("kept AND body = stays").groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("k_id"), F.xxhash64("text").alias("k_body"), F.struct(*docs.columns).alias("row"))
+    same = lambda x: F.col("k_id").eqNullSafe(x["doc_id"]) & (F.col("k_body") == x["body"])
+    dropped = maybe_broadcast(dropped, dropped.count(), 32)
+    rows = rows.join(dropped, same(dropped), "left_anti")
+    if not again.isEmpty():
+        once = rows.join(again, same(again), "left_semi").dropDuplicates(["k_id", "k_body"])
+        rows = rows.join(again, same(again), "left_anti").unionByName(once)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir)).drop("row")
+    return near_dedup(documents(spark, sf_dir)).drop("body")
