@@ -1 +1,539 @@
+"""Queries: scans, projections, texts, hashes, numbers."""
 
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewell.functions import element
+from tidewell.operators import scalars as C
+from tidewell.operators import sequences as S
+from tidewell.operators import trajectory as T
+from tidewell.plans.registry import query
+from tidewell.plans.views import ATOMS, EPISODES, EVENT_FRAMES, FRAMES, LONG, atoms, episodes, event_frames, frames, r, read, rounded
+
+NAMES = ["quantity", "price", "discount", "tax"]
+SERIES = FRAMES + """,
+series AS (SELECT episode_index, frame_index, unnest(['action | quantity', 'action | price', 'action | discount', 'action | tax']) AS series, unnest(action) AS value FROM frames)
+"""
+
+
+def _series(spark, d):
+    return C.series_flatten(frames(spark, d), ["episode_index", "frame_index"], "action", NAMES)
+
+
+# scans
+
+@query("scan_parquet", "SELECT * FROM region")
+def scan_parquet(spark, d):
+    return read(spark, d, "region")
+
+
+@query("scan_project", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_orderkey BETWEEN 100 AND 400")
+def scan_project(spark, d):
+    """Columns that are asked for and there, over a range of rows; both reach the scan."""
+    df = read(spark, d, "lineitem").filter(F.col("l_orderkey").between(100, 400))
+    return df.select(*[c for c in ("l_orderkey", "l_quantity", "no_such_column") if c in df.columns])
+
+
+@query("catalog_info", "SELECT 'lineitem' AS dataset, column_name, ordinal_position - 1 AS position FROM (SELECT column_name, row_number() OVER () AS ordinal_position FROM (DESCRIBE lineitem))")
+def catalog_info(spark, d):
+    rows = [("lineitem", f.name, k) for k, f in enumerate(read(spark, d, "lineitem").schema.fields)]
+    return spark.createDataFrame(rows, "dataset string, column_name string, position bigint")
+
+
+@query("episode_lookup", f"WITH {EPISODES} SELECT episode_index, length, chunk FROM episodes WHERE episode_index = 77")
+def episode_lookup(spark, d):
+    return episodes(spark, d).filter("episode_index = 77").select("episode_index", "length", "chunk")
+
+
+@query("episode_index_normalize", f"WITH {EPISODES} SELECT episode_index, coalesce(nullif(length, 0), 30) AS length, chunk, episode_index % 1000 AS file FROM episodes")
+def episode_index_normalize(spark, d):
+    return episodes(spark, d).select("episode_index", F.coalesce(F.nullif("length", F.lit(0)), F.lit(30)).alias("length"), "chunk", (F.col("episode_index") % 1000).alias("file"))
+
+
+@query("path_template", f"WITH {EPISODES} SELECT episode_index, 'data/chunk-' || lpad(chunk::VARCHAR, 3, '0') || '/episode_' || lpad(episode_index::VARCHAR, greatest(6, length(episode_index::VARCHAR))::INT, '0') || '.parquet' AS path FROM episodes")
+def path_template(spark, d):
+    path = C.template("data/chunk-{chunk:03d}/episode_{episode:06d}.parquet", chunk=F.col("chunk"), episode=F.col("episode_index"))
+    return episodes(spark, d).select("episode_index", path.alias("path"))
+
+
+@query("pad_number", "SELECT o_orderkey AS k, lpad(o_orderkey::VARCHAR, 8, '0') AS padded FROM orders")
+def pad_number(spark, d):
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("padded"))
+
+
+@query("episode_arrays", f"WITH {FRAMES} SELECT episode_index, len(list(timestamp)) AS n, {r('list_sum(list(timestamp ORDER BY frame_index))')} AS total, arg_max(mode, frame_index) AS last_mode FROM frames GROUP BY 1")
+def episode_arrays(spark, d):
+    a = frames(spark, d).groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("frame_index", "timestamp", "mode"))).alias("s"))
+    total = F.aggregate("s", F.lit(0.0), lambda t, x: t + x["timestamp"])
+    return a.select("episode_index", F.size("s").cast("bigint").alias("n"), rounded(total).alias("total"), F.element_at("s", -1)["mode"].alias("last_mode"))
+
+
+@query("frame_timestamps", f"WITH {FRAMES} SELECT frame_index, timestamp FROM frames WHERE episode_index = 3 AND isfinite(timestamp)")
+def frame_timestamps(spark, d):
+    return frames(spark, d).filter("episode_index = 3 AND NOT isnan(timestamp)").orderBy("timestamp").select("frame_index", "timestamp")
+
+
+@query("episode_slice", f"WITH {EPISODES}, o AS (SELECT episode_index, sum(length) OVER (ORDER BY episode_index ROWS UNBOUNDED PRECEDING) - length AS start, length FROM episodes) SELECT episode_index, start::BIGINT AS start, greatest(start + length, start + 1)::BIGINT AS stop FROM o WHERE episode_index % 50 = 0")
+def episode_slice(spark, d):
+    o = S.global_offsets(episodes(spark, d).select("episode_index", "length")).filter("episode_index % 50 = 0")
+    return o.select("episode_index", F.col("from_index").alias("start"), F.greatest("to_index", F.col("from_index") + 1).alias("stop"))
+
+
+@query("progress_scale", f"WITH {EVENT_FRAMES} SELECT episode_index, frame_index, {r('frame_index / greatest(count(*) OVER (PARTITION BY episode_index) - 1, 1)::DOUBLE * 30')} AS t FROM event_frames")
+def progress_scale(spark, d):
+    n = F.count(F.lit(1)).over(S.EPISODE)
+    return event_frames(spark, d).select("episode_index", "frame_index", rounded(F.col("frame_index") / F.greatest(n - 1, F.lit(1)) * 30).alias("t"))
+
+
+@query("progress_column", f"WITH {EVENT_FRAMES} SELECT episode_index, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase' AND value > 99) > 0 THEN 'first' WHEN count(value) > 0 THEN 'second' END AS col FROM event_frames GROUP BY 1")
+def progress_column(spark, d):
+    """The first candidate column with a finite value."""
+    first = F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 99))
+    return event_frames(spark, d).groupBy("episode_index").agg(F.when(first > 0, "first").when(F.count("value") > 0, "second").alias("col"))
+
+
+@query("motion_validate", f"WITH {FRAMES}, c AS (SELECT episode_index, timestamp > lag(timestamp) OVER (PARTITION BY episode_index ORDER BY frame_index) AS up, len(action) = 4 AS w, list_dot_product(action, action) > 0 AS q FROM frames) SELECT episode_index, bool_and(coalesce(up, TRUE)) AND bool_and(w) AND bool_and(q) AS valid FROM c GROUP BY 1")
+def motion_validate(spark, d):
+    up = F.coalesce(F.col("timestamp") > F.lag("timestamp").over(S.EPISODE.orderBy("frame_index")), F.lit(True))
+    square = F.aggregate("action", F.lit(0.0), lambda s, x: s + x * x)
+    rows = frames(spark, d).select("episode_index", up.alias("up"), (F.size("action") == 4).alias("w"), (square > 0).alias("q"))
+    return rows.groupBy("episode_index").agg((F.bool_and("up") & F.bool_and("w") & F.bool_and("q")).alias("valid"))
+
+
+@query("paginate", "SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 30 OFFSET 60")
+def paginate(spark, d):
+    return read(spark, d, "customer").orderBy(F.col("c_acctbal").desc(), "c_custkey").offset(60).limit(30).select("c_custkey", "c_name")
+
+
+@query("episode_frame_info", f"WITH {EPISODES} SELECT episode_index, camera, 0.0::DOUBLE AS first_s, greatest(0, length / 10.0::DOUBLE - 0.05) AS last_s FROM episodes, (SELECT unnest(['front', 'wrist']) AS camera) WHERE episode_index % 20 = 0")
+def episode_frame_info(spark, d):
+    rows = episodes(spark, d).filter("episode_index % 20 = 0").withColumn("camera", F.explode(F.array(F.lit("front"), F.lit("wrist"))))
+    return rows.select("episode_index", "camera", F.lit(0.0).alias("first_s"), F.greatest(F.lit(0.0), F.col("length") / 10 - 0.05).alias("last_s"))
+
+
+@query("video_segments", f"WITH {EPISODES} SELECT episode_index, camera, {r('k * 2.5::DOUBLE')} AS from_s, {r('k * 2.5::DOUBLE + length / 10.0')} AS to_s FROM episodes, (SELECT unnest([0, 1]) AS k, unnest(['front', 'wrist']) AS camera) WHERE length > 0")
+def video_segments(spark, d):
+    cams = F.map_from_arrays(F.array(F.lit("front"), F.lit("wrist")), F.array(F.lit(0), F.lit(1)))
+    rows = episodes(spark, d).filter("length > 0").select("episode_index", "length", F.explode(cams).alias("camera", "k"))
+    return rows.select("episode_index", "camera", rounded(F.col("k") * 2.5).alias("from_s"), rounded(F.col("k") * 2.5 + F.col("length") / 10).alias("to_s"))
+
+
+@query("episode_duration", f"WITH {EPISODES} SELECT episode_index, coalesce(nullif(length, 0) / 10.0::DOUBLE, 30) AS duration FROM episodes")
+def episode_duration(spark, d):
+    return episodes(spark, d).select("episode_index", F.coalesce(F.nullif("length", F.lit(0)) / 10, F.lit(30.0)).alias("duration"))
+
+
+# series
+
+@query("series_flatten", f"WITH {SERIES} SELECT episode_index, frame_index, series, {r('value')} AS value FROM series")
+def series_flatten(spark, d):
+    return _series(spark, d).withColumn("value", rounded(F.col("value")))
+
+
+@query("chart_rows", f"WITH {FRAMES} SELECT episode_index, frame_index, {r('frame_index / greatest(count(*) OVER (PARTITION BY episode_index) - 1, 1)::DOUBLE * 30')} AS timestamp, {r('action[1]')} AS quantity, (mode = 1)::INT AS flag FROM frames")
+def chart_rows(spark, d):
+    """Wide rows with times spread evenly over the video, and booleans as numbers."""
+    n = F.count(F.lit(1)).over(S.EPISODE)
+    t = rounded(F.col("frame_index") / F.greatest(n - 1, F.lit(1)) * 30)
+    return frames(spark, d).select("episode_index", "frame_index", t.alias("timestamp"), rounded(F.col("action")[0]).alias("quantity"), (F.col("mode") == 1).cast("int").alias("flag"))
+
+
+@query("chart_rows_v2", f"WITH {FRAMES} SELECT episode_index, frame_index, {r('timestamp')} AS timestamp, {r('action[2]')} AS price FROM frames")
+def chart_rows_v2(spark, d):
+    return frames(spark, d).select("episode_index", "frame_index", rounded(F.col("timestamp")).alias("timestamp"), rounded(F.col("action")[1]).alias("price"))
+
+
+@query("suffix_map", f"WITH {SERIES} SELECT split_part(series, ' | ', 2) AS suffix, count(DISTINCT series) AS n FROM series GROUP BY 1")
+def suffix_map(spark, d):
+    return _series(spark, d).groupBy(C.suffix(F.col("series")).alias("suffix")).agg(F.count_distinct("series").alias("n"))
+
+
+@query("suffix_group", f"WITH {FRAMES} SELECT episode_index, frame_index, 'tax' AS suffix, {r('action[4]')} AS action, {r('state[4]')} AS state FROM frames")
+def suffix_group(spark, d):
+    """Two series of one suffix side by side under it."""
+    rows = frames(spark, d).select("episode_index", "frame_index", F.map_from_arrays(F.array(F.lit("tax")), F.array(F.struct(F.col("action")[3].alias("action"), F.col("state")[3].alias("state")))).alias("m"))
+    rows = rows.select("episode_index", "frame_index", F.explode("m").alias("suffix", "v"))
+    return rows.select("episode_index", "frame_index", "suffix", rounded(F.col("v.action")).alias("action"), rounded(F.col("v.state")).alias("state"))
+
+
+@query("prefix_group", f"WITH {SERIES}, s AS (SELECT DISTINCT series FROM series UNION SELECT 'mode') SELECT CASE WHEN contains(series, ' | ') THEN split_part(series, ' | ', 1) ELSE 'other' END AS prefix, count(*) AS n FROM s GROUP BY 1")
+def prefix_group(spark, d):
+    s = _series(spark, d).select("series").distinct().union(spark.sql("SELECT 'mode'"))
+    return s.groupBy(C.prefix(F.col("series")).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("short_name", f"WITH {SERIES} SELECT DISTINCT series, split_part(series, ' | ', -1) AS short FROM series")
+def short_name(spark, d):
+    return _series(spark, d).select("series", C.short_name(F.col("series")).alias("short")).distinct()
+
+
+@query("series_select", f"WITH {SERIES} SELECT DISTINCT series FROM series WHERE starts_with(series, 'action') AND NOT contains(series, 'state')")
+def series_select(spark, d):
+    s = F.col("series")
+    return _series(spark, d).filter(s.startswith("action") & ~s.contains("state")).select("series").distinct()
+
+
+@query("column_min_max", f"WITH {SERIES} SELECT series, floor(min(value) * 1000 + 0.5) / 1000 AS lo, floor(max(value) * 1000 + 0.5) / 1000 AS hi FROM series GROUP BY series")
+def column_min_max(spark, d):
+    return _series(spark, d).groupBy("series").agg(rounded(F.min("value"), 3).alias("lo"), rounded(F.max("value"), 3).alias("hi"))
+
+
+@query("group_stats", f"WITH {SERIES} SELECT episode_index, split_part(series, ' | ', 2) AS suffix, {r('min(value)')} AS lo, {r('max(value)')} AS hi FROM series WHERE NOT isnan(value) GROUP BY ALL")
+def group_stats(spark, d):
+    s = _series(spark, d).filter(~F.isnan("value"))
+    return s.groupBy("episode_index", C.suffix(F.col("series")).alias("suffix")).agg(rounded(F.min("value")).alias("lo"), rounded(F.max("value")).alias("hi"))
+
+
+def _scale_groups(spark, d):
+    stats = _series(spark, d).groupBy("series").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return C.scale_groups(stats.withColumn("position", F.col("series")))
+
+
+@query("scale_groups")
+def scale_groups(spark, d):
+    rows = [(g[0], s, k) for g in _scale_groups(spark, d) for k, s in enumerate(g)]
+    return spark.createDataFrame(rows, "lead string, series string, position bigint")
+
+
+@query("scale_chunks")
+def scale_chunks(spark, d):
+    """Groups by size, largest first, cut to six series a chart."""
+    rows = [(s, k, i // 6) for k, g in enumerate(sorted(_scale_groups(spark, d), key=lambda g: -len(g))) for i, s in enumerate(g)]
+    return spark.createDataFrame(rows, "series string, group_no bigint, chart_no bigint")
+
+
+@query("chart_groups")
+def chart_groups(spark, d):
+    rows = [(k, " , ".join(g[i : i + 6])) for k, g in enumerate(sorted(_scale_groups(spark, d), key=lambda g: -len(g))) for i in range(0, len(g), 6)]
+    return spark.createDataFrame(rows, "group_no bigint, series string")
+
+
+@query("merge_groups", f"WITH {FRAMES} SELECT episode_index, frame_index, {r('action[1]')} AS a, CASE WHEN frame_index % 3 = 0 THEN {r('state[2]')} ELSE {r('action[2]')} END AS b FROM frames WHERE episode_index < 5")
+def merge_groups(spark, d):
+    """Rows of two groups merged by position; of a shared key the later group's value counts."""
+    f = frames(spark, d).filter("episode_index < 5")
+    one = f.select("episode_index", "frame_index", F.col("action")[0].alias("a"), F.col("action")[1].alias("b1"))
+    two = f.filter("frame_index % 3 = 0").select("episode_index", "frame_index", F.col("state")[1].alias("b2"))
+    out = one.join(two, ["episode_index", "frame_index"], "full")
+    return out.select("episode_index", "frame_index", rounded(F.col("a")).alias("a"), rounded(F.coalesce("b2", "b1")).alias("b"))
+
+
+@query("to_finite", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN NULL WHEN event_id % 7 = 2 THEN NULL ELSE floor(value) END AS x FROM events")
+def to_finite(spark, d):
+    k = F.col("event_id") % 7
+    text = F.when(k == 0, "  ").when(k == 1, "inf").when(k == 2, "12px").otherwise(F.concat(F.lit(" "), F.floor("value").cast("string"), F.lit(" ")))
+    return read(spark, d, "events").select("event_id", C.to_finite(text).alias("x"))
+
+
+@query("guards", "SELECT event_id, value >= 0 AND value = floor(value) AS is_index, event_id % 2 = 0 AS is_even FROM events")
+def guards(spark, d):
+    v = F.col("value")
+    return read(spark, d, "events").select("event_id", ((v >= 0) & (v == F.floor(v))).alias("is_index"), (F.col("event_id") % 2 == 0).alias("is_even"))
+
+
+@query("arrays_zip_pad", "SELECT vec_id, k, CASE WHEN k < 3 THEN floor(embedding[k + 1] * 1000) END AS a, floor(embedding[k + 11] * 1000) AS b FROM embeddings, range(5) t(k)")
+def arrays_zip_pad(spark, d):
+    """Columns of unlike length side by side, the shorter one filled with nulls."""
+    e = read(spark, d, "embeddings").select("vec_id", F.posexplode(F.arrays_zip(F.slice("embedding", 1, 3).alias("a"), F.slice("embedding", 11, 5).alias("b"))).alias("k", "z"))
+    return e.select("vec_id", F.col("k").cast("bigint").alias("k"), F.floor(F.col("z.a") * 1000).cast("double").alias("a"), F.floor(F.col("z.b") * 1000).cast("double").alias("b"))
+
+
+@query("array_shape", "SELECT vec_id, len(embedding) AS width, len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AS finite FROM embeddings")
+def array_shape(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("bigint").alias("width"), F.forall("embedding", lambda x: ~F.isnan(x)).alias("finite"))
+
+
+@query("grip_slice", "SELECT vec_id, list_sum(list_transform(embedding[23:29], lambda x: floor(x * 100)::BIGINT))::BIGINT AS left_hand, list_sum(list_transform(embedding[37:43], lambda x: floor(x * 100)::BIGINT))::BIGINT AS right_hand FROM embeddings")
+def grip_slice(spark, d):
+    hand = lambda a: F.aggregate(F.slice("embedding", a, 7), F.lit(0).cast("bigint"), lambda s, x: s + F.floor(x * F.lit(100).cast("float")).cast("bigint"))
+    return read(spark, d, "embeddings").select("vec_id", hand(23).alias("left_hand"), hand(37).alias("right_hand"))
+
+
+# episode lengths
+
+SECONDS = EPISODES + ", sec AS (SELECT episode_index, length, floor(length / 30.0::DOUBLE * 100 + 0.5) / 100 AS s FROM episodes)"
+
+
+def _seconds(spark, d):
+    return episodes(spark, d).select("episode_index", "length", rounded(F.col("length") / 30, 2).alias("s"))
+
+
+@query("length_outliers", f"WITH {EPISODES} SELECT episode_index FROM episodes WHERE length < 20 OR length > 60 ORDER BY 1")
+def length_outliers(spark, d):
+    return episodes(spark, d).filter("length < 20 OR length > 60").orderBy("episode_index").select("episode_index")
+
+
+@query("shortest_longest", f"WITH {SECONDS} (SELECT 'shortest' AS side, episode_index, s FROM sec ORDER BY s, episode_index LIMIT 5) UNION ALL (SELECT 'longest', episode_index, s FROM sec ORDER BY s DESC, episode_index DESC LIMIT 5)")
+def shortest_longest(spark, d):
+    s = _seconds(spark, d).select("episode_index", "s")
+    a, b = s.orderBy("s", "episode_index").limit(5), s.orderBy(F.col("s").desc(), F.col("episode_index").desc()).limit(5)
+    return a.select(F.lit("shortest").alias("side"), "episode_index", "s").union(b.select(F.lit("longest"), "episode_index", "s"))
+
+
+@query("episode_length_stats", f"WITH {SECONDS}, m AS (SELECT floor(avg(s) * 100 + 0.5) / 100 AS mean, floor(median(s) * 100 + 0.5) / 100 AS median FROM sec) SELECT mean, median, floor(sqrt(avg((s - mean) * (s - mean))) * 100 + 0.5) / 100 AS std FROM sec, m GROUP BY mean, median")
+def episode_length_stats(spark, d):
+    """The deviation is taken around the rounded mean."""
+    s = _seconds(spark, d)
+    m = s.agg(rounded(F.avg("s"), 2).alias("mean"), rounded(F.percentile("s", 0.5), 2).alias("median"))
+    gap = F.col("s") - F.col("mean")
+    return s.crossJoin(F.broadcast(m)).groupBy("mean", "median").agg(rounded(F.sqrt(F.avg(gap * gap)), 2).alias("std"))
+
+
+HISTOGRAM = SECONDS + """,
+sorted AS (SELECT list(s ORDER BY s) AS xs, count(*) AS n FROM sec),
+q AS (SELECT n, xs[floor(n * 0.01)::INT + 1] AS p1, xs[ceil(n * 0.99)::INT] AS p99 FROM sorted),
+w AS (SELECT p1, p99, (CASE WHEN p99 = p1 THEN 1 ELSE p99 - p1 END) / greatest(10, least(50, ceil(log2(n) + 1))) AS raw FROM q),
+nice AS (SELECT p1, p99, coalesce(list_min(list_filter([1, 2, 2.5, 5, 10], lambda x: x::DOUBLE * pow(10, floor(log10(raw))) >= raw))::DOUBLE * pow(10, floor(log10(raw))), raw) AS width FROM w),
+b AS (SELECT width, floor(p1 / width) * width AS lo, greatest(1, floor((ceil(p99 / width) * width - floor(p1 / width) * width) / width + 0.5)::BIGINT) AS bins FROM nice)
+"""
+
+
+@query("episode_length_histogram", f"WITH {HISTOGRAM}, c AS (SELECT greatest(0, least(bins - 1, floor((s - lo) / width)::BIGINT)) AS bin, count(*) AS n FROM sec, b GROUP BY 1) SELECT k AS bin, coalesce(n, 0) AS n FROM b, range(bins) t(k) LEFT JOIN c ON c.bin = k")
+def episode_length_histogram(spark, d):
+    """Bins of a round width over the 1st to 99th of 100 lengths; the ends take what lies beyond. Empty bins count 0.
+
+    The two ranks are read off the distinct lengths and their running counts, which are few, not off all episodes.
+    """
+    s = _seconds(spark, d)
+    counts = s.groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    run = counts.withColumn("upto", F.sum("c").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
+    n = s.agg(F.count(F.lit(1)).alias("n"))
+    q = run.crossJoin(F.broadcast(n)).groupBy("n").agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") * 0.01), F.col("s"))).alias("p1"), F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * 0.99), F.col("s"))).alias("p99"))
+    spread = F.when(F.col("p99") == F.col("p1"), 1.0).otherwise(F.col("p99") - F.col("p1"))
+    q = q.withColumn("raw", spread / F.greatest(F.lit(10), F.least(F.lit(50), F.ceil(F.log2("n") + 1))))
+    step = F.pow(F.lit(10.0), F.floor(F.log10("raw")))
+    nice = F.array_min(F.filter(F.array(*map(F.lit, (1.0, 2.0, 2.5, 5.0, 10.0))), lambda x: x * step >= F.col("raw")))
+    q = q.withColumn("width", F.coalesce(nice * step, "raw"))
+    q = q.withColumn("lo", F.floor(F.col("p1") / F.col("width")) * F.col("width")).withColumn("bins", F.greatest(F.lit(1), F.floor((F.ceil(F.col("p99") / F.col("width")) * F.col("width") - F.col("lo")) / F.col("width") + 0.5)))
+    q = F.broadcast(q.select("lo", "width", "bins"))
+    bin_ = F.greatest(F.lit(0), F.least(F.col("bins") - 1, F.floor((F.col("s") - F.col("lo")) / F.col("width"))))
+    c = s.crossJoin(q).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = q.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins").cast("bigint") - 1)).alias("bin"))
+    return every.join(c, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("format_total_time", f"WITH {EPISODES} SELECT chunk, (sum(length) // 3600)::BIGINT::VARCHAR || 'h ' || (sum(length) % 3600 // 60)::BIGINT::VARCHAR || 'm' AS total FROM episodes GROUP BY chunk")
+def format_total_time(spark, d):
+    t = episodes(spark, d).groupBy("chunk").agg(F.sum("length").alias("s"))
+    return t.select("chunk", F.concat(F.floor(F.col("s") / 3600), F.lit("h "), F.floor(F.col("s") % 3600 / 60), F.lit("m")).alias("total"))
+
+
+@query("duration_label", f"WITH {EPISODES} SELECT episode_index, CASE WHEN length >= 0 THEN printf('%.1f s', length / 10.0::DOUBLE) END AS label FROM episodes")
+def duration_label(spark, d):
+    return episodes(spark, d).select("episode_index", F.when(F.col("length") >= 0, F.format_string("%.1f s", F.col("length") / 10)).alias("label"))
+
+
+@query("gripper_normalize", f"WITH {LONG}, m AS (SELECT episode_index, min(v) AS lo, max(v) AS hi FROM long WHERE dim = 0 GROUP BY 1) SELECT l.episode_index, frame_index, {r('(v - lo) / nullif(hi - lo, 0) * 0.044', 6)} AS width FROM long l JOIN m ON m.episode_index = l.episode_index WHERE dim = 0")
+def gripper_normalize(spark, d):
+    v = F.col("action")[0]
+    lo, hi = F.min(v).over(S.EPISODE), F.max(v).over(S.EPISODE)
+    return frames(spark, d).select("episode_index", "frame_index", rounded(F.try_divide(v - lo, hi - lo) * 0.044, 6).alias("width"))
+
+
+@query("unit_convert", f"WITH {LONG}, m AS (SELECT dim, max(abs(v)) AS top FROM long GROUP BY dim) SELECT l.dim, count(*) AS n, {r('avg(CASE WHEN top > 360 THEN v * 2 * pi() / 4096 WHEN top > 6.3 THEN radians(v) ELSE v END)', 5)} AS mean FROM long l JOIN m ON m.dim = l.dim GROUP BY l.dim")
+def unit_convert(spark, d):
+    """Ticks, degrees or radians, by the largest value of a dimension."""
+    long = T.long_form(frames(spark, d), 4)
+    top = F.broadcast(long.groupBy("dim").agg(F.max(F.abs("v")).alias("top")))
+    v = F.when(F.col("top") > 360, F.col("v") * 2 * F.pi() / 4096).when(F.col("top") > 6.3, F.radians("v")).otherwise(F.col("v"))
+    return long.join(top, "dim").groupBy("dim").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(v), 5).alias("mean"))
+
+
+# texts and hashes
+
+@query("normalize_text", "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+', ' ', 'g') AS t FROM documents WHERE doc_id % 10 = 0")
+def normalize_text(spark, d):
+    t = F.btrim(F.col("text"), F.lit(" \t\n\r"))
+    return read(spark, d, "documents").filter("doc_id % 10 = 0").select("doc_id", F.regexp_replace(t, "[ \\t\\n\\r]+", " ").alias("t"))
+
+
+@query("expand_prompts", "SELECT s_suppkey AS k, step, replace(replace(t, '{object}', s_name), '{hand}', CASE WHEN s_suppkey % 2 = 0 THEN 'left' ELSE 'right' END) AS prompt FROM supplier, (SELECT unnest([1, 2, 3]) AS step, unnest(['reach for the {object}', 'grasp the {object} with the {hand} hand', 'place the {object}']) AS t)")
+def expand_prompts(spark, d):
+    texts = F.array(*map(F.lit, ("reach for the {object}", "grasp the {object} with the {hand} hand", "place the {object}")))
+    rows = read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name", F.posexplode(texts).alias("p", "t"))
+    hand = F.when(F.col("k") % 2 == 0, "left").otherwise("right")
+    return rows.select("k", (F.col("p") + 1).alias("step"), F.replace(F.replace("t", F.lit("{object}"), F.col("s_name")), F.lit("{hand}"), hand).alias("prompt"))
+
+
+@query("canonical_hash", "SELECT c_custkey, sha256('{\"key\":' || c_custkey || ',\"name\":\"' || c_name || '\",\"segment\":\"' || c_mktsegment || '\"}') AS digest FROM customer")
+def canonical_hash(spark, d):
+    """The digest of compact JSON with sorted keys."""
+    s = F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return read(spark, d, "customer").select("c_custkey", F.sha2(F.to_json(s), 256).alias("digest"))
+
+
+@query("to_json_sorted", "SELECT '{\"index\":' || n_nationkey || ',\"task\":\"' || n_name || '\"}' AS line FROM nation")
+def to_json_sorted(spark, d):
+    return read(spark, d, "nation").select(F.to_json(F.struct(F.col("n_nationkey").alias("index"), F.col("n_name").alias("task"))).alias("line"))
+
+
+@query("to_csv", "SELECT r_regionkey || ',' || r_name AS line FROM region")
+def to_csv(spark, d):
+    return read(spark, d, "region").select(F.concat_ws(",", "r_regionkey", "r_name").alias("line"))
+
+
+@query("annotation_hash", f"WITH {ATOMS} SELECT episode_index, sha256(string_agg(coalesce(style, '') || '|' || role || '|' || content, chr(10) ORDER BY coalesce(style, '') || '|' || role || '|' || content)) AS digest FROM atoms GROUP BY 1")
+def annotation_hash(spark, d):
+    line = F.concat_ws("|", F.coalesce("style", F.lit("")), "role", "content")
+    a = atoms(spark, d).groupBy("episode_index").agg(F.array_sort(F.collect_list(line)).alias("s"))
+    return a.select("episode_index", F.sha2(F.array_join("s", "\n"), 256).alias("digest"))
+
+
+@query("record_id", "SELECT o_orderkey AS k, substr(sha256(o_orderkey || '/' || o_custkey), 1, 24) AS id FROM orders")
+def record_id(spark, d):
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.substring(F.sha2(F.concat_ws("/", "o_orderkey", "o_custkey"), 256), 1, 24).alias("id"))
+
+
+@query("git_blob_hash", "SELECT r_regionkey, sha1(encode('blob ' || strlen(r_name)) || '\\x00'::BLOB || encode(r_name)) AS id FROM region")
+def git_blob_hash(spark, d):
+    return read(spark, d, "region").select("r_regionkey", C.blob_hash(F.col("r_name")).alias("id"))
+
+
+@query("contract_generation", "SELECT k, regexp_extract(v, '^(.+)-v([1-9][0-9]*)$', 1) AS lineage, try_cast(nullif(regexp_extract(v, '^(.+)-v([1-9][0-9]*)$', 2), '') AS INT) AS generation FROM (SELECT p_partkey AS k, p_brand || CASE p_partkey % 3 WHEN 0 THEN '-v0' WHEN 1 THEN '-v' || p_size ELSE '' END AS v FROM part)")
+def contract_generation(spark, d):
+    k = F.col("p_partkey")
+    v = F.concat("p_brand", F.when(k % 3 == 0, "-v0").when(k % 3 == 1, F.concat(F.lit("-v"), "p_size")).otherwise(""))
+    pattern = "^(.+)-v([1-9][0-9]*)$"
+    return read(spark, d, "part").select(k.alias("k"), F.regexp_extract(v, pattern, 1).alias("lineage"), F.nullif(F.regexp_extract(v, pattern, 2), F.lit("")).try_cast("int").alias("generation"))
+
+
+@query("name_validate", "SELECT p_partkey AS k, regexp_matches(p_name, '^[A-Za-z0-9][A-Za-z0-9 _.-]{0,40}$') AS valid FROM part")
+def name_validate(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").rlike("^[A-Za-z0-9][A-Za-z0-9 _.-]{0,40}$").alias("valid"))
+
+
+@query("redact_text", "SELECT c_custkey, replace(c_name, lpad(c_custkey::VARCHAR, 3, '0'), '[redacted]') AS t FROM customer")
+def redact_text(spark, d):
+    key = F.col("c_custkey").cast("string")
+    return read(spark, d, "customer").select("c_custkey", F.replace("c_name", F.when(F.length(key) > 3, F.substring(key, 1, 3)).otherwise(F.lpad(key, 3, "0")), F.lit("[redacted]")).alias("t"))
+
+
+@query("repair_fields", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'start' WHEN event_id % 3 = 1 THEN 'end' END AS side, (event_id % 7 + 1)::INT AS step FROM events")
+def repair_fields(spark, d):
+    text = F.concat(F.lit("segment step="), F.col("event_id") % 7 + 1, F.lit(": "), F.when(F.col("event_id") % 3 == 0, "start_s out of range").when(F.col("event_id") % 3 == 1, "end_s out of range").otherwise("other"))
+    side = F.when(text.contains("start_s"), "start").when(text.contains("end_s"), "end")
+    return read(spark, d, "events").select("event_id", side.alias("side"), F.regexp_extract(text, r"step=(\d+)", 1).cast("int").alias("step"))
+
+
+@query("vqa_classify", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bbox' WHEN 1 THEN 'keypoint' WHEN 2 THEN 'count' WHEN 3 THEN 'attribute' WHEN 4 THEN 'spatial' ELSE 'unknown' END AS kind FROM events")
+def vqa_classify(spark, d):
+    k = F.col("event_id") % 6
+    answer = F.when(k == 0, '{"detections":[{"bbox":[1,2,3,4]}]}').when(k == 1, '{"point":[1,2]}').when(k == 2, '{"count":3}').when(k == 3, '{"attribute":"red"}').when(k == 4, '{"relation":"left of"}').otherwise("not json")
+    return read(spark, d, "events").select("event_id", C.vqa_kind(answer).alias("kind"))
+
+
+@query("vqa_camera", "SELECT event_id FROM events WHERE event_id % 4 <> 1")
+def vqa_camera(spark, d):
+    """Answers with a detection for any camera or for the one asked for."""
+    k = F.col("event_id") % 4
+    camera = lambda c: F.struct(c.alias("camera"))
+    found = F.array(camera(F.when(k == 1, "wrist").when(k == 2, "front")), camera(F.when(k == 3, "front").otherwise(F.lit("wrist"))))
+    return read(spark, d, "events").withColumn("found", found).filter(F.exists("found", lambda x: x["camera"].isNull() | (x["camera"] == "front"))).select("event_id")
+
+
+@query("parse_response", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN doc_id % 3 = 1 THEN 'trailing_text' ELSE 'invalid_json' END AS status, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 END AS steps FROM documents")
+def parse_response(spark, d):
+    """Model replies: the thinking is cut, the rest must be one JSON object."""
+    k = F.col("doc_id")
+    body = F.when(k % 3 == 0, F.concat(F.lit('{"steps":'), k % 7, F.lit("}"))).when(k % 3 == 1, F.lit('{"steps":1} and more')).otherwise("{steps")
+    rest = F.trim(F.regexp_replace(F.concat(F.lit("<think>x</think> "), body), "(?s)<think>.*?</think>", ""))
+    whole = F.from_json(rest, "steps bigint").getField("steps")
+    status = F.when(~rest.rlike(r"^\{.*\}"), "invalid_json").when(~rest.rlike(r"\}$"), "trailing_text").otherwise("ok")
+    return read(spark, d, "documents").select("doc_id", status.alias("status"), F.when(status == "ok", whole).alias("steps"))
+
+
+@query("instructions", f"WITH {ATOMS} SELECT episode_index, string_agg(content, chr(10) ORDER BY seq) AS instructions FROM atoms WHERE role = 'user' AND seq < 4 GROUP BY 1")
+def instructions(spark, d):
+    a = atoms(spark, d).filter("role = 'user' AND seq < 4").groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("s"))
+    return a.select("episode_index", F.array_join(F.transform("s", lambda x: x["content"]), "\n").alias("instructions"))
+
+
+@query("file_manifest")
+def file_manifest(spark, d):
+    """Digest, two spaces and name of each file, in the order of the names' bytes."""
+    files = spark.read.format("binaryFile").load([f"{d}/{t}.parquet" for t in ("region", "nation", "supplier")])
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.concat_ws("  ", F.sha2("content", 256), name).alias("line")).orderBy(F.encode(F.split("line", "  ")[1], "UTF-8"))
+
+
+# joins by key and name
+
+@query("task_lookup", "SELECT c_custkey, n_name AS task FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def task_lookup(spark, d):
+    n = F.broadcast(read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("task")))
+    return read(spark, d, "customer").join(n, "c_nationkey", "left").select("c_custkey", "task")
+
+
+@query("task_lookup_positional", "SELECT c_custkey, n_name AS task FROM customer LEFT JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation) ON k = c_custkey % 25")
+def task_lookup_positional(spark, d):
+    n = read(spark, d, "nation").select((F.row_number().over(Window.orderBy("n_nationkey")) - 1).cast("bigint").alias("k"), F.col("n_name").alias("task"))
+    return read(spark, d, "customer").withColumn("k", F.col("c_custkey") % 25).join(F.broadcast(n), "k", "left").select("c_custkey", "task")
+
+
+@query("pair_match", "SELECT a.k AS action_at, coalesce(b.k, a.k) AS state_at FROM (SELECT unnest([0, 1, 2]) AS k, unnest(['ARM', 'HAND', 'LEG']) AS n) a LEFT JOIN (SELECT unnest([0, 1]) AS k, unnest(['HAND', 'ARM']) AS n) b ON a.n = b.n")
+def pair_match(spark, d):
+    a = spark.sql("SELECT * FROM VALUES (0, 'ARM'), (1, 'HAND'), (2, 'LEG') AS t(k, n)")
+    b = spark.sql("SELECT * FROM VALUES (0, 'HAND'), (1, 'ARM') AS t(bk, n)")
+    return a.join(F.broadcast(b), "n", "left").select(F.col("k").alias("action_at"), F.coalesce("bk", "k").alias("state_at"))
+
+
+@query("joint_match", "SELECT joint, arg_min(col, (p, col)) AS \"column\", min(p) AS priority FROM (SELECT joint, col, CASE WHEN joint = col THEN 1 WHEN replace(joint, '_', '') = replace(col, '_', '') THEN 2 WHEN contains(col, joint) OR contains(joint, col) THEN 3 END AS p FROM (SELECT unnest(['left_knee', 'elbow', 'wrist_r']) AS joint), (SELECT unnest(['leftknee', 'left_elbow', 'right_elbow', 'wrist_r', 'wrist']) AS col)) WHERE p IS NOT NULL GROUP BY joint")
+def joint_match(spark, d):
+    j = spark.sql("SELECT explode(array('left_knee', 'elbow', 'wrist_r')) AS joint")
+    c = spark.sql("SELECT explode(array('leftknee', 'left_elbow', 'right_elbow', 'wrist_r', 'wrist')) AS column")
+    return C.join_nearest_name(j, c)
+
+
+# numbers
+
+@query("depth_encoding", "SELECT event_id, CASE WHEN value > 10 AND value < 90 THEN 'log' WHEN value >= 90 THEN 'linear' ELSE 'invalid' END AS encoding FROM events")
+def depth_encoding(spark, d):
+    v = F.col("value")
+    return read(spark, d, "events").select("event_id", F.when((v > 10) & (v < 90), "log").when(v >= 90, "linear").otherwise("invalid").alias("encoding"))
+
+
+DEPTH = """
+q AS (SELECT user_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY 1),
+x AS (SELECT event_id, greatest(0, least(1, (ln(value + 1) - ln(lo + 1)) / nullif(ln(hi + 1) - ln(lo + 1), 0))) AS x FROM events JOIN q USING (user_id) WHERE value >= 0)
+"""
+
+
+def _depth(spark, d):
+    e = read(spark, d, "events").select("event_id", "user_id", "value")
+    q = e.groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    log = lambda c: F.log(c + 1)
+    lo, hi = F.col("q")[0], F.col("q")[1]
+    x = F.try_divide(log(F.col("value")) - log(lo), log(hi) - log(lo))
+    return e.filter("value >= 0").join(q, "user_id").select("event_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)).alias("x"))
+
+
+@query("depth_range", f"WITH {DEPTH} SELECT event_id, {r('x')} AS x FROM x")
+def depth_range(spark, d):
+    return _depth(spark, d).withColumn("x", rounded(F.col("x")))
+
+
+@query("variance_color", f"WITH {DEPTH} SELECT event_id, {r('sqrt(x)', 3)} AS shade FROM x")
+def variance_color(spark, d):
+    return _depth(spark, d).select("event_id", rounded(F.sqrt("x"), 3).alias("shade"))
+
+
+@query("viridis", f"WITH {DEPTH} SELECT event_id, floor(greatest(0, least(255, x * 255)))::INT AS slot FROM x")
+def viridis(spark, d):
+    """The slot of a 256-colour map."""
+    return _depth(spark, d).select("event_id", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("x") * 255))).cast("int").alias("slot"))
+
+
+@query("map_point", "SELECT event_id, CASE WHEN value <= 1 THEN floor(value * 640) WHEN value <= 50 THEN floor(value / 1000 * 640) ELSE floor(value) END AS px FROM events")
+def map_point(spark, d):
+    v = F.col("value")
+    return read(spark, d, "events").select("event_id", F.when(v <= 1, F.floor(v * 640)).when(v <= 50, F.floor(v / 1000 * 640)).otherwise(F.floor(v)).cast("double").alias("px"))
+
+
+@query("bbox_convert", "SELECT p_partkey AS k, p_size AS x0, p_size + 5 AS x1, p_size + p_partkey % 9 AS y1 FROM part")
+def bbox_convert(spark, d):
+    box = F.array(F.col("p_size").cast("bigint"), F.col("p_size").cast("bigint"), F.lit(5).cast("bigint"), F.col("p_partkey") % 9)
+    return read(spark, d, "part").select(F.col("p_partkey").alias("k"), box[0].cast("int").alias("x0"), (box[0] + box[2]).cast("int").alias("x1"), (box[1] + box[3]).alias("y1"))
