@@ -6,7 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +66,34 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     sc.addPyFile(path)
     sc._tidewell_shipped = True
+
+
+def chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum to ``most`` at most, or of one row."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield start, end
+        start = end
+
+
+def map_texts(df: DataFrame, columns: list[str], compute: Callable[[list[str | None]], list[pa.Array]], schema: str, most: int) -> DataFrame:
+    """``columns`` of ``df``, then the arrays that ``compute`` makes of its ``text`` column.
+
+    Texts reach ``compute`` in groups of at most ``most`` bytes, or one text, and each group's rows leave at once, so a
+    worker holds one Arrow batch and one group, however long texts are.
+    """
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *others, texts = batch.columns
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+            for start, end in chunks(sizes, most):
+                made = compute(texts.slice(start, end - start).to_pylist())
+                arrays = [c.slice(start, end - start) for c in others] + made
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    return df.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

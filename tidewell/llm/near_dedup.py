@@ -29,18 +29,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, materialise, maybe_broadcast, ship
+from tidewell.llm.common import documents, map_texts, materialise, maybe_broadcast
 from tidewell.llm.components import components
 
 WORDS, THRESHOLD = 5, (75, 100)
 HASHES, ROWS = 128, 4
 BATCH, MISS = 32, 1e-4
 BLOCK = 256
-CHUNK_BYTES = 8 << 20
+#: Bytes of texts that are shingled together; numpy holds some fifty times as many bytes meanwhile.
+CHUNK_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -103,34 +105,18 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype("<u4")
 
 
-def _groups(texts, size: int = CHUNK_BYTES) -> Iterator[list[str | None]]:
-    group: list[str | None] = []
-    held = 0
-    for t in texts:
-        group.append(t)
-        held += len(t or "")
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """``row, doc_id, body, n, set_key, signature`` of each document; ``row`` is unique, ``body`` a hash of the text."""
-    ship(docs.sparkSession)
 
-    @F.pandas_udf("n bigint, set_key binary, signature binary")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for group in _groups(batch):
-                for s in shingles(group):
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes() if len(s) else None))
-            yield pd.DataFrame(rows, columns=["n", "set_key", "signature"])
+    def compute(texts: list[str | None]) -> list[pa.Array]:
+        sets = shingles(texts)
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        signatures = [signature(s).tobytes() if len(s) else None for s in sets]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())]
 
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), sketch("text").alias("s"))
-    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "body", "s.*")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
+    out = map_texts(rows, ["doc_id", "body"], compute, "doc_id bigint, body bigint, n bigint, set_key binary, signature binary", CHUNK_BYTES)
+    return out.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
 @lru_cache(maxsize=8)
@@ -189,11 +175,9 @@ def _probable(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of ``a, b`` pairs, those whose full shingle sets reach the threshold."""
 
-    @F.pandas_udf("set_key binary, hashes binary")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(xxhash.xxh3_128_digest(b), b) for g in _groups(batch) for b in map(np.ndarray.tobytes, shingles(g))]
-            yield pd.DataFrame(rows, columns=["set_key", "hashes"])
+    def sets(texts: list[str | None]) -> list[pa.Array]:
+        raw = [s.tobytes() for s in shingles(texts)]
+        return [pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())]
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -207,8 +191,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialise(wanted.join(nodes.select("node", "low", "set_key"), "node"), "wanted")
     ids = maybe_broadcast(wanted.select(F.col("low").alias("doc_id")).distinct(), wanted.count(), 64)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select(sets("text").alias("s")).select("s.*")
-    texts = texts.groupBy("set_key").agg(F.first("hashes").alias("hashes"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    texts = map_texts(texts, [], sets, "set_key binary, hashes binary", CHUNK_BYTES).groupBy("set_key").agg(F.first("hashes").alias("hashes"))
     full = materialise(wanted.join(texts, "set_key").select("node", "hashes"), "sets")
     side = lambda x: full.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(linked("h_a", "h_b")).select("a", "b")
