@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidewell.plans import annotation, curation, scalars, sequences, trajectory  # noqa: F401
+    from tidewell.plans import annotation, curation, extensions, scalars, sequences, trajectory  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
