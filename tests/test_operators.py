@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell import sources, streaming
+from tidewell.functions import per_episode
 from tidewell.operators import annotation, curation, scalars, sequences, trajectory
 from tidewell.sources import sinks
 
@@ -93,7 +94,7 @@ def test_variance_autocorrelation_and_alignment_match_numpy(spark):
             c = x[:, k] - x[:, k].mean()
             each.append((c[:-lag] * c[lag:]).sum() / (c * c).sum())
         assert v == pytest.approx(np.mean(each))
-    shifted = df.withColumn("state", F.coalesce(F.lag("action", 3).over(sequences.EPISODE.orderBy("frame_index")), F.array(F.lit(0.0), F.lit(0.0))))
+    shifted = df.withColumn("state", F.coalesce(F.lag("action", 3).over(per_episode("frame_index")), F.array(F.lit(0.0), F.lit(0.0))))
     peak = trajectory.alignment(shifted, [(0, 0)]).orderBy(F.col("corr").desc()).first()
     assert peak["lag"] == 3
 

@@ -5,10 +5,16 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 
+def per_episode(*order: str | Column):
+    """The window of an episode's rows, in the given order if any."""
+    w = Window.partitionBy("episode_index")
+    return w.orderBy(*order) if order else w
+
+
 def js_round(c: Column, digits: int = 0) -> Column:
     """Round half up: floor(x + 0.5) at the given digits."""
     k = 10.0**digits

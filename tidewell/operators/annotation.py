@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.sequences import EPISODE, as_of
+from tidewell.functions import per_episode
+from tidewell.operators.sequences import as_of
 
 #: Styles that hold from their time on; all others are events at one frame.
 PERSISTENT = ("task_aug", "subtask", "plan", "memory")
@@ -84,7 +85,7 @@ def remap_persistent(kept: DataFrame, atoms: DataFrame, fps: float) -> DataFrame
     ``kept`` has the retained ``frame_index`` and ``timestamp`` of each episode. For each (style, role, camera) the
     atom in force is emitted at the first retained frame on which it differs from the one emitted last.
     """
-    numbered = kept.withColumn("new", F.row_number().over(EPISODE.orderBy("frame_index")) - 1)
+    numbered = kept.withColumn("new", F.row_number().over(per_episode("frame_index")) - 1)
     own = atoms.filter(F.col("style").isin(*PERSISTENT) & (F.col("style") != "task_aug"))
     keys = own.select("episode_index", "style", "role").distinct()
     marks = own.withColumn("atom", F.struct("seq", "content"))

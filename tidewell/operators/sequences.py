@@ -10,12 +10,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EPISODE = Window.partitionBy("episode_index")
+from tidewell.functions import per_episode
 
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:
     """``episode_index, start_frame, end_frame``: the union of an episode's intervals; touching ones become one."""
-    w = EPISODE.orderBy("start_frame", "end_frame")
+    w = per_episode("start_frame", "end_frame")
     before = F.max("end_frame").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = intervals.withColumn("opens", F.when(before.isNull() | (F.col("start_frame") > before), 1).otherwise(0))
     rows = rows.withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -30,14 +30,14 @@ def retained_frames(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     marks = merge_intervals(intervals).select("episode_index", F.col("start_frame").alias("frame_index"), F.col("end_frame").alias("stop"), F.lit(0).alias("kind"))
     rows = frames.withColumn("kind", F.lit(1)).withColumn("stop", F.lit(None).cast("bigint"))
     both = rows.unionByName(marks, allowMissingColumns=True)
-    last = F.last("stop", ignorenulls=True).over(EPISODE.orderBy("frame_index", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last("stop", ignorenulls=True).over(per_episode("frame_index", "kind").rowsBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("stop", last).filter((F.col("kind") == 1) & (F.col("stop").isNull() | (F.col("stop") <= F.col("frame_index"))))
     return out.select(*frames.columns)
 
 
 def kept_segments(kept: DataFrame) -> DataFrame:
     """``episode_index, source_start_frame, source_end_frame, output_start_frame``: runs of consecutive kept frames."""
-    rows = kept.select("episode_index", "frame_index", (F.row_number().over(EPISODE.orderBy("frame_index")) - 1).cast("bigint").alias("new"))
+    rows = kept.select("episode_index", "frame_index", (F.row_number().over(per_episode("frame_index")) - 1).cast("bigint").alias("new"))
     runs = rows.groupBy("episode_index", (F.col("frame_index") - F.col("new")).alias("shift"))
     return runs.agg(F.min("frame_index").alias("source_start_frame"), (F.max("frame_index") + 1).alias("source_end_frame"), F.min("new").alias("output_start_frame")).drop("shift")
 
@@ -62,7 +62,7 @@ def nearest_frame(points: DataFrame, frames: DataFrame) -> DataFrame:
     """
     marks = frames.select("episode_index", F.col("timestamp").alias("t"), F.lit(0).alias("kind"), F.struct("timestamp", "frame_index").alias("f"))
     both = points.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    w = EPISODE.orderBy("t", "kind")
+    w = per_episode("t", "kind")
     back = F.last("f", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("f", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     out = both.withColumn("back", back).withColumn("ahead", ahead).filter("kind = 1")
@@ -74,7 +74,7 @@ def nearest_frame(points: DataFrame, frames: DataFrame) -> DataFrame:
 
 def value_runs(frames: DataFrame, value: str) -> DataFrame:
     """``episode_index, run, value, start_frame, n``: maximal runs of equal values, in order."""
-    w = EPISODE.orderBy("frame_index")
+    w = per_episode("frame_index")
     rows = frames.withColumn("starts", F.when(~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1), 1).otherwise(0))
     rows = rows.withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("episode_index", "run").agg(F.min(value).alias("value"), F.min("frame_index").alias("start_frame"), F.count(F.lit(1)).alias("n"))
@@ -82,7 +82,7 @@ def value_runs(frames: DataFrame, value: str) -> DataFrame:
 
 def spans(marks: DataFrame, start: str, end: Column) -> DataFrame:
     """``marks`` with ``span_end``: where the next mark of the episode starts, or else ``end``."""
-    w = EPISODE.orderBy(start, "seq")
+    w = per_episode(start, "seq")
     return marks.withColumn("span_end", F.coalesce(F.lead(start).over(w), end))
 
 
@@ -93,7 +93,7 @@ def transition_pauses(frames: DataFrame, joints: list[Column], fps: float, entry
     which three windows in a row, each wholly in the run, see a joint move by more than ``move``.
     """
     window = max(2, round(0.2 * fps))
-    w = EPISODE.orderBy("frame_index")
+    w = per_episode("frame_index")
     last, mode = F.lag("mode").over(w), F.col("mode")
     switch = ((last == entry) & mode.isin(*others)) | (last.isin(*others) & (mode == entry))
     rows = frames.withColumn("changed", F.when(last.isNull() | (last != mode), 1).otherwise(0)).withColumn("switch", F.coalesce(switch, F.lit(False)))
@@ -115,7 +115,7 @@ def grip_diagnostic(frames: DataFrame, joints: dict[str, Column], least_joints:
     from the median of the first half second; it is smoothed over 11 frames, the ends repeated; the derivative is the
     difference of the smoothed values 5 frames ahead and back. Episodes with fewer usable joints give no rows.
     """
-    w = EPISODE.orderBy("frame_index")
+    w = per_episode("frame_index")
     rows = frames.select("episode_index", "frame_index", "timestamp", *[c.alias(k) for k, c in joints.items()])
     ends = rows.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("last"), *[F.percentile(k, F.array(F.lit(0.05), F.lit(0.95))).alias(f"q_{k}") for k in joints])
     rows = rows.join(ends, "episode_index")
@@ -128,7 +128,7 @@ def grip_diagnostic(frames: DataFrame, joints: dict[str, Column], least_joints:
     squares = reduce(lambda a, b: a + b, [F.coalesce((F.col(k) - F.col(f"b_{k}")) * (F.col(k) - F.col(f"b_{k}")), F.lit(0.0)) for k in joints])
     rows = rows.select("episode_index", "frame_index", "n", F.sqrt(squares / F.col("n_usable")).alias("aperture"))
     near = w.rowsBetween(-5, 5)
-    first, last = F.first("aperture").over(EPISODE.orderBy("frame_index")), F.last("aperture").over(EPISODE.orderBy("frame_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first, last = F.first("aperture").over(per_episode("frame_index")), F.last("aperture").over(per_episode("frame_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     short = F.greatest(F.lit(0), 5 - F.col("frame_index")) * first + F.greatest(F.lit(0), F.col("frame_index") + 6 - F.col("n")) * last
     rows = rows.withColumn("smoothed", (F.sum("aperture").over(near) + short) / 11)
     return rows.select("episode_index", "frame_index", "aperture", "smoothed", (F.lead("smoothed", 5).over(w) - F.lag("smoothed", 5).over(w)).alias("derivative"))

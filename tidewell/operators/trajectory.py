@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import element, even_position, js_round, norm
+from tidewell.functions import element, even_position, js_round, norm, per_episode
 
 ACTIVITY_SHARE = 0.001
 DISCRETE_VALUES = 4
-EPISODE = Window.partitionBy("episode_index")
-ORDERED = EPISODE.orderBy("frame_index")
 
 
 def long_form(frames: DataFrame, width: int, vector: str = "action") -> DataFrame:
@@ -22,7 +20,7 @@ def long_form(frames: DataFrame, width: int, vector: str = "action") -> DataFram
 
     Changes are taken on the vectors, before they are exploded: the window sorts one row a frame, not one a dimension.
     """
-    before = frames.select("episode_index", "frame_index", vector, F.lag(vector).over(ORDERED).alias("last"))
+    before = frames.select("episode_index", "frame_index", vector, F.lag(vector).over(per_episode("frame_index")).alias("last"))
     v = [F.struct(F.lit(k).alias("dim"), element(F.col(vector), k).alias("v"), F.when(F.col("last").isNotNull(), element(F.col(vector), k) - element(F.col("last"), k)).alias("delta")) for k in range(width)]
     return before.select("episode_index", "frame_index", F.inline(F.array(*v)))
 
@@ -32,7 +30,7 @@ def cross_episode_variance(frames: DataFrame, width: int, bins: int = 50) -> Dat
 
     A frame knows by arithmetic which bins it stands for, so bins are generated from frames and nothing is joined.
     """
-    lengths = frames.withColumn("n", F.count(F.lit(1)).over(EPISODE))
+    lengths = frames.withColumn("n", F.count(F.lit(1)).over(per_episode()))
     at = lambda b: F.floor(b / F.lit(float(bins - 1)) * (F.col("n") - 1) + F.lit(0.5))
     low = F.greatest(F.lit(0), F.floor((F.col("frame_index") - F.lit(0.5)) * F.lit(bins - 1) / F.greatest(F.col("n") - 1, F.lit(1))) - 1)
     high = F.least(F.lit(bins - 1), F.ceil((F.col("frame_index") + F.lit(0.5)) * F.lit(bins - 1) / F.greatest(F.col("n") - 1, F.lit(1))) + 1)
@@ -46,8 +44,8 @@ def cross_episode_variance(frames: DataFrame, width: int, bins: int = 50) -> Dat
 
 def movement_scores(frames: DataFrame, width: int) -> DataFrame:
     """``episode_index, movement``: mean length of the step between frames, to 4 digits; 0 with fewer than two frames."""
-    step = norm(F.col("action"), F.lag("action").over(ORDERED), width)
-    steps = frames.select("episode_index", F.when(F.lag("action").over(ORDERED).isNotNull(), step).alias("step"))
+    step = norm(F.col("action"), F.lag("action").over(per_episode("frame_index")), width)
+    steps = frames.select("episode_index", F.when(F.lag("action").over(per_episode("frame_index")).isNotNull(), step).alias("step"))
     return steps.groupBy("episode_index").agg(F.coalesce(js_round(F.avg("step"), 4), F.lit(0.0)).alias("movement"))
 
 

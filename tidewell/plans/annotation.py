@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import per_episode
 from tidewell.operators import annotation as A
 from tidewell.operators import sequences as S
 from tidewell.plans.registry import query
@@ -39,7 +40,7 @@ def atoms_by_style(spark, d):
 
 @query("atoms_ordered", f"WITH {ATOMS} SELECT episode_index, seq, row_number() OVER (PARTITION BY episode_index ORDER BY timestamp, coalesce(style, ''), coalesce(role, ''), seq) AS rank FROM atoms")
 def atoms_ordered(spark, d):
-    w = S.EPISODE.orderBy("timestamp", F.coalesce("style", F.lit("")), F.coalesce("role", F.lit("")), "seq")
+    w = per_episode("timestamp", F.coalesce("style", F.lit("")), F.coalesce("role", F.lit("")), "seq")
     return atoms(spark, d).select("episode_index", "seq", F.row_number().over(w).cast("bigint").alias("rank"))
 
 
@@ -139,7 +140,7 @@ def atoms_all_rows(spark, d):
 SELECT episode_index, 'subtask' AS style, 'assistant' AS role, start AS timestamp, content FROM segs UNION ALL SELECT episode_index, 'plan', 'assistant', start, 'until ' || coalesce(stop::INT::VARCHAR, 'end') FROM segs""")
 def legacy_atoms(spark, d):
     """Old segment records, each giving a subtask atom and a plan atom."""
-    w = S.EPISODE.orderBy("seq")
+    w = per_episode("seq")
     segs = atoms(spark, d).filter("style = 'subtask'").withColumn("stop", F.lead("timestamp").over(w))
     one = F.struct(F.lit("subtask").alias("style"), F.lit("assistant").alias("role"), F.col("timestamp"), F.col("content"))
     two = F.struct(F.lit("plan").alias("style"), F.lit("assistant").alias("role"), F.col("timestamp"), F.concat(F.lit("until "), F.coalesce(F.col("stop").cast("int").cast("string"), F.lit("end"))).alias("content"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import element
+from tidewell.functions import element, per_episode
 from tidewell.operators import scalars as C
 from tidewell.operators import sequences as S
 from tidewell.operators import trajectory as T
@@ -85,7 +85,7 @@ def episode_slice(spark, d):
 
 @query("progress_scale", f"WITH {EVENT_FRAMES} SELECT episode_index, frame_index, {r('frame_index / greatest(count(*) OVER (PARTITION BY episode_index) - 1, 1)::DOUBLE * 30')} AS t FROM event_frames")
 def progress_scale(spark, d):
-    n = F.count(F.lit(1)).over(S.EPISODE)
+    n = F.count(F.lit(1)).over(per_episode())
     return event_frames(spark, d).select("episode_index", "frame_index", rounded(F.col("frame_index") / F.greatest(n - 1, F.lit(1)) * 30).alias("t"))
 
 
@@ -98,7 +98,7 @@ def progress_column(spark, d):
 
 @query("motion_validate", f"WITH {FRAMES}, c AS (SELECT episode_index, timestamp > lag(timestamp) OVER (PARTITION BY episode_index ORDER BY frame_index) AS up, len(action) = 4 AS w, list_dot_product(action, action) > 0 AS q FROM frames) SELECT episode_index, bool_and(coalesce(up, TRUE)) AND bool_and(w) AND bool_and(q) AS valid FROM c GROUP BY 1")
 def motion_validate(spark, d):
-    up = F.coalesce(F.col("timestamp") > F.lag("timestamp").over(S.EPISODE.orderBy("frame_index")), F.lit(True))
+    up = F.coalesce(F.col("timestamp") > F.lag("timestamp").over(per_episode("frame_index")), F.lit(True))
     square = F.aggregate("action", F.lit(0.0), lambda s, x: s + x * x)
     rows = frames(spark, d).select("episode_index", up.alias("up"), (F.size("action") == 4).alias("w"), (square > 0).alias("q"))
     return rows.groupBy("episode_index").agg((F.bool_and("up") & F.bool_and("w") & F.bool_and("q")).alias("valid"))
@@ -137,7 +137,7 @@ def series_flatten(spark, d):
 @query("chart_rows", f"WITH {FRAMES} SELECT episode_index, frame_index, {r('frame_index / greatest(count(*) OVER (PARTITION BY episode_index) - 1, 1)::DOUBLE * 30')} AS timestamp, {r('action[1]')} AS quantity, (mode = 1)::INT AS flag FROM frames")
 def chart_rows(spark, d):
     """Wide rows with times spread evenly over the video, and booleans as numbers."""
-    n = F.count(F.lit(1)).over(S.EPISODE)
+    n = F.count(F.lit(1)).over(per_episode())
     t = rounded(F.col("frame_index") / F.greatest(n - 1, F.lit(1)) * 30)
     return frames(spark, d).select("episode_index", "frame_index", t.alias("timestamp"), rounded(F.col("action")[0]).alias("quantity"), (F.col("mode") == 1).cast("int").alias("flag"))
 
@@ -330,7 +330,7 @@ def duration_label(spark, d):
 @query("gripper_normalize", f"WITH {LONG}, m AS (SELECT episode_index, min(v) AS lo, max(v) AS hi FROM long WHERE dim = 0 GROUP BY 1) SELECT l.episode_index, frame_index, {r('(v - lo) / nullif(hi - lo, 0) * 0.044', 6)} AS width FROM long l JOIN m ON m.episode_index = l.episode_index WHERE dim = 0")
 def gripper_normalize(spark, d):
     v = F.col("action")[0]
-    lo, hi = F.min(v).over(S.EPISODE), F.max(v).over(S.EPISODE)
+    lo, hi = F.min(v).over(per_episode()), F.max(v).over(per_episode())
     return frames(spark, d).select("episode_index", "frame_index", rounded(F.try_divide(v - lo, hi - lo) * 0.044, 6).alias("width"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import per_episode
 from tidewell.operators import sequences as S
 from tidewell.operators.trajectory import element
 from tidewell.plans.registry import query
@@ -46,7 +47,7 @@ def kept_segments(spark, d):
 {r('action[1]')} AS a0, {r('action[2]')} AS a1 FROM kept""")
 def clip_frames(spark, d):
     rows = S.retained_frames(frames(spark, d).select("episode_index", "frame_index", "action"), exclusions(spark, d))
-    new = (F.row_number().over(S.EPISODE.orderBy("frame_index")) - 1).cast("bigint")
+    new = (F.row_number().over(per_episode("frame_index")) - 1).cast("bigint")
     return rows.select("episode_index", F.col("frame_index").alias("source_frame"), new.alias("frame_index"), rounded(element(F.col("action"), 0)).alias("a0"), rounded(element(F.col("action"), 1)).alias("a1"))
 
 
@@ -135,7 +136,7 @@ def snap_transitions(spark, d):
 AND abs(trunc(b.timestamp * 1000) - trunc(a.timestamp * 1000)) <= 43200000 GROUP BY ALL""")
 def events_at(spark, d):
     """Events of the episode within half a day of each; a range window in place of a band join."""
-    w = S.EPISODE.orderBy((F.col("timestamp") * 1000).cast("bigint")).rangeBetween(-43_200_000, 43_200_000)
+    w = per_episode((F.col("timestamp") * 1000).cast("bigint")).rangeBetween(-43_200_000, 43_200_000)
     return event_frames(spark, d).select("episode_index", "frame_index", (F.count(F.lit(1)).over(w) - 1).alias("n_near"))
 
 
@@ -159,7 +160,7 @@ def value_runs(spark, d):
 @query("monotonic_check", f"""WITH {EVENT_FRAMES}, c AS (SELECT *, lag(timestamp) OVER (PARTITION BY episode_index ORDER BY frame_index) AS last FROM event_frames)
 SELECT episode_index, count(*) AS n, bool_and(coalesce(timestamp > last, TRUE)) AS increasing, min(frame_index) = 0 AND max(frame_index) = count(*) - 1 AS contiguous FROM c GROUP BY 1""")
 def monotonic_check(spark, d):
-    w = S.EPISODE.orderBy("frame_index")
+    w = per_episode("frame_index")
     c = event_frames(spark, d).withColumn("up", F.coalesce(F.col("timestamp") > F.lag("timestamp").over(w), F.lit(True)))
     n = F.count(F.lit(1))
     return c.groupBy("episode_index").agg(n.alias("n"), F.bool_and("up").alias("increasing"), ((F.min("frame_index") == 0) & (F.max("frame_index") == n - 1)).alias("contiguous"))
@@ -235,7 +236,7 @@ def frame_task_index(spark, d):
 SELECT episode_index, style, seq, timestamp AS start, coalesce(lead(timestamp) OVER (PARTITION BY episode_index, style ORDER BY timestamp, seq), duration) AS stop
 FROM atoms JOIN e USING (episode_index) WHERE style IN ('subtask', 'plan')""")
 def lane_spans(spark, d):
-    a = atoms(spark, d).withColumn("duration", F.max("timestamp").over(S.EPISODE) + 1).filter(F.col("style").isin("subtask", "plan"))
+    a = atoms(spark, d).withColumn("duration", F.max("timestamp").over(per_episode()) + 1).filter(F.col("style").isin("subtask", "plan"))
     w = Window.partitionBy("episode_index", "style").orderBy("timestamp", "seq")
     return a.select("episode_index", "style", "seq", F.col("timestamp").alias("start"), F.coalesce(F.lead("timestamp").over(w), "duration").alias("stop"))
 
