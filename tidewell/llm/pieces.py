@@ -14,7 +14,8 @@ just these two; one piece at most does. So the ids are those that merging pair b
 Defined cases: a null or empty text has no ids; U+2581 in a text stands for a space, as in the format; characters
 outside the vocabulary become byte pieces, or the unknown piece if the model has none; very long words are searched
 like others; repeated rows get equal results; other columns are not read. The memory for words is bounded:
-``CACHE_WORDS`` words are kept between groups of at most ``CHUNK_CHARS`` characters or one text.
+``CACHE_WORDS`` words are kept between groups of at most ``CHUNK_BYTES`` bytes of text, or one text, and as
+many pairs of pieces.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, ship
+from tidewell.llm.common import documents, map_texts, ship
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_WORDS, CHUNK_CHARS = 400_000, 2 << 20
+CACHE_WORDS, CHUNK_BYTES = 150_000, 1 << 20
 MARK = "▁"
 
 # Fixed values of the model format: kinds of pieces, and kinds of models.
@@ -154,7 +156,7 @@ class PieceModel:
         """
         key = (a, b)
         if (fit := self.fits.get(key)) is None:
-            if len(self.fits) > 4 * CACHE_WORDS:
+            if len(self.fits) > 2 * CACHE_WORDS:
                 self.fits.clear()
             if self.apart and self.whole(a) and self.whole(b):
                 fit = True
@@ -304,28 +306,19 @@ def load(data: bytes) -> PieceModel:
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """``doc_id, ids, n_tokens, round_trip``: ids of each whole text, and whether decoding them gives it back."""
-    spark = docs.sparkSession
-    ship(spark)
     with open(model_path, "rb") as f:
-        shipped = spark.sparkContext.broadcast(f.read())
+        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("ids array<int>, n_tokens bigint, round_trip boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def compute(texts: list[str | None]) -> list[pa.Array]:
         model = load(shipped.value)
-        for batch in batches:
-            rows: list[tuple] = []
-            group: list[str | None] = []
-            chars = 0
-            for k, text in enumerate(batch):
-                group.append(text)
-                chars += len(text or "")
-                if chars >= CHUNK_CHARS or k == len(batch) - 1:
-                    for t, ids in zip(group, model.encode(group), strict=True):
-                        rows.append((ids, len(ids), model.decode(ids.tolist()) == (t or "").replace(MARK, " ")))
-                    group, chars = [], 0
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "round_trip"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), run("text").alias("r")).select("doc_id", "r.*")
+        ids = model.encode(texts)
+        counts = np.array([len(x) for x in ids], np.int64)
+        same = [model.decode(x.tolist()) == (t or "").replace(MARK, " ") for t, x in zip(texts, ids, strict=True)]
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(counts), pa.array(same, pa.bool_())]
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return map_texts(rows, ["doc_id"], compute, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean", CHUNK_BYTES)
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
