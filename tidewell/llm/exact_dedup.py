@@ -46,6 +46,7 @@ class DigestIndex:
     def append(self, rows: DataFrame) -> DataFrame:
         """Add the digests of ``rows`` (``doc_id, digest``) that the index lacks; returns the index."""
         batch = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        batch = materialise(batch, "batch")  # else the optimiser moves the anti-join, and its shuffle, before the combining
         fresh = batch.join(self.table.select("digest").hint("merge"), "digest", "left_anti")
         (
             fresh.repartition(self.buckets, "digest")
