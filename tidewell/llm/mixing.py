@@ -31,7 +31,7 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 #: Words of a shard at least, and shards at most.
-SHARD_WORDS, MAX_SHARDS = 4_000_000, 65_536
+SHARD_WORDS, MAX_SHARDS = 200_000, 65_536
 #: Blocks that a mix has, if their size stays within these words.
 BLOCKS, BLOCK_WORDS = 65_536, (1, 4096)
 SEED = 20
