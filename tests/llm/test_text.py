@@ -157,8 +157,9 @@ def test_chat_edge_cases(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(list("\\<>/s[]INSTROLE a") + ["</s>", "[INST]"]), max_size=30))
-def test_escape_is_reversible_and_leaves_no_control_string(text):
+@given(st.lists(st.sampled_from([*"\\<>/s[]INSTROLE a\n", *chat.CONTROL]), max_size=20))
+def test_escape_is_reversible_and_leaves_no_control_string(parts):
+    text = "".join(parts)
     escaped = chat.escape(text)
     assert chat.unescape(escaped) == text and not any(c in escaped for c in chat.CONTROL)
 

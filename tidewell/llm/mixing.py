@@ -151,7 +151,7 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rows = sized(docs, F.struct(*docs.columns).alias("row"))
     p = plan(materialise(sized(docs), "sizes"), rows, seed)
     texts = F.concat(F.array_repeat(F.col("row.text"), F.col("full").cast("int")), parts(F.col("row.text"), "ranges"))
-    p = p.filter((F.col("full") > 0) | (F.size("ranges") > 0)).select("row", F.explode(texts).alias("part"))
+    p = p.filter((F.col("size") > 0) & ((F.col("full") > 0) | (F.size("ranges") > 0))).select("row", F.explode(texts).alias("part"))
     return p.select(*[F.col("part").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
