@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import documents, map_texts, ship
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_WORDS, CHUNK_BYTES = 150_000, 1 << 20
+CACHE_WORDS, CHUNK_BYTES = 300_000, 2 << 20
 MARK = "▁"
+#: Ranges of Latin letters, as a class of a pattern.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 
 # Fixed values of the model format: kinds of pieces, and kinds of models.
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
@@ -108,9 +110,16 @@ class PieceModel:
         runs = [s for p, s in self.scores.items() if len(p) > 1 and not p.strip(MARK)]
         self.apart = self.kind == BPE and apart and max(runs, default=-1e9) <= min((s for p, s in self.scores.items() if p.strip(MARK)), default=0)
         # with runs of marks merged after all else, words and the marks before them can be searched apart
-        self.words = re.compile(f"{MARK}+(?={MARK})|{MARK}?[^{MARK}\n]+|{MARK}|\n" if self.apart else f"{MARK}*[^{MARK}]*", re.DOTALL)
+        whole = f"{MARK}*[^{MARK}]*"
+        if self.apart:
+            # where no piece holds a Latin letter beside another character, runs of either are searched apart as well
+            mixed = any(re.search(f"[{LATIN}][^{LATIN}]|[^{LATIN}{MARK}][{LATIN}]", p) for p in self.ids)
+            runs_of = f"{MARK}?[^{MARK}\n]+" if mixed else f"{MARK}?[{LATIN}]+|{MARK}?[^{LATIN}{MARK}\n]+"
+            whole = f"{MARK}+(?={MARK})|{runs_of}|{MARK}|\n"
+        self.words = re.compile(whole, re.DOTALL)
         self.cache: dict[str, tuple[int, ...]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.n_fits = 0
         self.edges: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
         self.wholes: dict[str, bool] = {}
         self.runs: dict[int, list[int]] = {}
@@ -154,10 +163,11 @@ class PieceModel:
 
         Of equal ranks the pair further left is joined first: within ``a``, then across, then within ``b``.
         """
-        key = (a, b)
-        if (fit := self.fits.get(key)) is None:
-            if len(self.fits) > 2 * CACHE_WORDS:
-                self.fits.clear()
+        if self.n_fits > 2 * CACHE_WORDS:
+            self.fits.clear()
+            self.n_fits = 0
+        known = self.fits.setdefault(a, {})
+        if (fit := known.get(b)) is None:
             if self.apart and self.whole(a) and self.whole(b):
                 fit = True
                 for left, born, end in self._edge(a, 1):
@@ -166,7 +176,8 @@ class PieceModel:
                             fit = False
             else:
                 fit = self.merged(a + b) == ([a, b] if a else [b])
-            self.fits[key] = fit
+            known[b] = fit
+            self.n_fits += 1
         return fit
 
     def whole(self, piece: str) -> bool:
@@ -178,9 +189,12 @@ class PieceModel:
     # all words, in order
 
     def search(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """The pieces of each of the sorted ``words``; the states of a prefix serve all words that share it."""
+        """The pieces of each of the sorted ``words``; the states of a prefix serve all words that share it.
+
+        A state is the last piece of its prefix; ``best`` has the scores beside them where the model has need of them.
+        """
         extend = self._merge_on if self.kind == BPE else self._viterbi_on
-        before, states = "", [("", 0.0)]
+        before, states, best = "", [""], [0.0]
         for word in words:
             shared, most = 0, min(len(before), len(word))
             if before[:most] == word[:most]:
@@ -188,43 +202,44 @@ class PieceModel:
             else:
                 while before[shared] == word[shared]:
                     shared += 1
-            del states[shared + 1 :]
-            extend(word, shared + 1, states)
+            del states[shared + 1 :], best[shared + 1 :]
+            extend(word, shared + 1, states, best)
             parts, end = [], len(word)
             while end:
-                piece = states[end][0]
+                piece = states[end]
                 parts.append(piece)
                 end -= len(piece)
             parts.reverse()
             yield word, parts
             before = word
 
-    def _merge_on(self, word: str, end: int, states: list) -> None:
+    def _merge_on(self, word: str, end: int, states: list[str], best: list[float]) -> None:
         """Append the states of ``word``'s prefixes from ``end`` on: the last piece of each one's merge result."""
-        ids, fits, sizes = self.ids, self.fits, self.sizes
+        ids, fits, sizes, none = self.ids, self.fits, self.sizes, {}
         for end in range(end, len(word) + 1):
             for size in sizes.get(word[end - 2 : end] if end > 1 else word[0], (1,)):
                 if size > end:
                     continue
                 piece = word[end - size : end]
                 if piece in ids:
-                    last = states[end - size][0]
-                    fit = fits.get((last, piece))
+                    last = states[end - size]
+                    fit = fits.get(last, none).get(piece)
                     if self.follows(last, piece) if fit is None else fit:
-                        states.append((piece, 0.0))
+                        states.append(piece)
                         break
             else:
-                states.append((word[end - 1], 0.0))  # outside the vocabulary: joined with nothing
+                states.append(word[end - 1])  # outside the vocabulary: joined with nothing
 
-    def _viterbi_on(self, word: str, end: int, states: list) -> None:
+    def _viterbi_on(self, word: str, end: int, states: list[str], best: list[float]) -> None:
         """Append the states of ``word``'s prefixes from ``end`` on: last piece and score of each one's best segmentation."""
         for end in range(end, len(word) + 1):
-            best = (word[end - 1], states[end - 1][1] + self.scores.get(word[end - 1], self.worst))
+            last, top = word[end - 1], best[end - 1] + self.scores.get(word[end - 1], self.worst)
             for size in self.sizes.get(word[end - 2 : end], ()):
                 piece = word[end - size : end]
-                if 1 < size <= end and piece in self.scores and (score := states[end - size][1] + self.scores[piece]) > best[1]:
-                    best = (piece, score)
-            states.append(best)
+                if 1 < size <= end and piece in self.scores and (score := best[end - size] + self.scores[piece]) > top:
+                    last, top = piece, score
+            states.append(last)
+            best.append(top)
 
     def run(self, marks: int) -> list[int]:
         """Ids of a run of marks that joins nothing else. Pieces grow from the left, so a long run repeats its first."""
