@@ -34,10 +34,12 @@ THRESHOLD = 2
 #: Characters that a line must have for an approximate match; of shorter ones, two edits would change the words.
 LEAST = 24
 #: Letters whose counts, modulo 16, are compared before texts are; any letters are right, frequent ones are sharp.
-LETTERS = "etaonir"
+LETTERS = "etaoinsrhldcumf"
 #: Places of a line within its document fit below this.
 PLACES = 1 << 31
 _LAST = (1 << 63) - 1
+#: Pairs that one task verifies, some milliseconds each.
+PAIRS_A_TASK = 500
 
 
 def _starts(length: Column, parts: int) -> list[Column]:
@@ -75,7 +77,8 @@ def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
 
 def letter_counts(line: Column) -> Column:
     """Counts of ``LETTERS``, modulo 16, four bits each."""
-    counts = [F.shiftleft(F.pmod(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(16)), 4 * k) for k, c in enumerate(LETTERS)]
+    missing = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    counts = [F.shiftleft(F.pmod(missing(c), F.lit(16)).cast("bigint"), 4 * k) for k, c in enumerate(LETTERS)]
     return reduce(add, counts)
 
 
@@ -99,36 +102,45 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     """
     width = 2 * threshold + 1
     mask = (1 << width) - 1
-    first, second = F.split(a, ""), F.split(b, "")
-    m, n = F.size(first), F.size(second)
     none = F.lit(0)
 
-    def row(j: Column, k: int) -> Column:
-        at = j + F.lit(k - threshold - 1)
-        return F.get(first, F.when(at >= 0, at).otherwise(F.lit(-1)))
+    def run(texts: Column) -> Column:
+        first, second = texts["first"], texts["second"]
+        m, n = F.size(first), F.size(second)
 
-    def matches(j: Column) -> Column:
-        bits = [F.when(row(j, k) == F.get(second, j - 1), F.lit(1 << k)).otherwise(none) for k in range(width)]
-        return F.struct(j.alias("j"), reduce(add, bits).alias("same"))
+        def row(j: Column, k: int) -> Column:
+            at = j + F.lit(k - threshold - 1)
+            return F.get(first, F.when(at >= 0, at).otherwise(F.lit(-1)))
 
-    def step(state: Column, column: Column) -> Column:
-        j, same, up, down = column["j"], column["same"], state["up"], state["down"]
-        level = (same.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(same).bitwiseOR(down).bitwiseAND(F.lit(mask))
-        bit = F.call_function("shiftleft", F.lit(1), F.greatest(m - j + F.lit(threshold), none))
+        def matches(j: Column) -> Column:
+            bits = [F.when(row(j, k) == F.get(second, j - 1), F.lit(1 << k)).otherwise(none) for k in range(width)]
+            return F.struct(j.alias("j"), reduce(add, bits).alias("same"))
 
-        def follow(flat: Column) -> Column:  # the array of one stands for a name: ``level`` is computed once
-            right, left = down.bitwiseOR(F.lit(mask) - flat.bitwiseOR(up)), flat.bitwiseAND(up)
-            ahead = F.shiftright(flat, 1)
-            diagonal = F.when(flat.bitwiseAND(F.lit(1 << (width - 1))) == 0, F.lit(1)).otherwise(none)
-            across = F.when(right.bitwiseAND(bit) != 0, F.lit(1)).when(left.bitwiseAND(bit) != 0, F.lit(-1)).otherwise(none)
-            score = state["score"] + F.when(j + F.lit(threshold) <= m, diagonal).otherwise(across)
-            return F.struct(left.bitwiseOR(F.lit(mask) - ahead.bitwiseOR(right)).alias("up"), ahead.bitwiseAND(right).alias("down"), score.alias("score"))
+        def step(state: Column, column: Column) -> Column:
+            j, same, up, down = column["j"], column["same"], state["up"], state["down"]
+            level = (same.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(same).bitwiseOR(down).bitwiseAND(F.lit(mask))
+            bit = F.call_function("shiftleft", F.lit(1), F.greatest(m - j + F.lit(threshold), none))
 
-        return F.get(F.transform(F.array(level), follow), none)
+            def follow(flat: Column) -> Column:
+                right, left = down.bitwiseOR(F.lit(mask) - flat.bitwiseOR(up)), flat.bitwiseAND(up)
+                ahead = F.shiftright(flat, 1)
+                diagonal = F.when(flat.bitwiseAND(F.lit(1 << (width - 1))) == 0, F.lit(1)).otherwise(none)
+                across = F.when(right.bitwiseAND(bit) != 0, F.lit(1)).when(left.bitwiseAND(bit) != 0, F.lit(-1)).otherwise(none)
+                score = state["score"] + F.when(j + F.lit(threshold) <= m, diagonal).otherwise(across)
+                return F.struct(left.bitwiseOR(F.lit(mask) - ahead.bitwiseOR(right)).alias("up"), ahead.bitwiseAND(right).alias("down"), score.alias("score"))
 
-    start = F.struct(F.lit(((1 << (threshold + 1)) - 1) << threshold).alias("up"), none.alias("down"), F.lit(threshold).alias("score"))
-    columns = F.transform(F.sequence(F.lit(1), n), matches)
-    return F.aggregate(columns, start, step, lambda s: s["score"] <= F.lit(threshold))
+            return _let(level, follow)
+
+        start = F.struct(F.lit(((1 << (threshold + 1)) - 1) << threshold).alias("up"), none.alias("down"), F.lit(threshold).alias("score"))
+        columns = F.transform(F.sequence(F.lit(1), n), matches)
+        return F.aggregate(columns, start, step, lambda s: s["score"] <= F.lit(threshold))
+
+    return _let(F.struct(F.split(a, "").alias("first"), F.split(b, "").alias("second")), run)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: a lambda over an array of one stands for a name."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _doc() -> Column:
@@ -149,31 +161,41 @@ def _order(doc: Column, place: Column) -> Column:
     return doc.cast("decimal(38,0)") * F.lit(PLACES).cast("decimal(11,0)") + place.cast("decimal(11,0)")
 
 
-def near_links(distinct: DataFrame, lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``a, first_a, b, first_b``: pairs of distinct lines (by their MD5) within ``threshold`` edits, ``first_a`` earlier.
+def identity() -> list[Column]:
+    """128 bits that name a line: ``id, id2``."""
+    return [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2")]
+
+
+def near_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``id, id2, near``: ends of pairs of distinct lines within ``threshold`` edits.
 
-    ``distinct`` has ``line`` and the order ``first`` of its first copy; ``lines`` has every line, for fetching texts.
+    ``near`` is the order of the first copy of the other line if that comes earlier, else null.
     """
-    long = distinct.select("line", F.length("line").alias("length"), F.xxhash64("line").alias("id")).filter(F.col("length") >= LEAST)
-    long = long.withColumn("counts", letter_counts(F.col("line")))
-    keys = lambda cols, name: long.select(F.explode(F.array(*cols)).alias("key"), F.col("id").alias(name), F.col("counts").alias(f"counts_{name}")).filter("key IS NOT NULL")
-    index = keys(index_keys(F.col("line"), F.col("length"), threshold), "a")
-    probe = keys(probe_keys(F.col("line"), F.col("length"), threshold), "b")
+    line, length = F.col("line"), F.length("line")
+    long = lines.filter(length >= LEAST)
+    index, probe = index_keys(line, length, threshold), probe_keys(line, length, threshold)
+    names = [f"i{k}" for k in range(len(index))], [f"p{k}" for k in range(len(probe))]
+    keyed = long.select(*identity(), letter_counts(line).alias("counts"), *[k.alias(n) for k, n in zip(index + probe, names[0] + names[1], strict=True)])
+    # of a line's copies one row is left, by a map-side combine over numbers of fixed width; no text is shuffled
+    keyed = keyed.groupBy("id", "id2").agg(*[F.first(c).alias(c) for c in ["counts", *names[0], *names[1]]])
+    every = F.posexplode(F.array(*names[0], *names[1])).alias("at", "key")  # all columns on either side: one exchange serves both
+    side = lambda x, own: keyed.select(every, F.col("id").alias(x), F.col("counts").alias(f"counts_{x}")).filter(own & F.col("key").isNotNull())
+    left, right = side("a", F.col("at") < len(index)), side("b", F.col("at") >= len(index))
     alike = (F.col("a") != F.col("b")) & (counts_differ(F.col("counts_a"), F.col("counts_b")) <= F.lit(2 * threshold))
-    pairs = index.hint("merge").join(probe.hint("merge"), (index["key"] == probe["key"]) & alike)
+    pairs = left.hint("merge").join(right.hint("merge"), (left["key"] == right["key"]) & alike)
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    n_pairs = pairs.count()
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = maybe_broadcast(ids, 2 * pairs.count(), 32)
-    texts = lines.withColumn("id", F.xxhash64("line")).join(wanted, "id", "left_semi")
-    texts = materialise(texts.groupBy("id", "line").agg(F.min(_order(F.col("doc"), F.col("place"))).alias("first")), "line-texts")
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.abs(F.length("line_a") - F.length("line_b")) <= threshold)
-    shorter = F.length("line_a") <= F.length("line_b")
-    near = within(F.when(shorter, F.col("line_a")).otherwise(F.col("line_b")), F.when(shorter, F.col("line_b")).otherwise(F.col("line_a")), threshold)
-    linked = both.filter(near).select(F.md5(F.col("line_a").cast("binary")).alias("a"), "first_a", F.md5(F.col("line_b").cast("binary")).alias("b"), "first_b")
-    early = F.col("first_a") < F.col("first_b")
-    pick = lambda x, y: F.when(early, F.col(x)).otherwise(F.col(y))
-    return linked.select(pick("a", "b").alias("a"), pick("first_a", "first_b").alias("first_a"), pick("b", "a").alias("b"), pick("first_b", "first_a").alias("first_b"))
+    texts = lines.select("doc", "place", "line", *identity()).join(maybe_broadcast(ids, 2 * n_pairs, 32), "id", "left_semi")
+    texts = materialise(texts.groupBy("id", "id2", "line").agg(F.min(_order(F.col("doc"), F.col("place"))).alias("first")), "line-texts")
+    end = lambda x: texts.select(F.col("id").alias(x), F.col("id2").alias(f"{x}2"), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").filter(F.abs(F.length("line_a") - F.length("line_b")) <= threshold)
+    both = both.repartition(max(1, n_pairs // PAIRS_A_TASK), "a", "b")  # small rows, but much work each
+    swap = F.length("line_a") > F.length("line_b")
+    short, long_ = F.when(swap, F.col("line_b")).otherwise(F.col("line_a")), F.when(swap, F.col("line_a")).otherwise(F.col("line_b"))
+    linked = both.filter(within(short, long_, threshold))
+    ends = [F.struct(F.col(x).alias("id"), F.col(f"{x}2").alias("id2"), F.when(F.col(f"first_{y}") < F.col(f"first_{x}"), F.col(f"first_{y}")).alias("near")) for x, y in ("ab", "ba")]
+    return linked.select(F.inline(F.array(*ends)))
 
 
 def decisions(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -183,16 +205,12 @@ def decisions(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     equal or near. ``links``: distinct other lines that are near.
     """
     lines = lines_of(docs)
-    distinct = lines.groupBy("line").agg(F.min(_order(F.col("doc"), F.col("place"))).alias("first"))
-    links = materialise(near_links(distinct, lines, threshold), "line-links")
-    ends = links.select(F.col("b").alias("hash"), F.col("first_a").alias("near"), F.lit(1).alias("one"))
-    ends = ends.union(links.select(F.col("a").alias("hash"), F.lit(None).cast("decimal(38,0)").alias("near"), F.lit(1).alias("one")))
-    ends = materialise(ends.groupBy("hash").agg(F.min("near").alias("near"), F.sum("one").alias("links")), "line-ends")
-    ends = maybe_broadcast(ends, ends.count(), 96)
-    places = lines.select("doc", "body", "place", F.md5(F.col("line").cast("binary")).alias("hash"))
-    firsts = places.groupBy("hash").agg(F.min(_order(F.col("doc"), F.col("place"))).alias("first"))
+    ends = near_links(lines, threshold).groupBy("id", "id2").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("links"))
+    ends = materialise(ends, "line-ends")
+    places = materialise(lines.select("doc", "body", "place", *identity()), "line-places")
     own = _order(F.col("doc"), F.col("place"))
-    out = places.join(firsts, "hash").join(ends, "hash", "left")
+    firsts = places.groupBy("id", "id2").agg(F.min(own).alias("first"))
+    out = places.join(firsts, ["id", "id2"]).join(maybe_broadcast(ends, ends.count(), 96), ["id", "id2"], "left")
     kind = F.when(own > F.col("first"), F.lit(1)).when(F.col("near").isNotNull(), F.lit(2)).otherwise(F.lit(0))
     least = F.least("first", "near")
     origin = ((least - F.pmod(least, F.lit(PLACES).cast("decimal(11,0)"))) / F.lit(PLACES)).cast("bigint")
