@@ -77,7 +77,7 @@ def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
 
 def letter_counts(line: Column) -> Column:
     """Counts of ``LETTERS``, modulo 16, four bits each."""
-    missing = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+    missing = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
     counts = [F.shiftleft(F.pmod(missing(c), F.lit(16)).cast("bigint"), 4 * k) for k, c in enumerate(LETTERS)]
     return reduce(add, counts)
 
