@@ -101,6 +101,24 @@ def test_survivors_keep_pairs_at_the_threshold():
     assert len(near_dedup.survivors(a, c, i, i)) <= 0.01 * len(a)
 
 
+@pytest.mark.parametrize(("n", "m", "size"), [(120, 90, 60), (6, 4, 3000), (1, 1, 3)])
+def test_similar_pairs_count_like_sets(n, m, size):
+    import numpy as np
+
+    r = np.random.default_rng(n)
+    base = np.unique(r.integers(0, 1 << 62, size, np.uint64))
+    some = lambda: np.unique(np.concatenate([r.choice(base, int(len(base) * r.uniform(0.7, 1)), replace=False), r.integers(0, 1 << 62, size // 8, np.uint64)]))
+    a, b = [some() for _ in range(n)], [some() for _ in range(m)]
+    i, j = np.nonzero(r.random((n, m)) < 0.7)
+    want = [100 * len(set(a[x].tolist()) & set(b[y].tolist())) >= 75 * len(set(a[x].tolist()) | set(b[y].tolist())) for x, y in zip(i, j, strict=True)]
+    assert near_dedup.similar_pairs(a, b, i, j).tolist() == want
+
+
+def test_letter_counts_bound_the_edits(line_pairs):
+    bound = line_dedup.counts_differ(line_dedup.letter_counts(F.col("a")), line_dedup.letter_counts(F.col("b")))
+    assert line_pairs.filter(bound > 2 * F.col("d")).count() == 0
+
+
 def test_shingle_hashes_are_distinct():
     for r in table("documents")[:60]:
         assert len(near_dedup.shingles([r["text"]])[0]) == len(shingles(r["text"]))
