@@ -10,7 +10,7 @@ Candidates are taken in two steps, so that a bucket of any size never yields all
 2. in buckets that still hold nodes of different components of the links so far, the other pairs of nodes of different
    components, compared inside tasks, block of nodes against block of nodes. Pairs within a component cannot change
    the result and are not compared. Nothing is capped: a bucket of n nodes has its n^2 / BLOCK^2 pairs of blocks
-   spread over that many tasks' groups, and only survivors become rows.
+   spread over as many groups, and no pair becomes a row but the links that join two components.
 
 A pair's signatures are compared in batches of ``BATCH``. After each batch the posterior of the similarity, from a
 uniform prior and the agreements so far, prunes the pair once the chance that it reaches the threshold is below
@@ -41,6 +41,8 @@ WORDS, THRESHOLD = 5, (75, 100)
 HASHES, ROWS = 128, 4
 BATCH, MISS = 32, 1e-4
 BLOCK = 256
+#: Elements of the sets that are counted at once.
+SLICE = 8192
 #: Bytes of texts that are shingled together; numpy holds some fifty times as many bytes meanwhile.
 CHUNK_BYTES = 1 << 20
 
@@ -172,62 +174,121 @@ def _probable(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.filter(stays("s_a", "s_b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of ``a, b`` pairs, those whose full shingle sets reach the threshold."""
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, hashes`` of the ``wanted`` nodes: their shingle sets, made again from their texts."""
 
     def sets(texts: list[str | None]) -> list[pa.Array]:
         raw = [s.tobytes() for s in shingles(texts)]
         return [pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())]
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(THRESHOLD[1] * both >= THRESHOLD[0] * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(wanted.join(nodes.select("node", "low", "set_key"), "node"), "wanted")
+    wanted = materialise(wanted.distinct().join(nodes.select("node", "low", "set_key"), "node"), "wanted")
     ids = maybe_broadcast(wanted.select(F.col("low").alias("doc_id")).distinct(), wanted.count(), 64)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     texts = map_texts(texts, [], sets, "set_key binary, hashes binary", CHUNK_BYTES).groupBy("set_key").agg(F.first("hashes").alias("hashes"))
-    full = materialise(wanted.join(texts, "set_key").select("node", "hashes"), "sets")
+    return materialise(wanted.join(texts, "set_key").select("node", "hashes"), "sets")
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets reach the threshold, in whole numbers."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return THRESHOLD[1] * both >= THRESHOLD[0] * (len(a) + len(b) - both)
+
+
+def similar_pairs(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a[i], b[j]) of sets reach the threshold.
+
+    Many pairs of the same sets are counted at once, as products of 0/1 matrices over slices of the elements; sums of
+    ones stay whole in 32-bit floats. The cheaper of this and pair by pair is taken.
+    """
+    own = [np.unique(k, return_inverse=True) for k in (i, j)]
+    sides = [[s[k] for k in rows] for s, (rows, _) in zip((a, b), own, strict=True)]
+    elements = np.unique(np.concatenate([*sides[0], *sides[1]])) if len(i) else np.empty(0, np.uint64)
+    if len(i) * 40e-6 <= len(sides[0]) * len(sides[1]) * len(elements) * 1e-10:
+        return np.array([similar(a[k], b[m]) for k, m in zip(i.tolist(), j.tolist(), strict=True)], bool)
+    places = [(np.repeat(np.arange(len(side)), [len(s) for s in side]), np.searchsorted(elements, np.concatenate(side))) for side in sides]
+    both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    for start in range(0, len(elements), SLICE):
+        marks = []
+        for side, (row, at) in zip(sides, places, strict=True):
+            here = (at >= start) & (at < start + SLICE)
+            m = np.zeros((len(side), SLICE), np.float32)
+            m[row[here], at[here] - start] = 1
+            marks.append(m)
+        both += marks[0] @ marks[1].T
+    sizes = [np.array([len(s) for s in side]) for side in sides]
+    x, y = own[0][1], own[1][1]
+    inter = both[x, y].astype(np.int64)
+    return THRESHOLD[1] * inter >= THRESHOLD[0] * (sizes[0][x] + sizes[1][y] - inter)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of ``a, b`` pairs, those whose full shingle sets reach the threshold."""
+
+    @F.pandas_udf("boolean")
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    full = _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), nodes, docs)
     side = lambda x: full.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(linked("h_a", "h_b")).select("a", "b")
 
 
-def _other_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Probable pairs of nodes that share a bucket but not a component, less those with the bucket's smallest node."""
+def _other_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components that share a bucket: enough of them to join all that any pair there joins.
+
+    A task gets two blocks of a bucket's nodes with signatures and full sets. A pair is left to the first band that it
+    shares, pruned by its signatures, and verified; of the links those that join components are returned.
+    """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi AND n > 2")
     parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = placed.join(mixed.select("bucket", parts.alias("parts")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.join(nodes.select("node", F.col("n").alias("n_set"), "signature"), "node")
+    rows = materialise(placed.join(mixed.select("bucket", parts.alias("parts")), "bucket"), "mixed")
+    full = _full_sets(rows.select("node"), nodes, docs).join(nodes.select("node", "signature"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(full, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "leader", "root", "n_set", "signature")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "leader", "root", "signature", "hashes")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _runs(batches, ["bucket", "i", "j"]):
-            i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-            x = group[group["own"] == i]
-            y = group[group["own"] == j]
+            i, j, band = (int(group[c].iloc[0]) for c in ("i", "j", "band"))
+            x, y = group[group["own"] == i], group[group["own"] == j]
             if not len(x) or not len(y):
                 continue
-            ra, rb, sa, sb = x["root"].to_numpy(), y["root"].to_numpy(), x["n_set"].to_numpy(), y["n_set"].to_numpy()
-            fit = (ra[:, None] != rb) & (THRESHOLD[1] * np.minimum(sa[:, None], sb) >= THRESHOLD[0] * np.maximum(sa[:, None], sb))
-            na, nb, lead = x["node"].to_numpy(), y["node"].to_numpy(), group["leader"].iloc[0]
-            fit &= (na[:, None] != lead) & (nb != lead)
+            sets = [[np.frombuffer(h, np.uint64) for h in side["hashes"]] for side in (x, y)]
+            nodes_, roots_ = [[side[c].to_numpy() for side in (x, y)] for c in ("node", "root")]
+            sizes = [np.array([len(h) for h in hs]) for hs in sets]
+            low, high = np.minimum(sizes[0][:, None], sizes[1]), np.maximum(sizes[0][:, None], sizes[1])
+            fit = (roots_[0][:, None] != roots_[1]) & (THRESHOLD[1] * low >= THRESHOLD[0] * high)
+            lead = group["leader"].iloc[0]  # its pairs are done
+            fit &= (nodes_[0][:, None] != lead) & (nodes_[1] != lead)
             if i == j:
-                fit &= na[:, None] < nb
+                fit &= nodes_[0][:, None] < nodes_[1]
             p, q = np.nonzero(fit)
-            stay = survivors(_matrix(x["signature"]), _matrix(y["signature"]), p, q)
-            a, b = na[p[stay]], nb[q[stay]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return rows.mapInPandas(compare, "a bigint, b bigint").distinct()
+            a, b = _matrix(x["signature"]), _matrix(y["signature"])
+            stay = survivors(a, b, p, q)
+            p, q = p[stay], q[stay]
+            shared = (a[p] == b[q]).reshape(len(p), HASHES // ROWS, ROWS).all(axis=2)
+            first = shared.argmax(axis=1) == band
+            p, q = p[first], q[first]
+            yes = similar_pairs(sets[0], sets[1], p, q)
+            parent: dict[int, int] = {}
+
+            def find(r: int, parent=parent) -> int:
+                while (up := parent.get(r, r)) != r:
+                    parent[r] = parent.get(up, up)
+                    r = up
+                return r
+
+            out = []
+            for k, m in zip(p[yes].tolist(), q[yes].tolist(), strict=True):
+                r, t = find(int(roots_[0][k])), find(int(roots_[1][m]))
+                if r != t:
+                    parent[max(r, t)] = min(r, t)
+                    out.append((int(nodes_[0][k]), int(nodes_[1][m])))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.mapInPandas(compare, "a bigint, b bigint")
 
 
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -253,16 +314,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     nodes = materialise(alike.join(rows.select(F.col("row").alias("node"), "n", "signature"), "node"), "nodes")
     width = 4 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(HASHES // ROWS)])
-    banded = nodes.select("node", F.explode(bands).alias("bucket"))
+    banded = nodes.select("node", F.posexplode(bands).alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(banded.join(full.select("bucket", "leader"), "bucket"), "members")
     pairs = members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = materialise(_verified(materialise(_probable(pairs, nodes), "pairs"), nodes, docs), "links")
     roots = components(links).select("node", "root")
-    more = materialise(_other_pairs(members, nodes, roots), "pairs")
+    more = materialise(_other_links(members, nodes, roots, docs), "links")
     if not more.isEmpty():
-        links = links.union(materialise(_verified(more, nodes, docs), "links"))
-        roots = components(links)
+        roots = components(links.union(more)).select("node", "root")
     named = nodes.select("node", "set_key", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     sets = named.join(least, "root").select("set_key", "component_id")
