@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import element, per_episode
+from tidewell.functions import element, even_position, per_episode
 from tidewell.operators import scalars as C
 from tidewell.operators import sequences as S
 from tidewell.operators import trajectory as T
@@ -15,6 +15,8 @@ from tidewell.plans.registry import query
 from tidewell.plans.views import ATOMS, EPISODES, EVENT_FRAMES, FRAMES, LONG, atoms, episodes, event_frames, frames, r, read, rounded
 
 NAMES = ["quantity", "price", "discount", "tax"]
+#: Episodes that the overview of frames shows at most.
+OVERVIEW_EPISODES = 3000
 SERIES = FRAMES + """,
 series AS (SELECT episode_index, frame_index, unnest(['action | quantity', 'action | price', 'action | discount', 'action | tax']) AS series, unnest(action) AS value FROM frames)
 """
@@ -79,7 +81,13 @@ def frame_timestamps(spark, d):
 
 @query("episode_slice", f"WITH {EPISODES}, o AS (SELECT episode_index, sum(length) OVER (ORDER BY episode_index ROWS UNBOUNDED PRECEDING) - length AS start, length FROM episodes) SELECT episode_index, start::BIGINT AS start, greatest(start + length, start + 1)::BIGINT AS stop FROM o WHERE episode_index % 50 = 0")
 def episode_slice(spark, d):
-    o = S.global_offsets(episodes(spark, d).select("episode_index", "length")).filter("episode_index % 50 = 0")
+    return episode_slice_all(spark, d).filter("episode_index % 50 = 0")
+
+
+@query("episode_slice_all")
+def episode_slice_all(spark, d):
+    """The row range of every episode."""
+    o = S.global_offsets(episodes(spark, d).select("episode_index", "length"))
     return o.select("episode_index", F.col("from_index").alias("start"), F.greatest("to_index", F.col("from_index") + 1).alias("stop"))
 
 
@@ -111,7 +119,24 @@ def paginate(spark, d):
 
 @query("episode_frame_info", f"WITH {EPISODES} SELECT episode_index, camera, 0.0::DOUBLE AS first_s, greatest(0, length / 10.0::DOUBLE - 0.05) AS last_s FROM episodes, (SELECT unnest(['front', 'wrist']) AS camera) WHERE episode_index % 20 = 0")
 def episode_frame_info(spark, d):
-    rows = episodes(spark, d).filter("episode_index % 20 = 0").withColumn("camera", F.explode(F.array(F.lit("front"), F.lit("wrist"))))
+    return _frame_info(episodes(spark, d).filter("episode_index % 20 = 0"))
+
+
+@query("episode_frame_info_sampled")
+def episode_frame_info_sampled(spark, d):
+    """All episodes, or ``OVERVIEW_EPISODES`` of them at evenly spread positions if there are more."""
+    e = episodes(spark, d).select("episode_index", "length")
+    ranks = S.global_offsets(e.select("episode_index", F.lit(1).cast("bigint").alias("length"))).select("episode_index", F.col("from_index").alias("rank"))
+    n, target = e.count(), OVERVIEW_EPISODES
+    if n > target:
+        i = F.floor(F.col("rank") * (target - 1) / (n - 1) + 0.5)
+        near = [(even_position(i + k, F.lit(n), F.lit(target)) == F.col("rank")) & (i + k).between(0, target - 1) for k in (-1, 0, 1)]
+        e = e.join(ranks.filter(reduce(lambda x, y: x | y, near)).select("episode_index"), "episode_index", "left_semi")
+    return _frame_info(e)
+
+
+def _frame_info(e):
+    rows = e.withColumn("camera", F.explode(F.array(F.lit("front"), F.lit("wrist"))))
     return rows.select("episode_index", "camera", F.lit(0.0).alias("first_s"), F.greatest(F.lit(0.0), F.col("length") / 10 - 0.05).alias("last_s"))
 
 
@@ -215,7 +240,16 @@ def chart_groups(spark, d):
 @query("merge_groups", f"WITH {FRAMES} SELECT episode_index, frame_index, {r('action[1]')} AS a, CASE WHEN frame_index % 3 = 0 THEN {r('state[2]')} ELSE {r('action[2]')} END AS b FROM frames WHERE episode_index < 5")
 def merge_groups(spark, d):
     """Rows of two groups merged by position; of a shared key the later group's value counts."""
-    f = frames(spark, d).filter("episode_index < 5")
+    return _merge_groups(frames(spark, d).filter("episode_index < 5"))
+
+
+@query("merge_groups_all")
+def merge_groups_all(spark, d):
+    """The merge over the frames of every episode."""
+    return _merge_groups(frames(spark, d))
+
+
+def _merge_groups(f):
     one = f.select("episode_index", "frame_index", F.col("action")[0].alias("a"), F.col("action")[1].alias("b1"))
     two = f.filter("frame_index % 3 = 0").select("episode_index", "frame_index", F.col("state")[1].alias("b2"))
     out = one.join(two, ["episode_index", "frame_index"], "full")
@@ -347,8 +381,14 @@ def unit_convert(spark, d):
 
 @query("normalize_text", "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+', ' ', 'g') AS t FROM documents WHERE doc_id % 10 = 0")
 def normalize_text(spark, d):
+    return normalize_text_all(spark, d).filter("doc_id % 10 = 0")
+
+
+@query("normalize_text_all")
+def normalize_text_all(spark, d):
+    """Every text, trimmed and with its white space collapsed."""
     t = F.btrim(F.col("text"), F.lit(" \t\n\r"))
-    return read(spark, d, "documents").filter("doc_id % 10 = 0").select("doc_id", F.regexp_replace(t, "[ \\t\\n\\r]+", " ").alias("t"))
+    return read(spark, d, "documents").select("doc_id", F.regexp_replace(t, "[ \\t\\n\\r]+", " ").alias("t"))
 
 
 @query("expand_prompts", "SELECT s_suppkey AS k, step, replace(replace(t, '{object}', s_name), '{hand}', CASE WHEN s_suppkey % 2 = 0 THEN 'left' ELSE 'right' END) AS prompt FROM supplier, (SELECT unnest([1, 2, 3]) AS step, unnest(['reach for the {object}', 'grasp the {object} with the {hand} hand', 'place the {object}']) AS t)")
