@@ -55,3 +55,9 @@ def test_merge_groups_covers_every_episode(spark):
         x = f[r["episode_index"], r["frame_index"]]
         b = x["state"][1] if r["frame_index"] % 3 == 0 else x["action"][1]
         assert float(r["a"]) == pytest.approx(float(x["action"][0]), abs=1e-3) and float(r["b"]) == pytest.approx(float(b), abs=1e-3)
+
+
+def test_adjacent_episodes_covers_every_episode(spark):
+    keys = set(lengths())
+    want = sorted((k, k + i) for k in keys for i in (-2, -1, 1, 2) if k + i in keys)
+    assert sorted((r["episode_index"], r["neighbour"]) for r in QUERIES["adjacent_episodes_all"](spark, DATA).collect()) == want

@@ -143,8 +143,14 @@ def events_at(spark, d):
 @query("adjacent_episodes", f"""WITH {EPISODES} SELECT a.episode_index, b.episode_index AS neighbour FROM episodes a JOIN episodes b ON b.episode_index BETWEEN a.episode_index - 2 AND a.episode_index + 2
 AND b.episode_index <> a.episode_index WHERE a.episode_index % 10 = 0""")
 def adjacent_episodes(spark, d):
+    return adjacent_episodes_all(spark, d).filter("episode_index % 10 = 0")
+
+
+@query("adjacent_episodes_all")
+def adjacent_episodes_all(spark, d):
+    """The neighbours of every episode."""
     e = episodes(spark, d).select("episode_index")
-    near = e.filter("episode_index % 10 = 0").select("episode_index", F.explode(F.array(*[F.col("episode_index") + k for k in (-2, -1, 1, 2)])).alias("neighbour"))
+    near = e.select("episode_index", F.explode(F.array(*[F.col("episode_index") + k for k in (-2, -1, 1, 2)])).alias("neighbour"))
     return near.join(e.select(F.col("episode_index").alias("neighbour")), "neighbour", "left_semi").select("episode_index", "neighbour")
 
 
