@@ -117,3 +117,19 @@ def test_no_python_in_native_plans(spark):
     for name in ("op1_line_dedup", "op5_sharding", "op7_exact_dedup"):
         plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_small_sources_get_their_words(spark, monkeypatch):
+    """A block is 64 words or more here; a source of 3 words, one of 20 and one of a few blocks still meet their targets."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", (64, 4096))
+    words = {"a": 200_000, "b": 3, "c": 20, "d": 300, None: 5}
+    rows = [(i, "w " * n, None, s) for i, (s, n) in enumerate(words.items())]
+    taken = {list(words)[r["doc_id"]]: r for r in mixing.mix(frame(spark, rows)).collect()}
+    names = sorted(words, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, brute_targets([words[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * sum(words.values())), strict=True))
+    for s in words:
+        assert abs(taken[s]["taken"] - goal[s]) <= 1, s
+    out = Counter()
+    for r in mixing.mixed(frame(spark, rows)).collect():
+        out[r["source"]] += len(WORD.findall(r["text"]))
+    assert out == {s: taken[s]["taken"] for s in words}

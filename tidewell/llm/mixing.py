@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix's words are cut into equal blocks. Blocks go to sources one at a time, each to the source with the highest
-quotient target / (2 blocks held + 1); a source's blocks then go to its shards in the same way, by the shards' sizes.
-A shard lines its documents up in a seeded order, repeats them in full as often as its quota allows, and takes the
-rest as blocks of that line: as many as are left, from a seeded block on. As the order is seeded too, these are random
+The mix's words go to sources one at a time, each to the source with the highest quotient target / (2 words held + 1);
+a source's words then go to its shards in the same way, by the shards' sizes. So a source of any size gets its target,
+to within a word. A shard lines its documents up in a seeded order, repeats them in full as often as its quota allows,
+and takes the rest as a run of that line, from a seeded block on. As the order is seeded too, these are random
 documents, and only those at the ends of the picked run are cut, between words.
 
 Sizes are the only thing read from texts. A source is split into shards by the hash of ``doc_id``, so a source that
@@ -32,7 +32,7 @@ TOTAL_SHARE = 1.5
 MAX_REPEATS = 2
 #: Words of a shard at least, and shards at most.
 SHARD_WORDS, MAX_SHARDS = 200_000, 65_536
-#: Blocks that a mix has, if their size stays within these words.
+#: Blocks at which a run of words can start in a mix, if their size stays within these words.
 BLOCKS, BLOCK_WORDS = 65_536, (1, 4096)
 SEED = 20
 
@@ -92,7 +92,7 @@ def plan(sizes: DataFrame, rows: DataFrame | None = None, seed: int = SEED) -> D
     words = max(SHARD_WORDS, -(-total // MAX_SHARDS))
     goal = targets([n for _, n in sums], [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(sums))], TOTAL_SHARE * total)
     block = min(max(int(sum(goal)) // BLOCKS, BLOCK_WORDS[0]), BLOCK_WORDS[1])
-    quotas = sainte_lague(goal, round(sum(goal) / block), [MAX_REPEATS * n // block for _, n in sums])
+    quotas = sainte_lague(goal, round(sum(goal)), [MAX_REPEATS * n for _, n in sums])
     per_source = [(s, n, goal[i], quotas[i], max(1, -(-n // words))) for i, (s, n) in enumerate(sums)]
     sources = F.broadcast(spark.createDataFrame(per_source, "s_source string, source_size bigint, target double, quota bigint, s_shards bigint"))
 
@@ -106,9 +106,9 @@ def plan(sizes: DataFrame, rows: DataFrame | None = None, seed: int = SEED) -> D
     per_shard = []
     for source, _, _, quota, _ in per_source:
         own = sorted(in_shard.get(source, []))
-        given = sainte_lague([float(n) for _, n in own], quota, [MAX_REPEATS * n // block for _, n in own])
+        given = sainte_lague([float(n) for _, n in own], quota, [MAX_REPEATS * n for _, n in own])
         for (shard, n), q in zip(own, given, strict=True):
-            full, rest = divmod(q * block, n) if n else (0, 0)
+            full, rest = divmod(q, n) if n else (0, 0)
             per_shard.append((source, shard, n, full, rest, block * (_number(seed, source, shard) % max(1, -(-n // block)))))
     shards = F.broadcast(spark.createDataFrame(per_shard, "s_source string, s_shard bigint, words bigint, full bigint, rest bigint, first bigint"))
     order = Window.partitionBy("source", "shard").orderBy("s_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
