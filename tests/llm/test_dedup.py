@@ -89,6 +89,16 @@ def test_deduplicate_keeps_one_row_a_group(spark):
     assert ids == sorted([1, 2, 3, 4, None, 7, 8, 9], key=str)
 
 
+def test_deduplicate_keeps_unrelated_texts_of_one_id(spark):
+    """Without an id or under one id, texts that have nothing in common all stay, and equal ones once."""
+    texts = ["red green blue grey pink teal", "one two three four five six", "do re mi fa so la"]
+    rows = [(None, t, None, None) for t in texts[:2]] + [(None, texts[0], None, None)]
+    rows += [(7, "a b c d e f g", None, None), (7, "p q r s t u v", None, None), (7, "p q r s t u v", None, None), (8, "P q r s t u v", None, None)]
+    rows += [(None, texts[2], None, None), (9, texts[2], None, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in near_dedup.deduplicate(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (7, "a b c d e f g"), (7, "p q r s t u v"), (9, texts[2])], key=str)
+
+
 def test_survivors_keep_pairs_at_the_threshold():
     import numpy as np
 

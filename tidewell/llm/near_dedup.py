@@ -307,7 +307,10 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``, and ``body``, a hash of its text."""
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``, ``body``, a hash of its text, and ``group``.
+
+    ``group`` names the component itself: several may share a ``component_id``, which is null or an id of several texts.
+    """
     rows = materialise(sketches(docs), "sketches")
     some = rows.filter("n > 0 AND doc_id IS NOT NULL")
     alike = some.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"))
@@ -325,20 +328,22 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         roots = components(links.union(more)).select("node", "root")
     named = nodes.select("node", "set_key", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    sets = named.join(least, "root").select("set_key", "component_id")
+    sets = named.join(least, "root").select("set_key", "component_id", "root")
     out = rows.drop("signature").join(sets, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "body")
+    group = F.coalesce(F.col("root").cast("string"), F.hex("set_key"))  # digits are at most 19, hex digits 32
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "body", group.alias("group"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, and all rows without shingles.
 
     Of a component the row of its smallest ``doc_id`` stays; of several such rows one, the one with the least hash.
+    Rows without a ``doc_id`` that no other row's text equals are a component for each set of shingles.
     """
     found = materialise(near_dedup(docs), "components")
-    stays = found.filter("kept AND n_shingles > 0").groupBy(F.col("component_id").alias("group")).agg(F.min("body").alias("stays"))
-    found = found.filter("n_shingles > 0").join(stays, F.col("component_id").eqNullSafe(F.col("group")), "left")
+    stays = found.filter("kept AND n_shingles > 0").groupBy("group").agg(F.min("body").alias("stays"))
+    found = found.filter("n_shingles > 0").join(stays, "group", "left")
     dropped = materialise(found.filter("NOT kept OR body != stays").select("doc_id", "body").distinct(), "dropped")
     again = materialise(found.filter("kept AND body = stays").groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("k_id"), F.xxhash64("text").alias("k_body"), F.struct(*docs.columns).alias("row"))
@@ -352,4 +357,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir)).drop("body")
+    return near_dedup(documents(spark, sf_dir)).drop("body", "group")
