@@ -173,6 +173,22 @@ def test_templates_that_rewrite_history_are_found():
     assert any(s.rewrites for s in chat.spans(iter(turns * 30), numbers))
 
 
+def test_operators_render_whole_prefixes_of_any_template(spark):
+    """Templates with a limit of 20 turns, with numbered turns, and with a system turn in front, over 40 turns."""
+    turns = [("system", "s"), *[("user" if k % 2 else "assistant", f"t{k}") for k in range(1, 40)]]
+    rows = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string")
+    limit = lambda ts: "".join(f"[{r}:{t}]" for r, t in ts[-20:])
+    numbers = lambda ts: "".join(f"{k}:{t};" for k, (_, t) in enumerate(ts))
+    front = lambda ts: "".join(f"<{ts[0][0]}>{t}" for _, t in ts)
+    for template, rewrites in ((limit, True), (numbers, False), (front, False)):
+        out = chat.format_turns(rows, template).orderBy("turn_at").collect()
+        found = chat.digest(rows, template).first()
+        assert found["rewrites_history"] == any(r["rewrites_history"] for r in out) == rewrites
+        if not rewrites:
+            assert "".join(r["formatted"] for r in out) == template(turns) and found["formatted_chars"] == len(template(turns))
+    assert [r["rewrites_history"] for r in chat.format_turns(rows, limit).orderBy("turn_at").collect()] == [k >= 20 for k in range(40)]
+
+
 # quality rules
 
 

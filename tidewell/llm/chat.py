@@ -5,10 +5,12 @@ comparing consecutive outputs shows which characters each turn added: its span.
 sentinel as its text shows where the text stands in the span, so the loss mask needs no knowledge of the template. An
 output that does not begin with the one before it shows a template that rewrites history.
 
-Conversations are sorted within partitions and streamed, so a conversation is never held whole: a prefix is cut to its
-last ``WINDOW`` turns, and when the window moves, the last span is rendered again and compared, so a template that
-looks further back is found as well. A digest of a conversation has to follow its turns in order, so one conversation
-is one task's work; what is held of it stays bounded.
+Prefixes are rendered whole, so a template may look back as far as it likes; the conversation at hand is held, and
+rendering it takes time with the square of its turns. Only a template that is declared turn-local, as the one here is,
+has its prefixes cut to their last ``WINDOW`` turns: its conversations are streamed and never held whole. When that
+window moves, the last span is rendered again and compared, which finds some templates that are not turn-local, not all.
+Conversations are sorted within partitions. A digest of a conversation has to follow its turns in order, so one
+conversation is one task's work.
 
 Defined cases: a null text or role is empty; a null ``conv_id`` is a conversation of its own; turns with equal numbers
 follow each other by role and text; repeated rows are turns of their own; an empty table gives the added conversation
@@ -88,13 +90,13 @@ class Span:
         return self.text[self.start : self.end]
 
 
-def spans(turns: Iterator[Turn], template: Render = render, window: int = WINDOW) -> Iterator[Span]:
-    """The span of each turn, from rendered prefixes alone."""
+def spans(turns: Iterator[Turn], template: Render = render, window: int | None = WINDOW) -> Iterator[Span]:
+    """The span of each turn, from rendered prefixes alone: whole ones if ``window`` is None, else their last turns."""
     held: list[Turn] = []
     before = template([])
     for turn in turns:
         moved = False
-        if len(held) >= window:
+        if window is not None and len(held) >= window:
             old = template(held)[len(template(held[:-1])) :]
             held = held[-(window // 2) :]
             before = template(held)
@@ -160,16 +162,23 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, Iter
         yield key, turns()
 
 
-def format_turns(conversations: DataFrame, template: Render = render) -> DataFrame:
+def _window(template: Render, turn_local: bool | None) -> int | None:
+    return WINDOW if (template is render if turn_local is None else turn_local) else None
+
+
+def format_turns(conversations: DataFrame, template: Render = render, turn_local: bool | None = None) -> DataFrame:
     """A row for each turn: the characters that it adds to its conversation's output, and the span of its text in them.
 
     ``loss`` marks turns whose text the loss covers. The output of a conversation is its turns' ``formatted`` in order.
+    ``turn_local`` declares that a turn's characters depend on that turn alone; unless it is given, only the template
+    of this module counts as such.
     """
+    window = _window(template, turn_local)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, size = [], 0
         for key, turns in _grouped(batches):
-            for k, s in enumerate(spans(turns, template)):
+            for k, s in enumerate(spans(turns, template, window)):
                 role = read_role(s.head)
                 out.append((key, k, role, s.text, s.start, s.end, role == "assistant", s.rewrites))
                 size += len(s.text)
@@ -186,14 +195,15 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return frame.astype({"conv_id": "Int64"})
 
 
-def digest(conversations: DataFrame, template: Render = render) -> DataFrame:
+def digest(conversations: DataFrame, template: Render = render, turn_local: bool | None = None) -> DataFrame:
     """A row for each conversation: counts and digests of what is read back from its formatted output."""
+    window = _window(template, turn_local)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for key, turns in _grouped(batches):
             d = Digest(key)
-            for s in spans(turns, template):
+            for s in spans(turns, template, window):
                 d.add(s)
             out.append(d.row())
             if len(out) >= 10_000:
