@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -193,6 +194,17 @@ def test_line_dedup_matches_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == expected
 
 
+def test_cleaned_texts_and_classes(spark):
+    """Digests follow the cleaned texts, and classes follow links of any number of steps, near ones too."""
+    x, y, z = "the first line of them all stands here", "another line that is shared by two", "a third line, near a line in the fourth one"
+    texts = {1: x, 2: f"{x}\n{y}", 3: f"{y}\n{z}", 4: f"{z}!!\nnothing else", 5: "alone", 6: None, 7: f"own words\n{z[2:]}"}
+    kept = {1: x, 2: y, 3: z, 4: "nothing else", 5: "alone", 6: None, 7: "own words"}
+    rows = line_dedup.cleaned(frame(spark, [(d, t, None, None) for d, t in texts.items()])).collect()
+    assert len(rows) == len(texts)
+    assert {r["doc_id"]: r["text_sha256"] for r in rows} == {d: t and hashlib.sha256(t.encode()).hexdigest() for d, t in kept.items()}
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 1}
+
+
 def test_line_dedup_edge_cases(spark):
     docs = frame(spark, EDGE)
     got = {}

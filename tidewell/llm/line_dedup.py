@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import documents, materialise, maybe_broadcast
+from tidewell.llm.components import components
 
 THRESHOLD = 2
 #: Characters that a line must have for an approximate match; of shorter ones, two edits would change the words.
@@ -161,15 +162,19 @@ def _order(doc: Column, place: Column) -> Column:
     return doc.cast("decimal(38,0)") * F.lit(PLACES).cast("decimal(11,0)") + place.cast("decimal(11,0)")
 
 
+def _doc_of(order: Column) -> Column:
+    return ((order - F.pmod(order, F.lit(PLACES).cast("decimal(11,0)"))) / F.lit(PLACES)).cast("bigint")
+
+
 def identity() -> list[Column]:
     """128 bits that name a line: ``id, id2``."""
     return [F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2")]
 
 
 def near_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``id, id2, near``: ends of pairs of distinct lines within ``threshold`` edits.
+    """``id, id2, first, near``: ends of pairs of distinct lines within ``threshold`` edits.
 
-    ``near`` is the order of the first copy of the other line if that comes earlier, else null.
+    ``first`` is the order of the line's own first copy. ``near`` is the order of the first copy of the other line if that comes earlier, else null.
     """
     line, length = F.col("line"), F.length("line")
     long = lines.filter(length >= LEAST)
@@ -194,33 +199,37 @@ def near_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     swap = F.length("line_a") > F.length("line_b")
     short, long_ = F.when(swap, F.col("line_b")).otherwise(F.col("line_a")), F.when(swap, F.col("line_a")).otherwise(F.col("line_b"))
     linked = both.filter(within(short, long_, threshold))
-    ends = [F.struct(F.col(x).alias("id"), F.col(f"{x}2").alias("id2"), F.when(F.col(f"first_{y}") < F.col(f"first_{x}"), F.col(f"first_{y}")).alias("near")) for x, y in ("ab", "ba")]
+    ends = [F.struct(F.col(x).alias("id"), F.col(f"{x}2").alias("id2"), F.col(f"first_{x}").alias("first"), F.when(F.col(f"first_{y}") < F.col(f"first_{x}"), F.col(f"first_{y}")).alias("near")) for x, y in ("ab", "ba")]
     return linked.select(F.inline(F.array(*ends)))
 
 
 def decisions(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``doc, body, place, kind, origin, links`` of each line with a visible character.
+    """``doc, body, place, kind, origin, links, first_doc`` of each line with a visible character.
 
     ``kind``: 0 kept, 1 an exact copy, 2 near an earlier line. ``origin``: the document of the earliest line that is
-    equal or near. ``links``: distinct other lines that are near.
+    equal or near. ``links``: distinct other lines that are near. ``first_doc``: the document of the first copy.
     """
     lines = lines_of(docs)
-    ends = near_links(lines, threshold).groupBy("id", "id2").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("links"))
+    return _decisions(lines, near_links(lines, threshold))
+
+
+def _decisions(lines: DataFrame, links: DataFrame) -> DataFrame:
+    ends = links.groupBy("id", "id2").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("links"))
     ends = materialise(ends, "line-ends")
     places = materialise(lines.select("doc", "body", "place", *identity()), "line-places")
     own = _order(F.col("doc"), F.col("place"))
     firsts = places.groupBy("id", "id2").agg(F.min(own).alias("first"))
     out = places.join(firsts, ["id", "id2"]).join(maybe_broadcast(ends, ends.count(), 96), ["id", "id2"], "left")
     kind = F.when(own > F.col("first"), F.lit(1)).when(F.col("near").isNotNull(), F.lit(2)).otherwise(F.lit(0))
-    least = F.least("first", "near")
-    origin = ((least - F.pmod(least, F.lit(PLACES).cast("decimal(11,0)"))) / F.lit(PLACES)).cast("bigint")
-    return out.select("doc", "body", "place", kind.alias("kind"), origin.alias("origin"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    origin, n_links = _doc_of(F.least("first", "near")), F.coalesce("links", F.lit(0)).cast("bigint")
+    return out.select("doc", "body", "place", kind.alias("kind"), origin.alias("origin"), n_links.alias("links"), _doc_of(F.col("first")).alias("first_doc"))
 
 
 def summary(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """A row for each id: its lines, those dropped as exact copies and as near lines, its class and its links.
 
-    ``class_id`` is the least document that holds an earliest equal or near line of one of its lines.
+    ``class_id`` is the least document that holds an earliest equal or near line of one of its lines: one step, not a
+    class of documents that equal or near lines join, which ``cleaned`` has.
     """
     per_doc = decisions(docs, threshold).groupBy("doc").agg(
         F.count(F.lit(1)).alias("n_lines"),
@@ -238,7 +247,11 @@ def summary(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with dropped lines taken out of ``text``."""
-    dropped = decisions(docs, threshold).filter("kind > 0").groupBy("doc", "body").agg(F.collect_set("place").alias("places"))
+    return _cut(docs, decisions(docs, threshold))
+
+
+def _cut(docs: DataFrame, found: DataFrame) -> DataFrame:
+    dropped = found.filter("kind > 0").groupBy("doc", "body").agg(F.collect_set("place").alias("places"))
     rows = docs.select(_doc(), F.xxhash64("text").alias("body"), F.struct(*docs.columns).alias("row"))
     lines = F.split("row.text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
@@ -247,10 +260,30 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return rows.select(*[F.col("cut").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
+def cleaned(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``doc_id, text_sha256, class_id`` of each row of ``docs``: a digest of its text without the dropped lines.
+
+    ``class_id`` is the least document that can be reached over equal and near lines; rows without an id are one document.
+    """
+    lines = lines_of(docs)
+    links = materialise(near_links(lines, threshold), "line-links")
+    found = materialise(_decisions(lines, links).select("doc", "body", "place", "kind", "first_doc"), "line-decisions")
+    copies = found.filter("doc != first_doc").select(F.col("doc").alias("a"), F.col("first_doc").alias("b"))
+    near = links.filter("near IS NOT NULL").select(_doc_of(F.col("first")).alias("a"), _doc_of(F.col("near")).alias("b"))
+    classes = components(copies.union(near)).select(F.col("node").alias("doc"), "root")
+    rows = _cut(docs.select("doc_id", "text"), found).select(_doc(), F.sha2("text", 256).alias("text_sha256")).join(classes, "doc", "left")
+    class_id = F.coalesce("root", "doc")
+    return rows.select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "text_sha256", F.when(class_id != _LAST, class_id).alias("class_id"))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(documents(spark, sf_dir))
 
 
+def op1_line_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned(documents(spark, sf_dir))
+
+
 ORACLE = rf"""
 WITH lines AS MATERIALIZED (
   SELECT doc_id, place, line FROM (
