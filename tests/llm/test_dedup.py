@@ -165,7 +165,7 @@ def test_banded_distance(line_pairs, threshold):
 
 def test_line_dedup_matches_brute_force(spark):
     random.seed(5)
-    base = ["".join(random.choice("abcdefgh ") for _ in range(random.randint(20, 60))) for _ in range(25)]
+    base = ["".join(random.choice("abcdefgh ") for _ in range(random.randint(8, 60))) for _ in range(40)]
     docs = []
     for d in range(40):
         lines = []
@@ -183,7 +183,7 @@ def test_line_dedup_matches_brute_force(spark):
             if not x.strip(" \t"):
                 kept.append(x)
                 continue
-            dup = any(x == y or (min(len(x), len(y)) >= line_dedup.LEAST and distance(x, y) <= 2) for y in seen)
+            dup = any(x == y or distance(x, y) <= min(2, min(len(x), len(y)) // 12) for y in seen)
             seen.append(x)
             if not dup:
                 kept.append(x)
@@ -194,15 +194,36 @@ def test_line_dedup_matches_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == expected
 
 
-def test_cleaned_texts_and_classes(spark):
+def test_near_lines_of_twelve_characters(spark):
+    """One edit for 12 characters, two for 24, at any segment; none for 11."""
+    lines = ["read more now", "read mare now", "read more nw", "abcdefghijkl", "bcdefghijkl", "abcdefghijkx", "xbcdefghijkx", "elevenchars", "elevenchart"]
+    docs = frame(spark, [(k, x, None, None) for k, x in enumerate(lines)])
+    assert {r["doc_id"] for r in line_dedup.line_dedup(docs).collect() if r["text"] == ""} == {1, 2, 5, 6}
+    want = {k for k, x in enumerate(lines) if any(distance(x, y) <= min(2, min(len(x), len(y)) // 12) for y in lines[:k])}
+    assert want == {1, 2, 5, 6}
+
+
+def test_hot_lines_and_shuffled_decisions_agree(spark, monkeypatch):
+    """The way beyond the broadcast's bound gives the same rows, with a line that holds a third of all places."""
+    texts = [f"a line that everyone has, word for word\nown line number {k} of this text {'xyz'[k % 3] * 9}" for k in range(60)]
+    docs = frame(spark, [(k, t, None, None) for k, t in enumerate(texts)])
+    few = sorted(map(tuple, line_dedup.report(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "HOT_SHARE", 0.3)
+    assert sorted(map(tuple, line_dedup.report(docs).collect())) == few and len(few) == 60
+
+
+def test_report_has_digests_counts_and_classes(spark):
     """Digests follow the cleaned texts, and classes follow links of any number of steps, near ones too."""
     x, y, z = "the first line of them all stands here", "another line that is shared by two", "a third line, near a line in the fourth one"
-    texts = {1: x, 2: f"{x}\n{y}", 3: f"{y}\n{z}", 4: f"{z}!!\nnothing else", 5: "alone", 6: None, 7: f"own words\n{z[2:]}"}
-    kept = {1: x, 2: y, 3: z, 4: "nothing else", 5: "alone", 6: None, 7: "own words"}
-    rows = line_dedup.cleaned(frame(spark, [(d, t, None, None) for d, t in texts.items()])).collect()
+    texts = {1: x, 2: f"{x}\n{y}", 3: f"{y}\n{z}", 4: f"{z}!!\nnothing else", 5: "alone", 6: None, 7: f"own words\n{z[2:]}\n"}
+    kept = {1: x, 2: y, 3: z, 4: "nothing else", 5: "alone", 6: None, 7: "own words\n"}
+    counts = {1: (1, 0, 0, 0), 2: (2, 1, 0, 0), 3: (2, 1, 0, 2), 4: (2, 0, 1, 1), 5: (1, 0, 0, 0), 6: (0, 0, 0, 0), 7: (2, 0, 1, 1)}
+    rows = line_dedup.report(frame(spark, [(d, t, None, None) for d, t in texts.items()])).collect()
     assert len(rows) == len(texts)
-    assert {r["doc_id"]: r["text_sha256"] for r in rows} == {d: t and hashlib.sha256(t.encode()).hexdigest() for d, t in kept.items()}
+    assert {r["doc_id"]: r["text_sha256"] for r in rows} == {d: None if t is None else hashlib.sha256(t.encode()).hexdigest() for d, t in kept.items()}
     assert {r["doc_id"]: r["class_id"] for r in rows} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 1}
+    assert {r["doc_id"]: (r["n_lines"], r["n_copies"], r["n_near"], r["n_links"]) for r in rows} == counts
 
 
 def test_line_dedup_edge_cases(spark):
@@ -214,9 +235,12 @@ def test_line_dedup_edge_cases(spark):
     assert got[4] == ["one two"] and got[5] == ["ONE two"] and got[6] == ["", ""]
     assert got[7] == [EDGE[9][1]] and got[8] == [EDGE[10][1]]
     assert sorted(got[None]) == ["", "alone here"]
-    rows = {r["doc_id"]: r for r in line_dedup.summary(docs).collect()}
-    assert len(rows) == 10 and rows[5]["class_id"] == 5 and rows[6]["class_id"] == 4 and rows[1]["n_lines"] == 0
-    assert line_dedup.summary(frame(spark, [])).collect() == []
+    rows = {}
+    for r in line_dedup.report(docs).collect():
+        rows.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, rows.values())) == len(EDGE) and rows[5][0]["class_id"] == 5 and rows[6][0]["class_id"] == 4 and rows[1][0]["n_lines"] == 0
+    assert {r["class_id"] for r in rows[None]} == {4}
+    assert line_dedup.report(frame(spark, [])).collect() == []
 
 
 @settings(max_examples=200, deadline=None)

@@ -39,11 +39,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage and survives lost executors.
+
+    Its files stay until ``discard`` is called with it, or ``discard_all`` with the session.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.tidewell_path = path
+    _written(spark).add(path)
+    return out
+
+
+def _written(spark: SparkSession) -> set[str]:
+    """Folders that ``materialise`` has written in this session and that were not deleted."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tidewell_written"):
+        context._tidewell_written = set()
+    return context._tidewell_written
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` has returned; no plan that reads them may run afterwards."""
+    for df in tables:
+        _delete(df.sparkSession, df.tidewell_path)
+        _written(df.sparkSession).discard(df.tidewell_path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all that this session's operators have written in between; for use once their results are stored."""
+    for path in list(_written(spark)):
+        _delete(spark, path)
+        _written(spark).discard(path)
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -8,7 +8,6 @@ from tidewell.llm import chat, exact_dedup, language_id, licenses, line_dedup, m
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
-        "op1_line_dedup_texts": line_dedup.op1_line_dedup_texts,
         "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_chat_formatting": chat.op4_chat_formatting,
