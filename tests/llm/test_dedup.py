@@ -126,8 +126,11 @@ def test_similar_pairs_count_like_sets(n, m, size):
 
 
 def test_letter_counts_bound_the_edits(line_pairs):
-    bound = line_dedup.counts_differ(line_dedup.letter_counts(F.col("a")), line_dedup.letter_counts(F.col("b")))
-    assert line_pairs.filter(bound > 2 * F.col("d")).count() == 0
+    for letters in (line_dedup.LETTERS, line_dedup.MORE):
+        bound = line_dedup.counts_differ(line_dedup.letter_counts(F.col("a"), letters), line_dedup.letter_counts(F.col("b"), letters))
+        assert line_pairs.filter(bound > 2 * F.col("d")).count() == 0
+    one = line_pairs.limit(1).select(line_dedup.letter_counts(F.lit("teeéttt")).alias("n")).first()["n"]
+    assert one == 2 + (4 << 4)
 
 
 def test_shingle_hashes_are_distinct():

@@ -39,8 +39,9 @@ from tidewell.llm.components import components
 THRESHOLD = 2
 #: Characters of a line for each edit that it allows.
 CHARS_AN_EDIT = 12
-#: Letters whose counts, modulo 16, are compared before texts are; any letters are right, frequent ones are sharp.
-LETTERS = "etaoinsrhldcumf"
+#: Letters whose counts, modulo 16, are compared before texts are, and characters that candidates are compared by
+#: besides; any are right, frequent ones are sharp.
+LETTERS, MORE = "etaoinsrhldcumf", " pgbvw.,yk01qxz"
 #: A visible character.
 VISIBLE = r"[^ \t\x0B\f\r]"
 #: Places of a line within its document fit below this.
@@ -100,16 +101,24 @@ def segment_keys(lines: DataFrame, threshold: int) -> tuple[DataFrame, list[str]
     index = slots(0, lambda k: [(i, 0) for i in range(k + 1)])
     probe = [x for d in range(threshold + 1) for x in slots(d, lambda k, d=d: [(i, s) for i in range(k + 1) for s in range(-k, k + 1) if abs(s) <= i and abs(s - d) <= k - i])]
     names = [f"i{k}" for k in range(len(index))], [f"p{k}" for k in range(len(probe))]
-    # a lambda keeps these keys out of whole-stage code, whose one method would be too long to be compiled; each is one of its own
+    # a lambda keeps the keys out of whole-stage code, whose one method would be too long to be compiled
     index[0] = _let(index[0], lambda key: key)
     return out.select("*", *[c.alias(x) for c, x in zip(index + probe, names[0] + names[1], strict=True)]), *names
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of ``LETTERS``, modulo 16, four bits each."""
-    missing = lambda c: F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-    counts = [F.shiftleft(F.pmod(missing(c), F.lit(16)).cast("bigint"), 4 * k) for k, c in enumerate(LETTERS)]
-    return reduce(add, counts)
+def letter_counts(line: Column, letters: str = LETTERS) -> Column:
+    """Counts of ``letters``, modulo 16, four bits each; letters that are counted are taken out, so later ones read less."""
+    marks = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(4 * k).alias("at")) for k, c in enumerate(letters)])
+
+    def take(state: Column, mark: Column) -> Column:
+        def added(rest: Column) -> Column:
+            n = F.pmod(F.octet_length(state["rest"]) - F.octet_length(rest), F.lit(16)).cast("bigint")
+            return F.struct(rest.alias("rest"), (state["counts"] + F.call_function("shiftleft", n, mark["at"])).alias("counts"))
+
+        return _let(F.replace(state["rest"], mark["c"], F.lit("")), added)
+
+    start = F.struct(line.alias("rest"), F.lit(0).cast("bigint").alias("counts"))
+    return F.aggregate(marks, start, take, lambda state: state["counts"])
 
 
 def counts_differ(a: Column, b: Column) -> Column:
@@ -228,8 +237,9 @@ def near_links(lines: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = lines.select("doc", "place", "line", *identity()).join(maybe_broadcast(ids, 2 * n_pairs, 32), "id", "left_semi")
     texts = materialise(texts.groupBy("id", "id2", "line").agg(F.min(_order(F.col("doc"), F.col("place"))).alias("first")), "line-texts")
-    end = lambda x: texts.select(F.col("id").alias(x), F.col("id2").alias(f"{x}2"), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"))
-    both = pairs.join(end("a"), "a").join(end("b"), "b").withColumn("s_a", F.length("line_a")).withColumn("s_b", F.length("line_b"))
+    texts = texts.withColumn("more", letter_counts(F.col("line"), MORE))
+    end = lambda x: texts.select(F.col("id").alias(x), F.col("id2").alias(f"{x}2"), F.col("line").alias(f"line_{x}"), F.col("first").alias(f"first_{x}"), F.col("more").alias(f"more_{x}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").filter(counts_differ(F.col("more_a"), F.col("more_b")) <= F.lit(2 * threshold)).withColumn("s_a", F.length("line_a")).withColumn("s_b", F.length("line_b"))
     both = both.filter(F.abs(F.col("s_a") - F.col("s_b")) <= edits(F.least("s_a", "s_b"), threshold))
     both = both.repartition(max(1, n_pairs // PAIRS_A_TASK), "a", "b")  # small rows, but much work each
     swap = F.col("s_a") > F.col("s_b")
@@ -283,9 +293,12 @@ def _cut(docs: DataFrame, found: DataFrame) -> DataFrame:
     size = per.agg(F.sum(F.size("places") * 4 + 96).alias("bytes")).first()["bytes"] or 0
     per = F.broadcast(per) if size <= BROADCAST_BYTES else per
     rows = docs.select(_doc(), F.xxhash64("text").alias("body"), F.struct(*docs.columns).alias("row"))
-    lines = F.split("row.text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
-    text = F.when(F.col("places").isNull() | (F.size("places") == 0), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
+
+    def joined(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("places"))
+        return F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
+
+    text = F.when(F.col("places").isNull() | (F.size("places") == 0), F.col("row.text")).otherwise(_let(F.split("row.text", "\n"), joined))
     return rows.join(per, ["doc", "body"], "left").select("row", "doc", text.alias("cut"), "n_copies", "n_near", "n_links")
 
 
@@ -305,7 +318,7 @@ def report(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     found, edges = decisions(docs, threshold)
     classes = components(edges).select(F.col("node").alias("doc"), "root")
-    visible = F.size(F.filter(F.split(F.coalesce("row.text", F.lit("")), "\n"), lambda x: x.rlike(VISIBLE)))
+    visible = F.regexp_count(F.coalesce("row.text", F.lit("")), F.lit(r"[^ \t\x0B\f\r\n][^\n]*"))  # lines with a visible character
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     rows = _cut(docs.select("doc_id", "text"), found).select("doc", visible.cast("bigint").alias("n_lines"), *map(zero, ("n_copies", "n_near", "n_links")), F.sha2("cut", 256).alias("text_sha256"))
     class_id = F.coalesce("root", "doc")
