@@ -18,25 +18,87 @@ EDGE = [(1, None, "en", "a"), (2, "", "en", None), (3, " 12 \n", None, "a"), (No
 
 
 def parse(text, sample):
-    """Phrases of a greedy parse of ``text`` into longest substrings of ``sample``."""
+    """Phrases of a greedy parse of the whole ``text`` into longest substrings of ``sample``."""
     n = at = 0
     while at < len(text):
-        end = at + 1
-        while end <= len(text) and text[at:end] in sample:
+        end, where = at + 1, sample.find(text[at])
+        while where >= 0 and end < len(text) and (where := sample.find(text[at : end + 1], where)) >= 0:
             end += 1
-        at = max(end - 1, at + 1)
+        at = end
         n += 1
     return n
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text("abc", min_size=1, max_size=60), st.lists(st.text("abcd", max_size=40), min_size=1, max_size=5))
-def test_phrases_are_those_of_a_greedy_parse(sample, texts):
-    a = language_id.Automaton([ord(c) - 97 for c in sample], 6)
-    pieces_ = np.full((40, len(texts)), 5, np.int32)
-    for k, t in enumerate(texts):
-        pieces_[: len(t), k] = [ord(c) - 97 for c in t]
-    assert a.phrases(pieces_).tolist() == [parse(t, sample) for t in texts]
+def parsed(sample, texts, width, piece, table_bytes):
+    a = language_id.Automaton(*language_id.transitions([ord(c) - 97 for c in sample], width), width, len(sample), table_bytes)
+    symbols = np.array([ord(c) - 97 for t in texts for c in t], np.int32)
+    sizes = np.array([len(t) for t in texts])
+    return a.phrases(symbols, np.cumsum(sizes) - sizes, sizes, piece).tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", min_size=1, max_size=60), st.lists(st.text("abcd", max_size=60), min_size=1, max_size=5), st.integers(1, 70), st.sampled_from([0, 1 << 20]))
+def test_phrases_are_those_of_a_greedy_parse(sample, texts, piece, table_bytes):
+    """Whatever the size of pieces, and with and without a table."""
+    assert parsed(sample, texts, 5, piece, table_bytes) == [parse(t, sample) for t in texts]
+
+
+def test_periodic_texts_and_copies_of_the_sample_are_parsed_whole():
+    """Texts on which parses from different places never meet, and one that the sample holds whole."""
+    random.seed(3)
+    sample = "".join(random.choice("abc") for _ in range(3000)) + "abab" + "ccc"
+    texts = ["ab" * 2000, "c" * 1999, sample, sample[500:2500] + "d" + sample[:700], "", "d" * 50]
+    for table_bytes in (0, 1 << 24):
+        assert parsed(sample, texts, 5, 64, table_bytes) == [parse(t, sample) for t in texts]
+    assert parsed(sample, [sample[:3000]], 5, language_id.PIECE, 1 << 24) == [1]
+
+
+def brute_language(text, samples):
+    """The prediction by parsing with string searches, over the rule of separators alone."""
+    reduced = lambda t: "".join(c if c.isalpha() else " " for c in t.lower())
+    squeeze = lambda t: re.sub(" +", " ", reduced(t))
+    own = squeeze(text or "")
+    if not any(c.isalpha() for c in own):
+        return "und", 0.0
+    costs = {k: parse(own, squeeze(s)) * float(np.log2(len(squeeze(s)) + 2)) / len(own) for k, s in samples.items()}
+    first, *rest = sorted(costs, key=lambda k: (costs[k], k))
+    return first, 1 - costs[first] / costs[rest[0]] if rest else 1.0
+
+
+def test_language_id_matches_brute_force(spark):
+    """Every whole text of the table, with the sample that the model learns from."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    samples = language_id.sample(docs)
+    texts = {r["doc_id"]: r["text"] for r in table("documents")}
+    for r in language_id.op6_language_id(spark, DATA).collect():
+        name, score = brute_language(texts[r["doc_id"]], samples)
+        assert r["lang_pred"] == name and r["score"] == pytest.approx(score, abs=1e-9)
+
+
+def test_languages_of_many_letters_are_told_apart(spark):
+    """Two languages of 3,000 letters each, in ranges of their own; every letter counts."""
+    random.seed(6)
+    word = lambda low: "".join(chr(low + random.randrange(3000)) for _ in range(4))
+    rows = [(k, " ".join(word(0x4E00 if k % 2 else 0x6000) for _ in range(1500)), "xa" if k % 2 else "xb", None) for k in range(40)]
+    samples = language_id.sample(frame(spark, rows))
+    model = language_id.Model(language_id.build(samples))
+    assert len(model.symbols.of[model.symbols.of > 0]) and model.symbols.other > 5900
+    for low, name in ((0x4E00, "xa"), (0x6000, "xb")):
+        text = " ".join(word(low) for _ in range(30))
+        got = model.predict([text])
+        assert got[0] == [name] and (got[0][0], pytest.approx(got[1][0])) == brute_language(text, samples)
+    small = language_id.Model(language_id.build(samples), 0)
+    assert small.predict([text, None, "12"]) == model.predict([text, None, "12"])
+
+
+def test_language_sample_is_bounded_and_fair(spark, monkeypatch):
+    """Rows without an id spread over the hash, copies count once, and a flood in one language leaves the others theirs."""
+    monkeypatch.setattr(language_id, "TRAIN_DOCS", 5)
+    rows = [(None, f"flood number {k} of many words", "aa", None) for k in range(300)] + [(0, "the same again", "ab", None)] * 50
+    rows += [(k, f"other words {k}", "zz", None) for k in range(1000, 1040)]
+    got = language_id.sample(frame(spark, rows))
+    assert sorted(got) == ["aa", "ab", "zz"] and got["ab"] == "the same again"
+    assert len(got["aa"].split("\n")) == 5 and len(got["zz"].split("\n")) == 5
 
 
 def test_language_id_held_out_accuracy(spark):
@@ -61,10 +123,10 @@ def test_language_id_edge_cases(spark):
     rows = language_id.identify(frame(spark, EDGE)).select("doc_id", "_language.*", "node").collect()
     assert len(rows) == len(EDGE)
     for r in rows:
-        assert (r["lang_pred"] == "und" and r["score"] == 0) == (r["doc_id"] in (1, 2, 3))
+        assert (r["lang_pred"] == "und" and r["score"] == 0 and r["n_letters"] == 0) == (r["doc_id"] in (1, 2, 3))
     assert language_id.identify(frame(spark, [])).collect() == []
     none = language_id.identify(frame(spark, [(1, "some words", None, None)])).select("_language.*").collect()
-    assert [tuple(r) for r in none] == [("und", 0.0)]
+    assert [tuple(r) for r in none] == [("und", 0.0, 9)]
 
 
 # license scan
