@@ -19,7 +19,7 @@ from tidewell.llm.common import materialise
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = language_id.identify(docs)
-    return found.filter(found["_language"]["lang_pred"] != language_id.UND).select(*docs.columns)
+    return found.filter(found["_language"]["n_letters"] > 0).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
