@@ -229,10 +229,12 @@ def test_escape_is_reversible_and_leaves_no_control_string(parts):
 def test_templates_that_rewrite_history_are_found():
     turns = [("user", "a"), ("assistant", "b"), ("user", "c")]
     drops = lambda ts: "".join(f"[{r}:{t if k == len(ts) - 1 else '...'}]" for k, (r, t) in enumerate(ts))
-    assert [s.rewrites for s in chat.spans(iter(turns), drops)] == [False, True, True]
+    assert [s.rewrites for s in chat.spans(iter(turns), chat.Template(drops))] == [False, True, True]
     numbers = lambda ts: "".join(f"{k}:{t};" for k, (_, t) in enumerate(ts))
-    assert not any(s.rewrites for s in chat.spans(iter(turns * 3), numbers))
-    assert any(s.rewrites for s in chat.spans(iter(turns * 30), numbers))
+    found = list(chat.spans(iter(turns * 30), chat.Template(numbers)))
+    assert not any(s.rewrites for s in found) and "".join(s.text for s in found) == numbers(turns * 30)
+    false = chat.Template(numbers, turn_local=True)  # a declaration that does not hold
+    assert any(s.rewrites for s in chat.spans(iter(turns * 30), false))
 
 
 def test_operators_render_whole_prefixes_of_any_template(spark):
@@ -242,13 +244,39 @@ def test_operators_render_whole_prefixes_of_any_template(spark):
     limit = lambda ts: "".join(f"[{r}:{t}]" for r, t in ts[-20:])
     numbers = lambda ts: "".join(f"{k}:{t};" for k, (_, t) in enumerate(ts))
     front = lambda ts: "".join(f"<{ts[0][0]}>{t}" for _, t in ts)
-    for template, rewrites in ((limit, True), (numbers, False), (front, False)):
-        out = chat.format_turns(rows, template).orderBy("turn_at").collect()
-        found = chat.digest(rows, template).first()
+    for render, rewrites in ((limit, True), (numbers, False), (front, False)):
+        out = chat.format_turns(rows, chat.Template(render)).orderBy("turn_at").collect()
+        found = chat.digest(rows, chat.Template(render)).first()
         assert found["rewrites_history"] == any(r["rewrites_history"] for r in out) == rewrites
         if not rewrites:
-            assert "".join(r["formatted"] for r in out) == template(turns) and found["formatted_chars"] == len(template(turns))
-    assert [r["rewrites_history"] for r in chat.format_turns(rows, limit).orderBy("turn_at").collect()] == [k >= 20 for k in range(40)]
+            assert "".join(r["formatted"] for r in out) == render(turns) and found["formatted_chars"] == len(render(turns))
+    assert [r["rewrites_history"] for r in chat.format_turns(rows, chat.Template(limit)).orderBy("turn_at").collect()] == [k >= 20 for k in range(40)]
+
+
+def test_foreign_templates_give_roles_texts_and_loss(spark):
+    """Marks around roles, a marker before the first turn, stripped texts; roles and loss are the turns' own."""
+    texts = ["hello <|im_end|>", "  an answer  ", "", "\ue000 and \ue001", "the last, x"]
+    turns = [(0, "system", texts[0]), (1, "assistant", texts[1]), (2, "user", texts[2]), (3, "assistant", texts[3]), (4, "assistant", texts[4])]
+    rows = spark.createDataFrame([(c, *t) for c in (1, 2) for t in turns], "conv_id bigint, turn bigint, role string, text string")
+    safe = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+    back = lambda t: t.replace("&lt;", "<").replace("&amp;", "&")
+    marks = lambda ts: "<s>" + "".join(f"<|im_start|>{r}\n{safe(t)}<|im_end|>\n" for r, t in ts)
+    named = lambda ts: "BEGIN\n" + "".join(f"### {r.title()}:\n{t}\n\n" for r, t in ts)
+    strict = lambda ts: ts[0][0] + "".join(f"|{t}|" for _, t in ts)  # fails on an empty conversation
+    read = lambda head: head[head.index("<|im_start|>") + 12 : -1]
+    for template in (chat.Template(marks, back, read), chat.Template(named), chat.Template(strict)):
+        want = plain(turns)
+        for r in chat.digest(rows, template).collect():
+            assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == want and not r["rewrites_history"]
+            assert r["formatted_chars"] == len(template.render([t[1:] for t in turns]))
+        out = chat.format_turns(rows.filter("conv_id = 2"), template).orderBy("turn_at").collect()
+        assert "".join(r["formatted"] for r in out) == template.render([t[1:] for t in turns])
+        assert [r["role"] for r in out] == [t[1] for t in turns] and [r["loss"] for r in out] == [t[1] == "assistant" for t in turns]
+    strips = chat.Template(lambda ts: "".join(f"[{t.strip()}]" for _, t in ts))
+    out = chat.format_turns(rows.filter("conv_id = 1"), strips).orderBy("turn_at").collect()
+    assert [r["formatted"][r["text_start"] : r["text_end"]] for r in out] == [t.strip() for t in texts]
+    silent = chat.Template(lambda ts: "".join(f"[{r}]" for r, _ in ts))
+    assert all(r["text_start"] == r["text_end"] == len(r["formatted"]) for r in chat.format_turns(rows, silent).collect())
 
 
 # quality rules
