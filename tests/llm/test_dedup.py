@@ -27,8 +27,11 @@ def test_exact_dedup_edge_cases(spark):
     assert (by[1][0]["keep_id"], by[1][0]["group_size"], by[1][0]["kept"]) == (2, 2, False)
     assert by[2][0]["kept"] and not by[3][0]["keep_id"] == 2
     assert (by[4][0]["keep_id"], by[4][0]["group_size"]) == (6, 4)
-    assert [r["kept"] for r in by[6]] == [True, True] and by[5][0]["kept"]
-    assert {(r["keep_id"], r["kept"]) for r in by[None]} == {(6, False), (None, False)}
+    assert sorted(r["kept"] for r in by[6]) == [False, True] and by[5][0]["kept"]
+    assert {(r["keep_id"], r["kept"]) for r in by[None]} == {(6, False), (None, True)}
+    kept = [r["text_sha256"] for r in rows if r["kept"]]
+    assert sorted(kept) == sorted({r["text_sha256"] for r in rows})  # one row of every text
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
 
 
 def test_exact_dedup_empty(spark):
@@ -43,10 +46,27 @@ def test_digest_index_persists(spark):
     second = exact_dedup.exact_dedup(frame(spark, [(9, "a", None, None), (8, "c", None, None)]), again)
     assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in second.collect()} == {9: (5, False), 8: (8, True)}
     assert again.table.count() == 3
+    third = exact_dedup.exact_dedup(frame(spark, [(None, "d", None, None), (None, "d", None, None), (None, "a", None, None)]), again)
+    assert sorted((r["keep_id"] or 0, r["group_size"], r["kept"]) for r in third.collect()) == [(0, 2, False), (0, 2, True), (5, 1, False)]
     about = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE FORMATTED index_persists").collect()}
     assert about["Num Buckets"] == "4" and "digest" in about["Bucket Columns"] and "digest" in about["Sort Columns"]
 
 
+def test_two_batches_against_one_index(spark):
+    """A kept index of 10,000 paired digests; a batch of one row broadcasts nothing of it, and new texts alone are added."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id % 10000) AS text")
+    index = exact_dedup.DigestIndex(spark, "two_batches", f"{shared_dir(spark)}/two_batches", 4)
+    assert exact_dedup.exact_dedup(docs, index).filter("kept").agg(F.min("doc_id"), F.count(F.lit(1))).first()[0:2] == (10_000, 10_000)
+    rows = exact_dedup.digests(frame(spark, [(90_000, "text 7", None, None)])).withColumn("row", F.lit(0))
+    batch = rows.selectExpr("digest", "doc_id AS keep_id", "1L AS group_size", "0L AS keep_row")
+    found = index.lookup(rows, batch)
+    assert found.count() == 1 and "Union" not in found._jdf.queryExecution().optimizedPlan().toString()  # no digest is hot
+    second = exact_dedup.exact_dedup(spark.range(9_990, 10_010).selectExpr("id + 50000 AS doc_id", "concat('text ', id) AS text"), index)
+    assert second.filter("kept").count() == 10 and second.filter("NOT kept AND keep_id >= 10000 AND keep_id < 20000").count() == 10
+    assert index.table.count() == 10_010
+    index.drop()
+
+
 def test_near_dedup_edge_cases(spark):
     rows = near_dedup.near_dedup(frame(spark, EDGE)).collect()
     assert len(rows) == len(EDGE)
