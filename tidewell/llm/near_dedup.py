@@ -10,7 +10,8 @@ Candidates are taken in two steps, so that a bucket of any size never yields all
 2. in buckets that still hold nodes of different components of the links so far, the other pairs of nodes of different
    components, compared inside tasks, block of nodes against block of nodes. Pairs within a component cannot change
    the result and are not compared. Nothing is capped: a bucket of n nodes has its n^2 / BLOCK^2 pairs of blocks
-   spread over as many groups, and no pair becomes a row but the links that join two components.
+   spread over as many groups, and no pair becomes a row but the links that join two components. A block has about
+   ``BLOCK`` nodes and ``BLOCK_BYTES`` of their sets, or fewer, so long texts make for more and smaller blocks.
 
 A pair's signatures are compared in batches of ``BATCH``. After each batch the posterior of the similarity, from a
 uniform prior and the agreements so far, prunes the pair once the chance that it reaches the threshold is below
@@ -34,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, map_texts, materialise, maybe_broadcast
+from tidewell.llm.common import discard, documents, map_texts, materialise, maybe_broadcast
 from tidewell.llm.components import components
 
 WORDS, THRESHOLD = 5, (75, 100)
 HASHES, ROWS = 128, 4
 BATCH, MISS = 32, 1e-4
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Elements of the sets that are counted at once.
 SLICE = 8192
 #: Bytes of texts that are shingled together; numpy holds some fifty times as many bytes meanwhile.
@@ -185,7 +186,9 @@ def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFram
     ids = maybe_broadcast(wanted.select(F.col("low").alias("doc_id")).distinct(), wanted.count(), 64)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     texts = map_texts(texts, [], sets, "set_key binary, hashes binary", CHUNK_BYTES).groupBy("set_key").agg(F.first("hashes").alias("hashes"))
-    return materialise(wanted.join(texts, "set_key").select("node", "hashes"), "sets")
+    out = materialise(wanted.join(texts, "set_key").select("node", "hashes"), "sets")
+    discard(wanted)
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -230,7 +233,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     full = _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), nodes, docs)
     side = lambda x: full.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(linked("h_a", "h_b")).select("a", "b")
+    out = materialise(pairs.join(side("a"), "a").join(side("b"), "b").filter(linked("h_a", "h_b")).select("a", "b"), "links")
+    discard(full)
+    return out
 
 
 def _other_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
@@ -240,10 +245,11 @@ def _other_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: D
     shares, pruned by its signatures, and verified; of the links those that join components are returned.
     """
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi AND n > 2")
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), (F.sum("size") * 8).alias("bytes")).filter("lo != hi AND n > 2")
+    parts = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
     rows = materialise(placed.join(mixed.select("bucket", parts.alias("parts")), "bucket"), "mixed")
-    full = _full_sets(rows.select("node"), nodes, docs).join(nodes.select("node", "signature"), "node")
+    sets = _full_sets(rows.select("node"), nodes, docs)
+    mixed_rows, full = rows, sets.join(nodes.select("node", "signature"), "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(full, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "leader", "root", "signature", "hashes")
@@ -288,7 +294,9 @@ def _other_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: D
                     out.append((int(nodes_[0][k]), int(nodes_[1][m])))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.mapInPandas(compare, "a bigint, b bigint")
+    out = materialise(rows.mapInPandas(compare, "a bigint, b bigint"), "links")
+    discard(mixed_rows, sets)
+    return out
 
 
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -317,16 +325,21 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     nodes = materialise(alike.join(rows.select(F.col("row").alias("node"), "n", "signature"), "node"), "nodes")
     width = 4 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)) for b in range(HASHES // ROWS)])
-    banded = nodes.select("node", F.posexplode(bands).alias("band", "bucket"))
+    banded = nodes.select("node", F.col("n").alias("size"), F.posexplode(bands).alias("band", "bucket"))
     full = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialise(banded.join(full.select("bucket", "leader"), "bucket"), "members")
     pairs = members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(_verified(materialise(_probable(pairs, nodes), "pairs"), nodes, docs), "links")
-    roots = components(links).select("node", "root")
-    more = materialise(_other_links(members, nodes, roots, docs), "links")
-    if not more.isEmpty():
-        roots = components(links.union(more)).select("node", "root")
+    probable = materialise(_probable(pairs, nodes), "pairs")
+    links = _verified(probable, nodes, docs)
+    roots = components(links)
+    more = _other_links(members, nodes, roots, docs)
     named = nodes.select("node", "set_key", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if not more.isEmpty():  # on from the components so far: only those that the new links join take part
+        for end in ("a", "b"):
+            more = more.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(end, F.coalesce(f"root_{end}", end))
+        joined = components(more.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("last"))
+        named = named.join(maybe_broadcast(joined, joined.count(), 32), "root", "left").withColumn("root", F.coalesce("last", "root"))
+    discard(probable, links, members)
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     sets = named.join(least, "root").select("set_key", "component_id", "root")
     out = rows.drop("signature").join(sets, "set_key", "left")
