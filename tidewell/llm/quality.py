@@ -6,7 +6,8 @@ feature, and the bounds that a split sets hold in the whole subtree. All trees l
 left child, value), so a batch is scored by a few array steps a tree level.
 
 The sample: at most ``TRAIN_ROWS`` labelled documents, by the order of a hash of their id; only their statistics go to
-the driver. Labels of an id that occurs more than once count as bad if any is.
+the driver, one row for each id. Labels of an id that occurs more than once count as bad if any is; of several
+documents under one id the one with the least statistics is learnt from.
 
 Defined cases: a null text has no words, so it fails the base rule and is not kept; lines and words are as in the
 contract; with no labelled rows, or of one class only, the method passes every text and the base rules decide alone;
@@ -167,8 +168,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees | None:
 
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
     drawn = labels.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", "text").join(maybe_broadcast(drawn, TRAIN_ROWS, 64), "doc_id").select("doc_id", "quality", features("text").alias("x")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    rows = docs.select("doc_id", "text").join(maybe_broadcast(drawn, TRAIN_ROWS, 64), "doc_id").select("doc_id", "quality", features("text").alias("x"))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).collect()  # repeated ids don't add up
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["quality"] for r in rows]), tuple(MONOTONE.get(f, 0) for f in FEATURES))
 
