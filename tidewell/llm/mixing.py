@@ -6,12 +6,14 @@ to within a word. A shard lines its documents up in a seeded order, repeats them
 and takes the rest as a run of that line, from a seeded block on. As the order is seeded too, these are random
 documents, and only those at the ends of the picked run are cut, between words.
 
-Sizes are the only thing read from texts. A source is split into shards by the hash of ``doc_id``, so a source that
-holds a third of all rows is laid out by many tasks. To the driver go one row for each source and shard: at most
-``MAX_SHARDS`` plus the number of sources, which a mix names one by one anyway.
+Sizes and hashes are the only things read from texts. A source is split into shards by a hash of ``doc_id`` and text, so
+a source, or an id, that holds a third of all rows is laid out by many tasks. To the driver go one row for each source
+and shard: at most ``MAX_SHARDS`` plus the number of sources, which a mix names one by one anyway; both lists are
+broadcast only while they are small.
 
 Defined cases: a null text has size 0, a null source is a source of its own, last in order; targets of empty sources
-are 0; repeated rows count as often as they occur; an empty table gives an empty result; other columns are not read.
+are 0; repeated rows count as often as they occur, and rows of equal id and size are told apart by their texts, so that
+reruns agree; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD, documents, materialise, ship
+from tidewell.llm.common import WORD, documents, materialise, maybe_broadcast, ship
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -71,9 +73,9 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
 
 
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
-    """``doc_id, source, size`` and ``more``: words of each whole text."""
+    """``doc_id, source, size, body`` and ``more``: words of each whole text, and a hash of it."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size, *more)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size, F.xxhash64("text").alias("body"), *more)
 
 
 def _number(*parts) -> int:
@@ -81,9 +83,9 @@ def _number(*parts) -> int:
 
 
 def plan(sizes: DataFrame, rows: DataFrame | None = None, seed: int = SEED) -> DataFrame:
-    """``row``'s fields or ``doc_id, source, size``, and ``source_size, target, full, ranges``: repeats and picked word ranges.
+    """columns of ``rows`` or ``sizes``, and ``source_size, target, full, ranges``: repeats and picked word ranges.
 
-    ``sizes`` has ``doc_id, source, size``; ``rows``, if given, the same and a struct ``row`` that is carried along.
+    ``sizes`` has ``doc_id, source, size, body``; ``rows``, if given, the same and a struct ``row`` that is carried along.
     """
     spark = sizes.sparkSession
     sums = sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()
@@ -94,10 +96,10 @@ def plan(sizes: DataFrame, rows: DataFrame | None = None, seed: int = SEED) -> D
     block = min(max(int(sum(goal)) // BLOCKS, BLOCK_WORDS[0]), BLOCK_WORDS[1])
     quotas = sainte_lague(goal, round(sum(goal)), [MAX_REPEATS * n for _, n in sums])
     per_source = [(s, n, goal[i], quotas[i], max(1, -(-n // words))) for i, (s, n) in enumerate(sums)]
-    sources = F.broadcast(spark.createDataFrame(per_source, "s_source string, source_size bigint, target double, quota bigint, s_shards bigint"))
+    sources = maybe_broadcast(spark.createDataFrame(per_source, "s_source string, source_size bigint, target double, quota bigint, s_shards bigint"), len(per_source), 256)
 
     def dealt(df: DataFrame) -> DataFrame:
-        shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("s_shards")).alias("shard")
+        shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "body"), F.col("s_shards")).alias("shard")
         return df.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).select(*df.columns, "source_size", "target", shard)
 
     in_shard: dict = {}
@@ -110,10 +112,10 @@ def plan(sizes: DataFrame, rows: DataFrame | None = None, seed: int = SEED) -> D
         for (shard, n), q in zip(own, given, strict=True):
             full, rest = divmod(q, n) if n else (0, 0)
             per_shard.append((source, shard, n, full, rest, block * (_number(seed, source, shard) % max(1, -(-n // block)))))
-    shards = F.broadcast(spark.createDataFrame(per_shard, "s_source string, s_shard bigint, words bigint, full bigint, rest bigint, first bigint"))
-    order = Window.partitionBy("source", "shard").orderBy("s_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    shards = maybe_broadcast(spark.createDataFrame(per_shard, "s_source string, s_shard bigint, words bigint, full bigint, rest bigint, first bigint"), len(per_shard), 256)
+    order = Window.partitionBy("source", "shard").orderBy("s_at", "doc_id", "size", "body").rowsBetween(Window.unboundedPreceding, -1)
     rows = sizes if rows is None else rows
-    lined = dealt(rows).withColumn("s_at", F.xxhash64(F.lit(seed + 1), "doc_id")).withColumn("s_from", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    lined = dealt(rows).withColumn("s_at", F.xxhash64(F.lit(seed + 1), "doc_id", "body")).withColumn("s_from", F.coalesce(F.sum("size").over(order), F.lit(0)))
     lined = lined.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
 
     def overlap(lo, hi):
