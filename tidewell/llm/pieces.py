@@ -7,9 +7,9 @@ is searched once.
 
 The forward state depends on the model's kind. For a unigram model it is Viterbi's: the best score of a segmentation
 of the prefix and its last piece. A BPE model's pieces have ranks, not probabilities, and the best sum of scores is
-not what the format defines, so there the state is the last piece of the prefix's merge result. It is found by the
-same forward step: a piece may end a prefix if merging it together with the last piece of what stands before yields
-just these two; one piece at most does. So the ids are those that merging pair by pair gives.
+not what the format defines. There the search is Viterbi's over scores of neighbours: a piece scores 0 behind another
+if merging the two yields just these two, and minus infinity else. One segmentation of each prefix scores 0, so its
+state is its last piece, and the ids are those that merging pair by pair gives.
 
 Defined cases: a null or empty text has no ids; U+2581 in a text stands for a space, as in the format; characters
 outside the vocabulary become byte pieces, or the unknown piece if the model has none; very long words are searched
@@ -20,6 +20,7 @@ many pairs of pieces.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -320,7 +321,7 @@ def load(data: bytes) -> PieceModel:
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """``doc_id, ids, n_tokens, round_trip``: ids of each whole text, and whether decoding them gives it back."""
+    """``doc_id, ids, n_tokens, round_trip, decoded_sha256``: ids of each whole text, whether decoding them gives it back, and the digest of what it gives."""
     with open(model_path, "rb") as f:
         shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -328,12 +329,14 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
         model = load(shipped.value)
         ids = model.encode(texts)
         counts = np.array([len(x) for x in ids], np.int64)
-        same = [model.decode(x.tolist()) == (t or "").replace(MARK, " ") for t, x in zip(texts, ids, strict=True)]
+        back = [model.decode(x.tolist()) for x in ids]
+        same = [b == (t or "").replace(MARK, " ") for t, b in zip(texts, back, strict=True)]
+        digests = [hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back]
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(counts), pa.array(same, pa.bool_())]
+        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), pa.array(counts), pa.array(same, pa.bool_()), pa.array(digests, pa.string())]
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_texts(rows, ["doc_id"], compute, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean", CHUNK_BYTES)
+    return map_texts(rows, ["doc_id"], compute, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean, decoded_sha256 string", CHUNK_BYTES)
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
