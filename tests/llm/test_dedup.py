@@ -102,6 +102,20 @@ def test_near_dedup_dense_group(spark):
     assert got == expected
 
 
+def test_near_dedup_blocks_of_few_bytes(spark, monkeypatch):
+    """Blocks bounded by the bytes of sets, and a bucket whose leader is near nobody else in it."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)
+    random.seed(9)
+    rows, words = [], [f"w{i}" for i in range(120)]
+    for k in range(60):
+        own = list(words)
+        for i in random.sample(range(120), random.choice([1, 3, 6])):
+            own[i] = f"v{k}x{i}"
+        rows.append((k, " ".join(own), None, None))
+    expected = groups({d: shingles(t) for d, t, _, _ in rows})
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(frame(spark, rows)).collect()} == expected
+
+
 def test_deduplicate_keeps_one_row_a_group(spark):
     docs = frame(spark, EDGE)
     out = near_dedup.deduplicate(docs)

@@ -113,10 +113,80 @@ def test_place_edge_cases(spark):
     assert sharding.place(frame(spark, []), "doc_id", sharding.shard_names(3), 101).collect() == []
 
 
-def test_no_python_in_native_plans(spark):
+def test_table_equals_a_brute_force_fill():
+    """Each shard's whole order of slots is listed; in turns each takes the first slot of its list that nobody has."""
+    import hashlib
+
+    names, size = sharding.shard_names(5), 53
+    orders = []
+    for n in names:
+        seed = hashlib.sha256(n.encode()).digest()
+        offset, skip = int.from_bytes(seed[:8], "big") % size, int.from_bytes(seed[8:16], "big") % (size - 1) + 1
+        orders.append([(offset + j * skip) % size for j in range(size)])
+        assert sorted(orders[-1]) == list(range(size))
+    owner = {}
+    while len(owner) < size:
+        for k, order in enumerate(orders):
+            if len(owner) < size:
+                owner[next(x for x in order if x not in owner)] = k
+    assert list(sharding.fill_table(names, size)) == [owner[x] for x in range(size)]
+
+
+def test_long_keys_have_a_slot(spark):
+    df = spark.createDataFrame([("k" * 100_000,), ("",), (None,)], "key string")
+    rows = {r["key"]: (r["slot"], r["shard"]) for r in sharding.place(df, "key", sharding.shard_names(3), 101).collect()}
+    assert len(rows) == 3 and rows[""] == rows[None]
+
+
+def test_no_python_in_native_plans(spark, monkeypatch):
+    """Neither in the last plan nor in those whose results are written in between."""
+    from tidewell.llm import components, exact_dedup, line_dedup
+
+    plans = []
+    for module in (components, exact_dedup, line_dedup):
+        monkeypatch.setattr(module, "materialise", lambda df, tag, own=module.materialise: (plans.append(df._jdf.queryExecution().toString()), own(df, tag))[1])
     for name in ("op1_line_dedup", "op5_sharding", "op7_exact_dedup"):
-        plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().toString()
-        assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
+        plans.append(registry.queries()[name](spark, DATA)._jdf.queryExecution().toString())
+    assert len(plans) > 12
+    for plan in plans:
+        assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_taken_words_match_a_walk_word_by_word(spark, monkeypatch):
+    """Each shard's documents in a row, as many full rounds as its quota has, then words one by one from its first block on."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 3000)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [r.asDict() for r in mixing.sized(docs).select("*", *[F.xxhash64(F.lit(mixing.SEED + k), "doc_id", "body").alias(f"h{k}") for k in (0, 1)]).collect()]
+    names = sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    per = {s: sum(r["size"] for r in rows if r["source"] == s) for s in names}
+    total = sum(per.values())
+    goal = brute_targets([per[s] for s in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))], 1.5 * total)
+    quotas = brute_seats(goal, round(sum(goal)), [2 * per[s] for s in names]) if total < 5000 else mixing.sainte_lague(goal, round(sum(goal)), [2 * per[s] for s in names])
+    block = min(max(int(sum(goal)) // mixing.BLOCKS, mixing.BLOCK_WORDS[0]), mixing.BLOCK_WORDS[1])
+    taken = Counter()
+    for s, quota in zip(names, quotas, strict=True):
+        shards = max(1, math.ceil(per[s] / 3000))
+        own = [[r for r in rows if r["source"] == s and r["h0"] % shards == k] for k in range(shards)]
+        sizes = [(k, sum(r["size"] for r in x)) for k, x in enumerate(own) if x]
+        given = mixing.sainte_lague([float(n) for _, n in sizes], quota, [2 * n for _, n in sizes])
+        for (k, n), q in zip(sizes, given, strict=True):
+            line = [r["doc_id"] for r in sorted(own[k], key=lambda r: (r["h1"], r["doc_id"], r["size"], r["body"])) for _ in range(r["size"])]
+            first = block * (mixing._number(mixing.SEED, s, k) % max(1, -(-n // block)))
+            for j in range(q):
+                taken[line[(first + j) % n]] += 1
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()} == {r["doc_id"]: taken[r["doc_id"]] for r in rows}
+
+
+def test_ties_of_id_and_size_are_broken_by_text(spark, monkeypatch):
+    """Rows without an id, equal in size: they spread over shards, and the mix is the same whatever their order."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 50)
+    rows = [(None, f"a{k} b{k} c{k}", None, "s") for k in range(200)]
+    one, two = (sorted(r["text"] for r in mixing.mixed(frame(spark, x)).collect()) for x in (rows, rows[::-1]))
+    assert one == two and len({t for t in one}) > 100
 
 
 def test_small_sources_get_their_words(spark, monkeypatch):

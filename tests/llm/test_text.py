@@ -329,6 +329,39 @@ def test_trees_are_monotone_and_learn():
     assert quality.fit(x, np.ones(3000), (0, 0, 0)) is None
 
 
+def test_scores_match_a_walk_of_each_tree():
+    r = np.random.default_rng(5)
+    x = r.random((1500, len(quality.FEATURES)))
+    y = (x[:, 2] + x[:, 5] * x[:, 7] + 0.1 * r.random(1500) < 0.8).astype(float)
+    model = quality.fit(x, y, tuple(quality.MONOTONE.get(f, 0) for f in quality.FEATURES))
+    for row, p in zip(x[:200], model.probability(x[:200]), strict=True):
+        total = model.base
+        for node in model.roots:
+            while model.feature[node] >= 0:
+                node = model.left[node] + (1 if row[model.feature[node]] > model.threshold[node] else 0)
+            total += model.value[node]
+        assert p == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_kept_follows_the_model_and_the_base_rules(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in table("documents")}
+    for r in quality.op8_quality_rules(spark, DATA).collect():
+        counts, features = quality.statistics(texts[r["doc_id"]])
+        assert r["probability"] == pytest.approx(model.probability(np.array([features]))[0])
+        failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+        assert r["kept"] == (not failed and r["probability"] >= quality.PASS)
+
+
+def test_repeated_ids_are_learnt_from_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, monotone: seen.append((len(x), y.tolist())))
+    docs = frame(spark, [(1, f"text {k % 3}", None, None) for k in range(50)] + [(2, "other", None, None)])
+    quality.train(docs, spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int"))
+    assert seen == [(2, [0.0, 1.0])]
+
+
 def test_quality_edge_cases(spark):
     docs = frame(spark, EDGE)
     labels = spark.createDataFrame([(5, None, None), (None, 1, 0), (6, 1, 0)], "doc_id bigint, quality int, toxic int")
@@ -400,6 +433,7 @@ def test_pieces_edge_cases(spark, both):
     rows = pieces.encode(frame(spark, EDGE))
     by = {r["doc_id"]: r for r in rows.collect()}
     assert rows.count() == len(EDGE) and by[1]["ids"] == [] and by[2]["n_tokens"] == 0 and all(r["round_trip"] for r in by.values())
+    assert all(r["decoded_sha256"] == hashlib.sha256((dict((d, t) for d, t, _, _ in EDGE)[d] or "").encode()).hexdigest() for d, r in by.items())
     text = {r["doc_id"]: r["text"] for r in pieces.decode(rows).collect()}
     assert text[6] == EDGE[6][1] and text[3] == EDGE[2][1]
     assert pieces.encode(frame(spark, [])).collect() == []

@@ -8,7 +8,7 @@ while the query is planned and travels as a literal; rows find their slot by has
 of exactly ``table_size`` rows. No row moves, so a hot key costs nothing here.
 
 Defined cases: keys are hashed by the text of their value, a null key as the empty string; equal keys go to the same
-shard, so repeated rows stay together; an empty table gives an empty result; columns whose names clash with the
+shard, so repeated rows stay together; a key of any length has one digest; an empty table gives an empty result; columns whose names clash with the
 result's are not read.
 """
 
