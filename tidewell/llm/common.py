@@ -20,6 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast only if its measured size is at most this.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of rows that a Python worker is sent at once, or one row.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -86,8 +90,14 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once a session, so functions that need it can be loaded there."""
+    """Give the executors' Python workers this package, once a session, so functions that need it can be loaded there.
+
+    Rows go to them in batches of ``BATCH_BYTES``, or one row: by Spark's own bounds, 10,000 rows of long texts and 64 MB,
+    each of an executor's tasks would hold a multiple of that, in the JVM and in Python.
+    """
     sc = spark.sparkContext
+    if _bytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if getattr(sc, "_tidewell_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -102,6 +112,12 @@ def ship(spark: SparkSession) -> None:
     sc._tidewell_shipped = True
 
 
+def _bytes(value: str) -> int:
+    """A size such as ``64MB``, ``4m`` or ``67108864b`` in bytes."""
+    number = value.rstrip("bBkKmMgGiI ")
+    return int(number) << {"k": 10, "m": 20, "g": 30}.get(value[len(number) :].strip()[:1].lower(), 0)
+
+
 def chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to ``most`` at most, or of one row."""
     ends = np.cumsum(sizes)
