@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -118,6 +120,27 @@ def _bytes(value: str) -> int:
     return int(number) << {"k": 10, "m": 20, "g": 30}.get(value[len(number) :].strip()[:1].lower(), 0)
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What ``make`` gives, kept for later calls with ``key``; a process keeps one such thing, whatever operators it serves."""
+    if key not in _held:
+        _held.clear()
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Give memory that a finished task's arrays and strings have freed back to the system; workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to ``most`` at most, or of one row."""
     ends = np.cumsum(sizes)
@@ -144,6 +167,7 @@ def map_texts(df: DataFrame, columns: list[str], compute: Callable[[list[str | N
                 made = compute(texts.slice(start, end - start).to_pylist())
                 arrays = [c.slice(start, end - start) for c in others] + made
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        release()
 
     names = [x.split()[0] for x in schema.split(", ")]
     return df.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

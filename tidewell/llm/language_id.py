@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from tidewell.llm.common import chunks, documents, ship
+from tidewell.llm.common import chunks, documents, held, release, ship
 
 TRAIN_DOCS, TRAIN_CHARS = 400, 50_000
 #: Symbols of a piece, and bytes of texts that are parsed together, or one text.
@@ -281,11 +281,6 @@ class Model:
         return names, scores, letters.tolist()
 
 
-@lru_cache(maxsize=2)
-def _model(parts: Parts) -> Model:
-    return Model(parts)
-
-
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
@@ -328,7 +323,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     found = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("n_letters", LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shipped.value)
+        model = held(("language", hash(shipped.value)), lambda: Model(shipped.value))
         for batch in batches:
             rows = batch.column(0)
             texts = pc.struct_field(rows, [at])
@@ -336,6 +331,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
                 names, scores, letters = model.predict(texts.slice(start, end - start).to_pylist())
                 arrays = [rows.slice(start, end - start), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["row", "lang_pred", "score", "n_letters"])
+        release()
 
     rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct(*docs.columns).alias("row"))
     out = rows.mapInArrow(run, StructType([StructField("row", rows.schema["row"].dataType), *found]))

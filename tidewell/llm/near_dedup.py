@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, documents, map_texts, materialise, maybe_broadcast
+from tidewell.llm.common import discard, documents, map_texts, materialise, maybe_broadcast, release
 from tidewell.llm.components import components
 
 WORDS, THRESHOLD = 5, (75, 100)
@@ -293,6 +293,7 @@ def _other_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, docs: D
                     parent[max(r, t)] = min(r, t)
                     out.append((int(nodes_[0][k]), int(nodes_[1][m])))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        release()
 
     out = materialise(rows.mapInPandas(compare, "a bigint, b bigint"), "links")
     discard(mixed_rows, sets)

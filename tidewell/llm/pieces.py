@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import documents, map_texts, ship
+from tidewell.llm.common import documents, held, map_texts, ship
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_WORDS, CHUNK_BYTES = 300_000, 2 << 20
+CACHE_WORDS, CHUNK_BYTES = 100_000, 2 << 20
 MARK = "▁"
 #: Ranges of Latin letters, as a class of a pattern.
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -309,15 +309,9 @@ class PieceModel:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-_models: dict[bytes, PieceModel] = {}
-
-
 def load(data: bytes) -> PieceModel:
     """The model of these bytes, one for each process."""
-    if data not in _models:
-        _models.clear()
-        _models[data] = PieceModel(data)
-    return _models[data]
+    return held(("pieces", hash(data)), lambda: PieceModel(data))
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
