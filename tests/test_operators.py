@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell import sources, streaming
 from tidewell.functions import per_episode
-from tidewell.operators import annotation, curation, scalars, sequences, trajectory
+from tidewell.operators import annotation, curation, lags, ranks, replies, scalars, sequences, trajectory
 from tidewell.sources import sinks
 
 
@@ -52,28 +52,38 @@ def test_transition_pauses(spark, modes, moves, fps, expected):
     assert [(r["start_frame"], r["end_frame"]) for r in got.collect()] == expected
 
 
-def grip_in_numpy(values, times):
-    q05, q95 = np.percentile(values, [5, 95], axis=0)
-    usable = q95 - q05 > 1e-6
-    scaled = (np.clip(values[:, usable], q05[usable], q95[usable]) - q05[usable]) / (q95 - q05)[usable]
-    base = np.median(scaled[times < 0.5], axis=0)
-    aperture = np.sqrt(((scaled - base) ** 2).mean(axis=1))
-    return aperture, np.convolve(np.pad(aperture, 5, mode="edge"), np.ones(11) / 11, mode="valid")
+def ranked(values, share):
+    """The value at a share of the ranks, between two neighbours in proportion."""
+    xs = sorted(values)
+    at = share * (len(xs) - 1)
+    low = int(at)
+    return xs[low] + (at - low) * (xs[min(low + 1, len(xs) - 1)] - xs[low])
+
+
+def grip_by_hand(joints, last):
+    """Aperture and smoothed aperture, frame by frame, of joints given as lists at ten frames a second."""
+    scaled = []
+    for xs in joints:
+        low, high = ranked(xs, 0.05), ranked(xs, 0.95)
+        if high - low > 1e-6:
+            scaled.append([(min(high, max(low, x)) - low) / (high - low) for x in xs])
+    rest = [ranked([xs[f] for f in range(len(xs)) if f / 10 < min(0.5, last)], 0.5) for xs in scaled]
+    n = len(joints[0])
+    aperture = [(sum((xs[f] - r) ** 2 for xs, r in zip(scaled, rest, strict=True)) / len(scaled)) ** 0.5 for f in range(n)]
+    smoothed = [sum(aperture[min(n - 1, max(0, f + k))] for k in range(-5, 6)) / 11 for f in range(n)]
+    return aperture, smoothed
 
 
 def test_grip_diagnostic(spark):
-    t = np.arange(61) / 10
-    envelope = np.clip(np.minimum((np.arange(61) - 11) / 11, (50 - np.arange(61)) / 11), 0, 1)
-    values = envelope[:, None] * np.linspace(0.7, 1.3, 7)
-    df = frames_of(spark, {4: values.tolist()})
-    joints = {f"j{k}": F.col("action")[k] for k in range(7)}
-    diagnostic = sequences.grip_diagnostic(df, joints)
+    """A hand that closes over frames 12 to 22 and opens over 39 to 49: it moves fastest in the middle of either."""
+    shape = [max(0.0, min(1.0, (f - 11) / 11, (50 - f) / 11)) for f in range(61)]
+    joints = [[x * (0.7 + 0.1 * k) for x in shape] for k in range(7)]
+    df = frames_of(spark, {4: [list(v) for v in zip(*joints, strict=True)]})
+    diagnostic = sequences.grip_diagnostic(df, {f"j{k}": F.col("action")[k] for k in range(7)})
     rows = diagnostic.orderBy("frame_index").collect()
-    aperture, smoothed = grip_in_numpy(values, t)
-    assert np.allclose([r["aperture"] for r in rows], aperture) and np.allclose([r["smoothed"] for r in rows], smoothed)
-    got = sequences.grip_extrema(diagnostic).collect()[0]
-    d = np.round(smoothed[10:] - smoothed[:-10], 9)
-    assert got["status"] == "available" and got["grasp_frame"] == int(np.argmax(d)) + 5
+    aperture, smoothed = grip_by_hand(joints, 6.0)
+    assert [r["aperture"] for r in rows] == pytest.approx(aperture) and [r["smoothed"] for r in rows] == pytest.approx(smoothed)
+    assert tuple(sequences.grip_extrema(diagnostic).first())[1:] == (16, 44, "available")
     assert sequences.grip_diagnostic(df, {"j0": F.col("action")[0]}).count() == 0
 
 
@@ -141,6 +151,150 @@ def test_closure_leaves_cycles_out(spark):
     assert sorted(map(tuple, curation.closure(edges).collect())) == [(2, 1, 1), (3, 1, 2), (4, 1, 3)]
 
 
+def test_closure_of_a_long_chain(spark):
+    edges = [(k + 1, k) for k in range(1000)] + [(5001, 5002), (5002, 5001), (5003, 5001)]
+    got = {r["child"]: (r["root"], r["depth"]) for r in curation.closure(spark.createDataFrame(edges, "child bigint, parent bigint")).collect()}
+    assert got == {k: (0, k) for k in range(1, 1001)}
+
+
+def test_updates_by_revision(spark):
+    state = spark.createDataFrame([(1, 4, "draft", "x"), (2, 0, "pending", "y"), (3, 7, "draft", "z")], "k bigint, revision bigint, state string, other string")
+    updates = spark.createDataFrame([(1, 4, "approved", 10), (1, 4, "rejected", 11), (2, 1, "draft", 12), (9, 0, "draft", 13), (3, 6, "a", 14), (3, 7, "b", 15)], "k bigint, expected bigint, state string, at bigint")
+    after, tried = curation.compare_and_set(state, updates, "k", ["state"], ["at"])
+    assert sorted(map(tuple, after.collect())) == [(1, 5, "approved", "x"), (2, 0, "pending", "y"), (3, 8, "b", "z")]
+    assert {r["at"]: r["outcome"] for r in tried.collect()} == {10: "updated", 11: "stale", 12: "stale", 13: "missing", 14: "stale", 15: "updated"}
+
+
+def worker_tables(spark):
+    import datetime as dt
+
+    soon, gone = dt.datetime(2026, 1, 1, 0, 3), dt.datetime(2025, 12, 31)
+    jobs = [(1, "w", "running", soon), (2, "w", "running", gone), (3, "v", "running", soon), (4, "w", "cancel_requested", soon), (5, "w", "completed", soon), (6, "w", "running", soon), (7, "w", "running", soon), (8, "w", "running", soon)]
+    tries = [(1, 10, 5, 0, "queued", None), (1, 11, 2, 1, "retryable", None), (1, 12, 2, 0, "retryable", None), (2, 20, 1, 0, "queued", None), (3, 30, 1, 0, "succeeded", None), (4, 40, 1, 0, "manual_only", None)]
+    tries += [(6, 60, 1, 0, "leased", gone), (6, 61, 0, 0, "succeeded", None), (7, 70, 1, 0, "requesting", soon), (7, 71, 0, 0, "queued", None), (8, 80, 0, 0, "manual_only", None), (8, 81, 1, 0, "succeeded", None)]
+    now = F.lit(dt.datetime(2026, 1, 1))
+    return spark.createDataFrame(jobs, "job bigint, owner string, state string, lease_expires_at timestamp"), spark.createDataFrame(tries, "job bigint, id bigint, episode bigint, attempt_number bigint, state string, lease_expires_at timestamp"), now
+
+
+def test_claims_and_ends_of_jobs(spark):
+    """Order by episode, attempt, id; an expired lease is free again; a live one, a lost job and a cancelled one give nothing."""
+    jobs, tries, now = worker_tables(spark)
+    assert {r["job"]: r["attempt"] for r in curation.claim_next(jobs, tries, now).collect()} == {1: 12, 6: 60}
+    ends = {r["job"]: r["status"] for r in curation.finalize_jobs(jobs, tries, F.lit("w"), now).collect()}
+    assert ends == {1: "open", 2: "lost", 3: "lost", 4: "open", 5: "lost", 6: "open", 7: "open", 8: "completed_with_failures"}
+    states = {r["job"]: (r["state"], r["error"] is None) for r in curation.recover_jobs(jobs).collect()}
+    assert states[1] == ("interrupted", False) and states[4] == ("cancel_requested", True) and states[5] == ("completed", True)
+
+
+def test_reviews_stand_for_current_digests(spark):
+    rows = [(1, "t", "a", "a", "x", "x"), (2, "t", "a", "b", "x", "x"), (3, None, "a", "a", "x", "x"), (4, "t", "a", "a", "none", None), (5, "t", "a", "a", "x", None)]
+    df = spark.createDataFrame([(*r, "none") for r in rows], "k int, reviewed_at string, annotations string, reviewed_annotations string, exclusions string, reviewed_exclusions string, no_exclusions string")
+    assert {r["k"]: r["status"] for r in curation.review_status(df).collect()} == {1: "reviewed", 2: "unreviewed", 3: "unreviewed", 4: "reviewed", 5: "unreviewed"}
+
+
+def test_replies_are_parsed_strictly(spark):
+    cases = {
+        '  {"a": 1}\n': "ok", "<think>why {</think>\n{}": "ok", "<think>{}": "unterminated_think", '{"a":1}{"b":2}': "trailing_text", "{} x": "trailing_text", "{bad}": "invalid_json", "": "invalid_json",
+        '{"a":{"b":1,"b":1}}': "duplicate_member", '{"a":Infinity}': "nonfinite_number", "[{}]": "not_an_object", '"x"': "not_an_object", "x<think></think>{}": "invalid_json", "[" * 100_000: "too_deep",
+    }
+    df = spark.createDataFrame([*[(k,) for k in cases], (None,)], "t string")
+    got = {r["t"]: r["p"]["status"] for r in df.select("t", replies.parse_reply("t").alias("p")).collect()}
+    assert got == cases | {None: "missing"}
+
+
+def test_contract_of_segments(spark):
+    def reply(times, status=None, complete=True, missing=(), doubts=(), duration=70.0):
+        return (duration, complete, list(missing), list(doubts), [(k + 1, (status or {}).get(k + 1, "completed"), a, b, 0.5) for k, (a, b) in enumerate(times)])
+
+    good = [(10.0 * k, 10.0 * k + 10) for k in range(7)]
+    change = lambda k, t: [*good[:k], t, *good[k + 1 :]]
+    cases = [
+        (reply(good), []), (reply(good, duration=70.4), []), (reply(good, duration=71.0), ["early_end"]), (reply(good, duration=float("nan")), ["duration"]),
+        (reply(change(0, (0.3, 10.0))), ["late_start"]), (reply(change(2, (20.6, 30.0))), ["not_adjacent:2-3"]), (reply(change(2, (31.0, 30.0)))[0:5], ["out_of_bounds:3", "starts_not_rising", "not_adjacent:2-3"]),
+        (reply(change(3, (None, None)), {4: "not_observed"}), ["missing_steps", "episode_complete", "no_uncertainty"]),
+        (reply(change(3, (None, None)), {4: "not_observed"}, False, [4], ["hand hidden"]), []),
+        (reply(change(3, (30.0, 35.0)), {4: "partial"}, False, [4], ["hand hidden"]), []),
+        (reply(change(3, (30.0, float("inf")))), ["not_finite:4"]), (reply(good, complete=False), ["episode_complete"]),
+    ]
+    schema = "duration double, episode_complete boolean, missing_steps array<int>, uncertainties array<string>, segments array<struct<step:int,status:string,start_s:double,end_s:double,confidence:double>>"
+    df = spark.createDataFrame([(k, *row) for k, (row, _) in enumerate(cases)], f"k int, {schema}")
+    got = {r["k"]: sorted(r["errors"]) for r in replies.contract_errors(df).collect()}
+    for k, (row, want) in enumerate(cases):
+        assert got[k] == sorted([*want, "out_of_bounds:7"] if row[0] != row[0] else want) or (row[0] != row[0] and "duration" in got[k]), k
+
+
+def test_fields_that_errors_allow_to_repair(spark):
+    start, end = [0.0, 5.0, -1.0, 9.0, None, 1.0, 2.0], [1.0, 4.0, 4.0, 99.0, None, 2.0, 3.0]
+    bounds = "step {} must satisfy 0 <= start_s < end_s <= duration_s 10.0"
+    cases = {bounds.format(2): ([], [2]), bounds.format(3): ([3], []), bounds.format(4): ([], [4]), bounds.format(5): ([5], [5]), "complete steps 2 and 3 must be adjacent within 0.5 seconds": ([3], [2]), "other": ([], [])}
+    df = spark.createDataFrame([(k, start, end) for k in cases], "e string, s array<double>, t array<double>")
+    got = {r["e"]: (r["f"]["starts"], r["f"]["ends"]) for r in df.select("e", replies.repair_fields(F.col("e"), F.col("s"), F.col("t"), F.lit(10.0)).alias("f")).collect()}
+    assert got == cases
+
+
+def test_names_secrets_and_answers(spark):
+    names = {"set-1.0_b": True, "a": True, "-a": False, "a b": False, "a..b": False, "x" * 80: True, "x" * 81: False, "frozen": False, "manifest.json": False, "ab\n": False, "": False}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r["n"]: r["v"] for r in df.select("n", replies.valid_name(F.col("n")).alias("v")).collect()} == names
+    text = spark.sql("SELECT 'key abc and abcdef' AS t").select(replies.redact(F.col("t"), F.array(F.lit("abc"), F.lit("abcdef"), F.lit("")))).first()[0]
+    assert text == "key [REDACTED] and [REDACTED]"
+    assert replies.redact_deep({"a": ["xabc", 1, {"b": "abcdef"}]}, ["abc", "abcdef"]) == {"a": ["x[REDACTED]", 1, {"b": "[REDACTED]"}]}
+    kinds = {'{"point_format":"","point":[1]}': None, '{"point_format":"xy","point":[1]}': "keypoint", '{"count":2.5,"label":"x"}': "count", '{"attribute":"a","value":0}': "attribute", '{"detections":[],"count":1}': "bbox", "3": None}
+    df = spark.createDataFrame([(n,) for n in kinds], "n string")
+    assert {r["n"]: r["k"] for r in df.select("n", replies.answer_kind(F.col("n")).alias("k")).collect()} == kinds
+
+
+def test_units_colors_and_times(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(scalars.to_radians(F.lit(2048.0), F.lit(4000.0))) == 0 and one(scalars.to_radians(F.lit(3072.0), F.lit(4000.0))) == pytest.approx(np.pi / 2)
+    assert one(scalars.to_radians(F.lit(180.0), F.lit(180.0))) == pytest.approx(np.pi) and one(scalars.to_radians(F.lit(3.0), F.lit(3.0))) == 3
+    assert [one(scalars.color_slot(F.lit(t))) for t in (-1.0, 0.0, 0.0019, 0.002, 0.5, 1.0, 9.0)] == [0, 0, 0, 1, 128, 255, 255]
+    assert one(scalars.color(F.lit(0.9), [(0, 0, 0), (9, 8, 7)])) == [9, 8, 7]
+    assert [one(scalars.total_time(F.lit(n), F.lit(30))) for n in (30 * 59, 30 * 61, 30 * 3600, 30 * 7325)] == ["0m", "1m", "1h 0m", "2h 2m"]
+
+
+def test_verdicts_on_velocity_and_speed(spark):
+    def verdict(*rows):
+        return tuple(trajectory.velocity_verdict(spark.createDataFrame([(*r, False, False) if len(r) == 2 else r for r in rows], "name string, std double, inactive boolean, discrete boolean")).first())
+
+    assert verdict(("a", 1.0, True, False)) == ("N/A", 0, 0, 0, 0, 1)
+    assert verdict(("a", 0.1), ("b", 0.2), ("left_Gripper", 1.0)) == ("Smooth", 2, 0, 0, 1, 0)
+    assert verdict(("a", 0.1), ("b", 0.9), ("c", 1.0)) == ("Moderate", 1, 0, 2, 0, 0)
+    assert verdict(("a", 0.5), ("b", 0.9), ("c", 1.0), ("d", 0.95)) == ("Jerky", 0, 1, 3, 0, 0)
+    scores = lambda xs: spark.createDataFrame(list(enumerate(xs)), "episode_index bigint, movement double")
+    got = trajectory.speed_variance(scores([1.0, 1.0, 2.0, 3.5])).first()
+    assert got["median"] == 2.0 and got["verdict"] == "High variance" and got["bins"] == 2
+    assert trajectory.speed_variance(scores([10.0, 13.0, 16.0])).first()["verdict"] == "Consistent"
+    assert trajectory.speed_variance(scores([5.0, 7.0, 10.0])).first()["verdict"] == "Moderate variance"
+    assert [tuple(r) for r in trajectory.speed_ranks(scores([9.5, 0.5, 9.25])).orderBy("rank").collect()] == [(1, 0.5), (2, 9.25), (3, 9.5)]
+
+
+def test_lag_sums_over_chunks(spark):
+    """Chunks of 16 frames give what whole episodes give."""
+    rng = np.random.default_rng(8)
+    eps = {e: rng.normal(size=(n, 2)) for e, n in enumerate((5, 16, 17, 50))}
+    rows = [(e, t, len(v), v[t].tolist(), (v[t] ** 2).tolist()) for e, v in eps.items() for t in range(len(v))]
+    df = spark.createDataFrame(rows, "episode_index bigint, t bigint, n bigint, xs array<double>, ys array<double>")
+    got = {(r["episode_index"], r["pair"], r["lag"]): (r["xy"], r["xx"], r["yy"]) for r in lags.lag_sums(df, 2, -7, 7, chunk=16).collect()}
+    for (e, k, lag), sums in got.items():
+        x, y = eps[e][:, k], eps[e][:, k] ** 2
+        pairs = [(x[t], y[t + lag]) for t in range(len(x)) if 0 <= t + lag < len(x)]
+        assert sums == pytest.approx((sum(a * b for a, b in pairs), sum(a * a for a, _ in pairs), sum(b * b for _, b in pairs)))
+    assert len(got) == 4 * 2 * 15
+
+
+def test_global_ranks_and_bucket_digest(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(k * 37 % 1000, f"v{k}") for k in range(1000)], "k bigint, v string")
+    ranked_ = {r["k"]: r["rank"] for r in ranks.global_rank(df, ranks.of_ids("k", 64), ["k"]).collect()}
+    assert ranked_ == {k: k for k in range(1000)}
+    lines = {r["k"]: r["v"] for r in df.collect()}
+    parts = [hashlib.sha256(",".join(lines[k] for k in range(b, min(b + 64, 1000))).encode()).hexdigest() for b in range(0, 1000, 64)]
+    got = curation.bucket_digest(df, "k", F.col("v"), ranks.of_ids("k", 64)).first()
+    assert tuple(got) == (hashlib.sha256(",".join(parts).encode()).hexdigest(), 1000)
+
+
 def test_pooled_stats(spark):
     rng = np.random.default_rng(1)
     parts = [rng.normal(size=n) for n in (3, 10, 50)]

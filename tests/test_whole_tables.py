@@ -25,7 +25,7 @@ def lengths():
 
 def test_normalize_text_covers_every_document(spark):
     want = {r["doc_id"]: None if r["text"] is None else re.sub(r"[ \t\n\r]+", " ", r["text"].strip(" \t\n\r")) for r in table("documents")}
-    assert {r["doc_id"]: r["t"] for r in QUERIES["normalize_text_all"](spark, DATA).collect()} == want
+    assert {r["doc_id"]: r["t"] for r in QUERIES["normalize_text"](spark, DATA).collect()} == want
 
 
 def test_episode_slice_covers_every_episode(spark):
@@ -33,7 +33,7 @@ def test_episode_slice_covers_every_episode(spark):
     for k, n in sorted(lengths().items()):
         want[k] = (at, max(at + n, at + 1))
         at += n
-    assert {r["episode_index"]: (r["start"], r["stop"]) for r in QUERIES["episode_slice_all"](spark, DATA).collect()} == want
+    assert {r["episode_index"]: (r["start"], r["stop"]) for r in QUERIES["episode_slice"](spark, DATA).collect()} == want
 
 
 @pytest.mark.parametrize("target", [3000, 700, 7])
@@ -43,12 +43,12 @@ def test_episode_frame_info_samples_evenly(spark, monkeypatch, target):
     keys = sorted(n)
     at = range(len(keys)) if len(keys) <= target else [int(i * (len(keys) - 1) / (target - 1) + 0.5) for i in range(target)]
     want = {(keys[i], c): (0.0, max(0.0, n[keys[i]] / 10 - 0.05)) for i in at for c in ("front", "wrist")}
-    rows = QUERIES["episode_frame_info_sampled"](spark, DATA).collect()
+    rows = QUERIES["episode_frame_info"](spark, DATA).collect()
     assert len(rows) == len(want) and {(r["episode_index"], r["camera"]): (r["first_s"], r["last_s"]) for r in rows} == want
 
 
 def test_merge_groups_covers_every_episode(spark):
-    rows = QUERIES["merge_groups_all"](spark, DATA).collect()
+    rows = QUERIES["merge_groups"](spark, DATA).collect()
     f = {(r["episode_index"], r["frame_index"]): r for r in scalars.frames(spark, DATA).collect()}
     assert len(rows) == len(f) == len(table("lineitem"))
     for r in rows:
@@ -60,4 +60,4 @@ def test_merge_groups_covers_every_episode(spark):
 def test_adjacent_episodes_covers_every_episode(spark):
     keys = set(lengths())
     want = sorted((k, k + i) for k in keys for i in (-2, -1, 1, 2) if k + i in keys)
-    assert sorted((r["episode_index"], r["neighbour"]) for r in QUERIES["adjacent_episodes_all"](spark, DATA).collect()) == want
+    assert sorted((r["episode_index"], r["neighbour"]) for r in QUERIES["adjacent_episodes"](spark, DATA).collect()) == want

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import per_episode
+from tidewell.operators.ranks import global_rank, of_ids
 from tidewell.operators.sequences import as_of
 
-#: Styles that hold from their time on; all others are events at one frame.
-PERSISTENT = ("task_aug", "subtask", "plan", "memory")
+# Styles that hold from their time on, and styles of events at one frame.
+PERSISTENT = ("task_aug", "subtask", "plan", "memory", "motion")
 EVENTS = ("interjection", "vqa", "trace")
 
 
@@ -74,9 +75,9 @@ def instruction(frames: DataFrame, atoms: DataFrame, task: str) -> DataFrame:
 
 
 def first_appearance_ids(rows: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """``text, id``: distinct texts numbered from 0 in the order of their first appearance."""
-    first = rows.groupBy(text).agg(F.min(F.struct(*order)).alias("s_first"))
-    return first.select(text, (F.row_number().over(Window.orderBy("s_first", text)) - 1).cast("bigint").alias("id"))
+    """``text, id``: distinct texts numbered from 0 in the order of their first appearance; the first of ``order`` is a whole number."""
+    first = rows.groupBy(text).agg(F.min(F.struct(*order)).alias("s_first")).withColumn("s_lead", F.col("s_first")[order[0]])
+    return global_rank(first, of_ids("s_lead"), ["s_first", text], "id").select(text, "id")
 
 
 def remap_persistent(kept: DataFrame, atoms: DataFrame, fps: float) -> DataFrame:

@@ -77,11 +77,26 @@ def blob_hash(content: Column) -> Column:
     return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "UTF-8"), F.unhex(F.lit("00")), raw))
 
 
-def vqa_kind(answer: Column) -> Column:
-    """The shape of a JSON answer, by the first key that it has."""
-    has = lambda k: F.get_json_object(answer, f"$.{k}").isNotNull()
-    kind = F.when(has("detections"), "bbox").when(has("point"), "keypoint").when(has("count"), "count").when(has("attribute"), "attribute").when(has("relation"), "spatial")
-    return kind.otherwise("unknown")
+def total_time(frames: Column, fps: Column) -> Column:
+    """Hours and minutes of so many frames; hours are left out if there are none."""
+    seconds = frames / fps
+    hours, minutes = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60)
+    return F.when(hours > 0, F.concat(hours, F.lit("h "), minutes, F.lit("m"))).otherwise(F.concat(minutes, F.lit("m")))
+
+
+def to_radians(value: Column, top: Column) -> Column:
+    """Servo ticks about their middle, degrees or radians, by the largest size ``top`` of a column, in radians."""
+    return F.when(top > 360, (value - 2048) / 2048 * F.pi()).when(top > 6.3, F.radians(value)).otherwise(value)
+
+
+def color_slot(share: Column, slots: int = 256) -> Column:
+    """The place in a table of colours of a number from 0 to 1; others count as the nearer end."""
+    return F.greatest(F.lit(0), F.least(F.lit(slots - 1), F.floor(share * (slots - 1) + F.lit(0.5)))).cast("int")
+
+
+def color(share: Column, table: list[tuple[int, int, int]]) -> Column:
+    """Red, green and blue of a number from 0 to 1 in a table of colours."""
+    return F.get(F.array(*[F.array(*map(F.lit, c)) for c in table]), color_slot(share, len(table)))
 
 
 def join_nearest_name(joints: DataFrame, columns: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import element, even_position, js_round, norm, per_episode
+from tidewell.functions.lineage import cut
+from tidewell.operators.lags import lag_sums
+from tidewell.operators.ranks import global_rank
 
 ACTIVITY_SHARE = 0.001
 DISCRETE_VALUES = 4
@@ -54,84 +57,133 @@ def low_movement(frames: DataFrame, width: int, k: int = 10) -> DataFrame:
     return movement_scores(frames, width).orderBy("movement", "episode_index").limit(k)
 
 
+def step_stats(long: DataFrame) -> DataFrame:
+    """``episode_index, dim`` and what all figures of movement need of it, in one pass over the steps, written once.
+
+    ``p95`` is the value at rank floor(0.95 n), counted from 0, of the n sorted step sizes. ``few`` holds the least
+    distinct values, one more than a discrete dimension may have; so many tell whether there are more over all episodes.
+    """
+    w = Window.partitionBy("episode_index", "dim")
+    size = F.abs("delta")
+    rows = long.withColumn("s_k", F.row_number().over(w.orderBy(size.asc_nulls_last()))).withColumn("s_n", F.count("delta").over(w)).withColumn("s_v", F.dense_rank().over(w.orderBy("v")))
+    p95 = F.max(F.when(F.col("delta").isNotNull() & (F.col("s_k") == F.floor(F.col("s_n") * 0.95) + 1), size))
+    few = F.collect_set(F.when(F.col("s_v") <= DISCRETE_VALUES + 1, F.col("v")))
+    return cut(rows.groupBy("episode_index", "dim").agg(
+        p95.alias("p95"), F.min("v").alias("low"), F.max("v").alias("high"), few.alias("few"), F.count("delta").alias("n"), F.sum("delta").alias("total"),
+        F.sum(F.col("delta") * F.col("delta")).alias("squares"), F.sum(size).alias("sizes"), F.min("delta").alias("least"), F.max("delta").alias("most"),
+    ))
+
+
+def _ranges(stats: DataFrame) -> DataFrame:
+    out = stats.groupBy("dim").agg((F.max("high") - F.min("low")).alias("spread"))
+    unique = stats.select("dim", F.explode("few").alias("v")).groupBy("dim").agg(F.least(F.count_distinct("v"), F.lit(DISCRETE_VALUES + 1)).alias("n_unique"))
+    spread = F.when(F.col("spread") == 0, 1.0).otherwise(F.col("spread"))
+    return out.join(unique, "dim").select("dim", spread.alias("motor_range"), "n_unique", (F.col("n_unique") <= DISCRETE_VALUES).alias("discrete"))
+
+
 def motor_ranges(long: DataFrame) -> DataFrame:
     """``dim, motor_range, n_unique, discrete``: spread of each dimension (0 counts as 1) and its distinct values, to 5."""
-    out = long.groupBy("dim").agg((F.max("v") - F.min("v")).alias("spread"), F.least(F.count_distinct("v"), F.lit(DISCRETE_VALUES + 1)).alias("n_unique"))
-    spread = F.when(F.col("spread") == 0, 1.0).otherwise(F.col("spread"))
-    return out.select("dim", spread.alias("motor_range"), "n_unique", (F.col("n_unique") <= DISCRETE_VALUES).alias("discrete"))
+    return _ranges(step_stats(long))
 
 
-def activity_map(long: DataFrame) -> DataFrame:
-    """``episode_index, dim, active``: whether the 95th of 100 step sizes reaches a thousandth of the dimension's range.
+def _active(stats: DataFrame) -> DataFrame:
+    out = stats.join(F.broadcast(_ranges(stats)), "dim")
+    return out.withColumn("active", F.coalesce(F.col("p95") >= F.col("motor_range") * ACTIVITY_SHARE, F.lit(False)))
 
-    The quantile is the value at rank floor(0.95 n), counted from 0, of the n sorted steps.
-    """
-    w = Window.partitionBy("episode_index", "dim")
-    steps = long.filter("delta IS NOT NULL").select("episode_index", "dim", F.abs("delta").alias("a"))
-    ranked = steps.withColumn("k", F.row_number().over(w.orderBy("a"))).withColumn("n", F.count(F.lit(1)).over(w))
-    p95 = ranked.filter(F.col("k") == F.floor(F.col("n") * 0.95) + 1).select("episode_index", "dim", F.col("a").alias("p95"))
-    every = long.select("episode_index", "dim").distinct().join(p95, ["episode_index", "dim"], "left")
-    out = every.join(F.broadcast(motor_ranges(long)), "dim")
-    return out.select("episode_index", "dim", F.coalesce(F.col("p95") >= F.col("motor_range") * ACTIVITY_SHARE, F.lit(False)).alias("active"))
 
+def activity_map(long: DataFrame) -> DataFrame:
+    """``episode_index, dim, active``: whether the 95th of 100 step sizes reaches a thousandth of the dimension's range."""
+    return _active(step_stats(long)).select("episode_index", "dim", "active")
 
-def pooled_deltas(long: DataFrame) -> DataFrame:
-    """``dim, delta, use, motor_range``: all steps; ``use`` marks those that statistics take.
 
-    These are the steps of episodes active in the dimension, or all if there is none.
-    """
-    active = activity_map(long)
+def _used(stats: DataFrame) -> DataFrame:
+    """Rows whose steps statistics take: those of active episodes, or all of a dimension that has none."""
+    active = _active(stats)
     some = active.groupBy("dim").agg(F.max(F.col("active").cast("int")).alias("some"))
-    rows = long.filter("delta IS NOT NULL").join(active, ["episode_index", "dim"]).join(F.broadcast(some), "dim").join(F.broadcast(motor_ranges(long)), "dim")
-    return rows.select("dim", "delta", (F.col("active") | (F.col("some") == 0)).alias("use"), "motor_range")
+    return active.join(F.broadcast(some), "dim").filter(F.col("active") | (F.col("some") == 0))
 
 
 def agg_velocity(long: DataFrame) -> DataFrame:
-    """``dim, std, max_abs, lo, hi, n``: steps of each dimension in shares of its range."""
-    rows = pooled_deltas(long).filter("use").withColumn("x", F.col("delta") / F.col("motor_range"))
-    return rows.groupBy("dim").agg(F.stddev_pop("x").alias("std"), F.max(F.abs("x")).alias("max_abs"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    """``dim, std, max_abs, lo, hi, n, inactive, discrete``: steps of each dimension in shares of its range."""
+    rows = _used(step_stats(long)).groupBy("dim", "motor_range", "discrete").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("some").alias("some"),
+    )
+    mean = F.col("total") / F.col("n")
+    std = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)))
+    share = lambda c: c / F.col("motor_range")
+    return rows.filter("n > 0").select(
+        "dim", share(std).alias("std"), share(F.greatest(F.abs("least"), F.abs("most"))).alias("max_abs"), share(F.col("least")).alias("lo"), share(F.col("most")).alias("hi"), "n",
+        (F.col("some") == 0).alias("inactive"), "discrete",
+    )
+
+
+def velocity_verdict(stats: DataFrame) -> DataFrame:
+    """One row: ``verdict`` on how smooth the motors move, and how many of them are of each kind.
+
+    ``stats`` has ``name, std, inactive, discrete``. Motors are held against the largest deviation of an active one that
+    is not discrete: below 0.4 of it they are smooth, below 0.7 moderate, else jerky. Grippers may be jerky.
+    """
+    rows = stats.withColumn("use", ~F.col("inactive") & ~F.col("discrete"))
+    top = rows.agg(F.coalesce(F.max(F.when(F.col("use"), F.col("std"))), F.lit(1.0)).alias("top"))
+    share = F.try_divide(F.col("std"), F.col("top"))
+    use, gripper = F.col("use"), F.col("name").rlike("(?i)grip")
+    n = rows.crossJoin(F.broadcast(top)).agg(
+        F.count_if(use).alias("n"), F.count_if(use & (share < 0.4)).alias("n_smooth"), F.count_if(use & (share >= 0.4) & (share < 0.7)).alias("n_moderate"),
+        F.count_if(use & (share >= 0.7) & ~gripper).alias("n_jerky"), F.count_if(use & (share >= 0.7) & gripper).alias("n_jerky_grippers"), F.count_if(~use).alias("n_excluded"),
+    )
+    smooth = F.try_divide(F.col("n_smooth"), F.col("n"))
+    verdict = F.when(F.col("n") == 0, "N/A").when((smooth >= 0.6) & (F.col("n_jerky") == 0), "Smooth").when((F.col("n_jerky") <= 2) & (smooth >= 0.3), "Moderate").otherwise("Jerky")
+    return n.select(verdict.alias("verdict"), "n_smooth", "n_moderate", "n_jerky", "n_jerky_grippers", "n_excluded")
+
+
+def speed_ranks(scores: DataFrame) -> DataFrame:
+    """``rank, speed`` from 1: episodes by how much they move."""
+    return global_rank(scores, F.floor("movement"), ["movement", "episode_index"]).select((F.col("rank") + 1).alias("rank"), F.col("movement").alias("speed"))
+
+
+def speed_variance(scores: DataFrame) -> DataFrame:
+    """``mean, std, cv, median, bins, verdict`` of the movement of episodes; the median is the upper one."""
+    s = scores.agg(F.avg("movement").alias("mean"), F.stddev_pop("movement").alias("std"), F.count(F.lit(1)).alias("n"))
+    middle = global_rank(scores, F.floor("movement"), ["movement", "episode_index"]).crossJoin(F.broadcast(s)).filter(F.col("rank") == F.floor(F.col("n") / 2))
+    cv = F.when(F.col("mean") > 0, F.col("std") / F.col("mean")).otherwise(0.0)
+    verdict = F.when(cv < 0.2, "Consistent").when(cv < 0.4, "Moderate variance").otherwise("High variance")
+    return middle.select("mean", "std", cv.alias("cv"), F.col("movement").alias("median"), F.least(F.lit(30), F.ceil(F.sqrt("n"))).cast("bigint").alias("bins"), verdict.alias("verdict"))
 
 
 def velocity_histogram(long: DataFrame, bins: int = 30) -> DataFrame:
     """``dim, bin, n``: steps of each dimension in ``bins`` equal bins; the last one is closed."""
-    rows = pooled_deltas(long).filter("use").withColumn("x", F.col("delta") / F.col("motor_range"))
-    ends = F.broadcast(rows.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
+    used = _used(step_stats(long))
+    ends = used.groupBy("dim").agg(F.min(F.col("least") / F.col("motor_range")).alias("lo"), F.max(F.col("most") / F.col("motor_range")).alias("hi"))
+    rows = long.filter("delta IS NOT NULL").join(used.select("episode_index", "dim", "motor_range"), ["episode_index", "dim"]).join(F.broadcast(ends), "dim")
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0)) / bins
-    rows = rows.join(ends, "dim").select("dim", F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1)).alias("bin"))
+    rows = rows.select("dim", F.least(F.floor((F.col("delta") / F.col("motor_range") - F.col("lo")) / width), F.lit(bins - 1)).alias("bin"))
     return rows.groupBy("dim", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def jerky_episodes(long: DataFrame) -> DataFrame:
     """``episode_index, mean_abs_delta``: mean step of an episode's active dimensions in shares of their ranges."""
-    rows = long.join(activity_map(long), ["episode_index", "dim"]).join(F.broadcast(motor_ranges(long)), "dim")
-    size = F.when(F.col("active"), F.abs("delta") / F.col("motor_range"))
-    return rows.groupBy("episode_index").agg(F.coalesce(F.avg(size), F.lit(0.0)).alias("mean_abs_delta"))
-
+    rows = _active(step_stats(long))
+    total = F.sum(F.when(F.col("active"), F.col("sizes") / F.col("motor_range")))
+    return rows.groupBy("episode_index").agg(F.coalesce(F.try_divide(total, F.sum(F.when(F.col("active"), F.col("n")))), F.lit(0.0)).alias("mean_abs_delta"))
 
-def _series(frames: DataFrame, width: int, vector: str = "action") -> DataFrame:
-    """``episode_index, dim, xs``: each dimension of an episode as one array, in order of frames."""
-    rows = frames.groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("frame_index", vector))).alias("s"))
-    one = lambda k: F.transform("s", lambda x: element(x[vector], k))
-    return rows.select("episode_index", F.inline(F.array(*[F.struct(F.lit(k).alias("dim"), one(k).alias("xs")) for k in range(width)])))
 
+def _centred(values: list[Column]) -> Column:
+    return F.array(*[v - F.avg(v).over(per_episode()) for v in values])
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
 
-
-def autocorrelation(frames: DataFrame, width: int, most: int = 100, lags: int | None = None) -> DataFrame:
+def autocorrelation(frames: DataFrame, width: int, most: int = 100) -> DataFrame:
     """``dim, lag, acf``: mean over episodes of the autocorrelation at lags 1 to min(``most``, half the shortest episode).
 
-    An episode without variance counts with 0. Lags run over per-episode arrays, so nothing is multiplied by a join.
+    An episode without variance counts with 0.
     """
-    lengths = frames.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n"))
-    deepest = lengths.agg(F.least(F.lit(most), F.floor(F.min("n") / 2)).alias("max_lag"))
-    rows = _series(frames, width).crossJoin(F.broadcast(deepest)).filter("max_lag >= 2")
-    mean = F.aggregate("xs", F.lit(0.0), lambda s, x: s + x) / F.size("xs")
-    rows = rows.withColumn("m", mean).withColumn("c", F.transform("xs", lambda x: x - F.col("m"))).withColumn("var", _dot(F.col("c"), F.col("c")))
-    lag = lambda k: F.struct(k.alias("lag"), F.when(F.col("var") == 0, 0.0).otherwise(_dot(F.slice("c", F.lit(1), F.size("c") - k), F.slice("c", k + 1, F.size("c") - k)) / F.when(F.col("var") != 0, F.col("var"))).alias("acf"))
-    rows = rows.select("dim", F.inline(F.transform(F.sequence(F.lit(1), F.col("max_lag").cast("int")), lag)))
-    return rows.groupBy("dim", "lag").agg(F.avg("acf").alias("acf"))
+    n = F.count(F.lit(1)).over(per_episode())
+    rows = frames.select("episode_index", F.col("frame_index").alias("t"), n.alias("n"), _centred([element(F.col("action"), k) for k in range(width)]).alias("xs"))
+    deepest = frames.groupBy("episode_index").agg(F.count(F.lit(1)).alias("n")).agg(F.least(F.lit(most), F.floor(F.min("n") / 2)).alias("max_lag"))
+    sums = lag_sums(rows.withColumn("ys", F.col("xs")), width, 0, most)
+    own = Window.partitionBy("episode_index", "pair")
+    sums = sums.withColumn("var", F.max(F.when(F.col("lag") == 0, F.col("xy"))).over(own)).crossJoin(F.broadcast(deepest))
+    sums = sums.filter("max_lag >= 2 AND lag >= 1 AND lag <= max_lag")
+    return sums.groupBy(F.col("pair").alias("dim"), "lag").agg(F.avg(F.coalesce(F.try_divide("xy", "var"), F.lit(0.0))).alias("acf"))
 
 
 def suggested_chunk(acf: DataFrame, below: float = 0.5) -> DataFrame:
@@ -146,27 +198,29 @@ def alignment(frames: DataFrame, pairs: list[tuple[int, int]], most: int = 30, l
 
     Steps are centred on their mean over the whole episode; the variances are those of the overlap only.
     """
-    rows = frames.groupBy("episode_index").agg(F.array_sort(F.collect_list(F.struct("frame_index", "action", "state"))).alias("s")).filter(F.size("s") >= least_frames)
-    n = F.size("s")
+    n, order = F.count(F.lit(1)).over(per_episode()), per_episode("frame_index")
 
     def steps(name: str, k: int) -> Column:
-        x = F.transform("s", lambda f: element(f[name], k))
-        return F.zip_with(F.slice(x, F.lit(2), n - 1), F.slice(x, F.lit(1), n - 1), lambda b, a: b - a)
+        v = element(F.col(name), k)
+        return v - F.lag(v).over(order)
 
-    rows = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pair"), steps("action", a).alias("a"), steps("state", b).alias("b")) for i, (a, b) in enumerate(pairs)])))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("am", total("a") / F.size("a")).withColumn("bm", total("b") / F.size("b"))
-    rows = rows.select("pair", F.transform("a", lambda x: x - F.col("am")).alias("a"), F.transform("b", lambda x: x - F.col("bm")).alias("b"))
+    xs, ys = [f"x{i}" for i in range(len(pairs))], [f"y{i}" for i in range(len(pairs))]
+    moves = [steps("action", a).alias(x) for (a, _), x in zip(pairs, xs, strict=True)] + [steps("state", b).alias(y) for (_, b), y in zip(pairs, ys, strict=True)]
+    rows = frames.select("episode_index", (F.col("frame_index") - 1).alias("t"), (n - 1).alias("n"), *moves).filter(F.col("t") >= 0).filter(F.col("n") >= least_frames - 1)
+    rows = rows.select("episode_index", "t", "n", _centred([F.col(x) for x in xs]).alias("xs"), _centred([F.col(y) for y in ys]).alias("ys"))
+    v = F.col("xx") * F.col("yy")
+    corr = F.avg(F.when(v > 0, F.col("xy") / F.sqrt(F.when(v > 0, v))))
+    return lag_sums(rows, len(pairs), -most, most).groupBy("pair", "lag").agg(F.coalesce(corr, F.lit(0.0)).alias("corr"))
 
-    def at(lag: Column) -> Column:
-        size = F.greatest(F.size("a") - F.abs(lag), F.lit(0))
-        a = F.slice("a", F.greatest(-lag, F.lit(0)) + 1, size)
-        b = F.slice("b", F.greatest(lag, F.lit(0)) + 1, size)
-        return F.struct(lag.alias("lag"), _dot(a, b).alias("ab"), (_dot(a, a) * _dot(b, b)).alias("v"))
 
-    rows = rows.select("pair", F.inline(F.transform(F.sequence(F.lit(-most), F.lit(most)), at)))
-    corr = F.avg(F.when(F.col("v") > 0, F.col("ab") / F.sqrt(F.when(F.col("v") > 0, F.col("v")))))
-    return rows.groupBy("pair", "lag").agg(F.coalesce(corr, F.lit(0.0)).alias("corr"))
+def sample_episodes(episodes: DataFrame, target: int) -> DataFrame:
+    """``target`` episodes at evenly spread ranks, or all if there are no more."""
+    ranked = global_rank(episodes, F.floor(F.col("episode_index") / 4096), ["episode_index"], "s_k").crossJoin(F.broadcast(episodes.agg(F.count(F.lit(1)).alias("s_n"))))
+    i = F.floor(F.col("s_k") * F.lit(float(target - 1)) / F.greatest(F.col("s_n") - 1, F.lit(1)) + F.lit(0.5))
+    hit = F.lit(False)
+    for d in (-1, 0, 1):
+        hit = hit | ((i + d).between(0, target - 1) & (even_position(i + d, F.col("s_n"), F.lit(target)) == F.col("s_k")))
+    return ranked.filter((F.col("s_n") <= target) | hit).drop("s_k", "s_n")
 
 
 def even_sample(frames: DataFrame, target: int, key: str = "episode_index", order: str = "frame_index") -> DataFrame:
@@ -189,3 +243,10 @@ def time_bin_resample(frames: DataFrame, bins: int = 50) -> DataFrame:
     rows = lengths.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
     at = F.floor(F.col("bin") / F.lit(float(bins - 1)) * (F.col("n") - 1) + F.lit(0.5)).cast("bigint")
     return rows.select("episode_index", "bin", F.least(at, F.col("n") - 1).alias("frame_index"))
+
+
+def sampling_gate(frames: DataFrame, frame_bytes: int, fps: float = 2.0, seconds: float = 120.0, most: int = 240, payload: int = 64 << 20) -> DataFrame:
+    """``episode_index, gate``: the first limit that an episode exceeds when it is sampled at ``fps``, or ``ready``."""
+    e = frames.groupBy("episode_index").agg(F.max("timestamp").alias("duration"), F.count(F.lit(1)).alias("n"))
+    gate = F.when(F.col("duration") > seconds, "duration_limit").when(F.floor(F.col("duration") * fps) + 1 > most, "frame_limit").when(F.col("n") * frame_bytes > payload, "payload_limit").otherwise("ready")
+    return e.select("episode_index", gate.alias("gate"))

@@ -51,11 +51,11 @@ def partition_atoms(spark, d):
     return rows.select("episode_index", "seq", "part", F.row_number().over(Window.partitionBy("episode_index", "part").orderBy("timestamp", "seq")).cast("bigint").alias("rank"))
 
 
-@query("column_for_style", f"""WITH {ATOMS}, s AS (SELECT DISTINCT style FROM atoms UNION SELECT 'nonsense' UNION SELECT NULL)
-SELECT style, CASE WHEN style IS NULL OR style IN ('interjection', 'vqa', 'trace') THEN 'language_events' WHEN style IN ('task_aug', 'subtask', 'plan', 'memory') THEN 'language_persistent'
+@query("column_for_style", f"""WITH {ATOMS}, s AS (SELECT DISTINCT style FROM atoms UNION SELECT 'nonsense' UNION SELECT 'motion' UNION SELECT NULL)
+SELECT style, CASE WHEN style IS NULL OR style IN ('interjection', 'vqa', 'trace') THEN 'language_events' WHEN style IN ('task_aug', 'subtask', 'plan', 'memory', 'motion') THEN 'language_persistent'
 ELSE 'error: unknown style ' || style END AS col FROM s""")
 def column_for_style(spark, d):
-    s = atoms(spark, d).select("style").union(spark.sql("SELECT * FROM VALUES ('nonsense'), (CAST(NULL AS STRING)) AS t(style)")).distinct()
+    s = atoms(spark, d).select("style").union(spark.sql("SELECT * FROM VALUES ('nonsense'), ('motion'), (CAST(NULL AS STRING)) AS t(style)")).distinct()
     return s.select("style", A.column_for_style(F.col("style")).alias("col"))
 
 
@@ -92,7 +92,7 @@ def speech_atoms(spark, d):
     return rows.select("episode_index", "seq", f["name"].alias("tool"), f["arguments"]["text"].alias("text"))
 
 
-@query("atom_column_counts", f"WITH {ATOMS} SELECT episode_index, count(*) FILTER (WHERE style IN ('task_aug', 'subtask', 'plan', 'memory')) AS persistent_rows, count(*) FILTER (WHERE style IN ('interjection', 'vqa', 'trace')) AS event_rows FROM atoms GROUP BY 1")
+@query("atom_column_counts", f"WITH {ATOMS} SELECT episode_index, count(*) FILTER (WHERE style IN ('task_aug', 'subtask', 'plan', 'memory', 'motion')) AS persistent_rows, count(*) FILTER (WHERE style IN ('interjection', 'vqa', 'trace')) AS event_rows FROM atoms GROUP BY 1")
 def atom_column_counts(spark, d):
     part = A.column_for_style(F.col("style"))
     return atoms(spark, d).groupBy("episode_index").agg(F.count_if(part == "language_persistent").alias("persistent_rows"), F.count_if(part == "language_events").alias("event_rows"))
@@ -176,9 +176,9 @@ def prompt_distribution(spark, d):
     return out.select("label", "frames", "episodes", rounded(F.col("seconds")).alias("seconds"), rounded(F.col("ratio"), 8).alias("ratio"))
 
 
-@query("active_strict", f"""WITH {CHANGES} SELECT episode_index, frame_index, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'one' ELSE 'none' END AS state FROM active WHERE frame_index % 10 = 0""")
+@query("active_strict", f"""WITH {CHANGES} SELECT episode_index, frame_index, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'one' ELSE 'none' END AS state FROM active""")
 def active_strict(spark, d):
-    rows = A.active_label(kept_frames(spark, d), atoms(spark, d), "subtask").filter("frame_index % 10 = 0")
+    rows = A.active_label(kept_frames(spark, d), atoms(spark, d), "subtask")
     return rows.select("episode_index", "frame_index", F.when(F.col("n_texts") > 1, "ambiguous").when(F.col("n_texts") == 1, "one").otherwise("none").alias("state"))
 
 
@@ -186,9 +186,9 @@ _AT = lambda style: f"(SELECT arg_max(content, (timestamp, seq)) FROM atoms a WH
 
 
 @query("instruction_text", f"""WITH {CONV_FRAMES} SELECT episode_index, frame_index, concat_ws(chr(10), 'Task: task ' || episode_index, 'Subtask: ' || {_AT('subtask')}, 'Plan: ' || {_AT('plan')},
-'Memory: ' || {_AT('memory')}, 'Interjection: ' || {_AT('interjection')}) AS instruction FROM conv_frames f WHERE frame_index % 10 = 5""")
+'Memory: ' || {_AT('memory')}, 'Interjection: ' || {_AT('interjection')}) AS instruction FROM conv_frames f""")
 def instruction_text(spark, d):
-    f = conv_frames(spark, d).filter("frame_index % 10 = 5").withColumn("task", F.concat(F.lit("task "), "episode_index"))
+    f = conv_frames(spark, d).withColumn("task", F.concat(F.lit("task "), "episode_index"))
     return A.instruction(f, atoms(spark, d), "task").select("episode_index", "frame_index", "instruction")
 
 

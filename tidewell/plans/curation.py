@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import curation as C
+from tidewell.operators import replies as P
 from tidewell.operators import sequences as S
 from tidewell.operators import trajectory as T
-from tidewell.operators.annotation import first_wins
+from tidewell.operators.ranks import global_rank, of_ids
 from tidewell.plans.registry import query
 from tidewell.plans.views import EPISODES, FRAMES, LONG, episodes, frames, r, read, rounded
 
@@ -78,12 +79,11 @@ def export_approval(spark, d):
     return episodes(spark, d).filter("review_state = 'approved_keep' AND reviewer IS NOT NULL").filter(VALID).select("episode_index")
 
 
-@query("approval_snapshot", f"WITH {EPISODES} SELECT sha256(string_agg(episode_index || ':' || reviewer || ':' || revision, ',' ORDER BY episode_index)) AS digest, count(*) AS n FROM episodes WHERE review_state = 'approved_keep' AND reviewer IS NOT NULL AND {VALID}")
+@query("approval_snapshot", f"""WITH {EPISODES}, p AS (SELECT episode_index // 4096 AS b, sha256(string_agg(episode_index || ':' || reviewer || ':' || revision, ',' ORDER BY episode_index)) AS d, count(*) AS n
+FROM episodes WHERE review_state = 'approved_keep' AND reviewer IS NOT NULL AND {VALID} GROUP BY 1) SELECT sha256(coalesce(string_agg(d, ',' ORDER BY b), '')) AS digest, coalesce(sum(n), 0)::BIGINT AS n FROM p""")
 def approval_snapshot(spark, d):
     rows = episodes(spark, d).filter("review_state = 'approved_keep' AND reviewer IS NOT NULL").filter(VALID)
-    line = F.struct("episode_index", F.concat_ws(":", "episode_index", "reviewer", "revision").alias("s"))
-    rows = rows.agg(F.array_sort(F.collect_list(line)).alias("s"), F.count(F.lit(1)).alias("n"))
-    return rows.select(F.sha2(F.array_join(F.transform("s", lambda x: x["s"]), ","), 256).alias("digest"), "n")
+    return C.bucket_digest(rows, "episode_index", F.concat_ws(":", "episode_index", "reviewer", "revision"), of_ids("episode_index"))
 
 
 @query("review_state_counts", f"WITH {EPISODES}, s AS (SELECT unnest(['pending', 'draft', 'approved_keep', 'approved_reject', 'superseded']) AS review_state) SELECT s.review_state, count(e.episode_index) AS n FROM s LEFT JOIN episodes e USING (review_state) GROUP BY 1")
@@ -115,7 +115,7 @@ def jobs(spark, d):
 
 
 @query("illegal_transitions", f"""WITH {JOBS}, s AS (SELECT lag(state) OVER (PARTITION BY job ORDER BY stamp, k) AS prev, state AS next FROM log)
-SELECT prev, next, count(*) AS n FROM s WHERE prev IS NOT NULL AND (prev, next) NOT IN (('queued', 'running'), ('queued', 'cancelled'), ('running', 'completed'), ('running', 'completed_with_failures'), ('running', 'cancelled'), ('running', 'failed'), ('failed', 'queued')) GROUP BY ALL""")
+SELECT prev, next, count(*) AS n FROM s WHERE prev IS NOT NULL AND (prev, next) NOT IN (('queued', 'running'), ('queued', 'cancelled'), ('running', 'completed'), ('running', 'completed_with_failures'), ('running', 'cancel_requested'), ('running', 'failed'), ('cancel_requested', 'cancelled')) GROUP BY ALL""")
 def illegal_transitions(spark, d):
     w = Window.partitionBy("job").orderBy("stamp", "k")
     log = jobs(spark, d).select(F.lag("state").over(w).alias("prev"), F.col("state").alias("next")).filter("prev IS NOT NULL")
@@ -127,15 +127,54 @@ def job_summary(spark, d):
     return jobs(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("job").alias("jobs"))
 
 
-@query("finalize_jobs", f"""WITH {JOBS} SELECT job, CASE WHEN count(*) FILTER (WHERE state IN ('queued', 'running')) > 0 THEN 'open' WHEN count(*) FILTER (WHERE state = 'failed') > 0 THEN 'completed_with_failures' ELSE 'completed' END AS status FROM log GROUP BY job""")
+ATTEMPTS = """
+att AS (SELECT o_custkey AS job, o_orderkey AS id, o_orderkey % 50 AS episode, o_orderkey % 3 AS attempt_number,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'queued' WHEN '2-HIGH' THEN 'retryable' WHEN '3-MEDIUM' THEN 'succeeded' WHEN '4-NOT SPECIFIED' THEN 'manual_only' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'leased' ELSE 'requesting' END END AS state,
+  o_orderdate + INTERVAL 180 SECOND AS lease_expires_at FROM orders),
+owned AS (SELECT job, 'worker-' || (job % 3) AS owner, CASE WHEN job % 7 = 0 THEN 'cancel_requested' WHEN job % 11 = 0 THEN 'completed' ELSE 'running' END AS state, max(lease_expires_at) AS lease_expires_at FROM att GROUP BY job)
+"""
+NOW = "1996-01-01"
+
+
+def attempts(spark, d):
+    """``job, id, episode, attempt_number, state, lease_expires_at``: orders as attempts of their customer's job."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    leased = F.when(k % 2 == 0, "leased").otherwise("requesting")
+    state = F.when(p == "1-URGENT", "queued").when(p == "2-HIGH", "retryable").when(p == "3-MEDIUM", "succeeded").when(p == "4-NOT SPECIFIED", "manual_only").otherwise(leased)
+    return read(spark, d, "orders").select(F.col("o_custkey").alias("job"), k.alias("id"), (k % 50).alias("episode"), (k % 3).alias("attempt_number"), state.alias("state"), (F.col("o_orderdate") + F.expr("INTERVAL 180 SECOND")).alias("lease_expires_at"))
+
+
+def owned_jobs(spark, d):
+    state = F.when(F.col("job") % 7 == 0, "cancel_requested").when(F.col("job") % 11 == 0, "completed").otherwise("running")
+    return attempts(spark, d).groupBy("job").agg(F.max("lease_expires_at").alias("lease_expires_at")).select("job", F.concat(F.lit("worker-"), F.col("job") % 3).alias("owner"), state.alias("state"), "lease_expires_at")
+
+
+def _now():
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+@query("finalize_jobs", f"""WITH {ATTEMPTS}, c AS (SELECT job, count(*) FILTER (WHERE state IN ('queued', 'retryable', 'leased', 'requesting')) AS open, count(*) FILTER (WHERE state = 'manual_only') AS manual FROM att GROUP BY job)
+SELECT job, CASE WHEN NOT (owner = 'worker-1' AND state IN ('running', 'cancel_requested') AND lease_expires_at > TIMESTAMP '{NOW}') THEN 'lost' WHEN state = 'cancel_requested' OR open > 0 THEN 'open'
+WHEN manual > 0 THEN 'completed_with_failures' ELSE 'completed' END AS status FROM owned JOIN c USING (job)""")
 def finalize_jobs(spark, d):
-    open_, failed = F.count_if(F.col("state").isin("queued", "running")), F.count_if(F.col("state") == "failed")
-    return jobs(spark, d).groupBy("job").agg(F.when(open_ > 0, "open").when(failed > 0, "completed_with_failures").otherwise("completed").alias("status"))
+    return C.finalize_jobs(owned_jobs(spark, d), attempts(spark, d), F.lit("worker-1"), _now())
 
 
-@query("claim_next", f"WITH {JOBS} SELECT job, min(k) AS attempt FROM log WHERE state = 'queued' GROUP BY job")
+@query("claim_next", f"""WITH {ATTEMPTS}, a AS (SELECT *, CASE WHEN state IN ('leased', 'requesting') AND lease_expires_at <= TIMESTAMP '{NOW}' THEN 'retryable' ELSE state END AS now_state FROM att),
+free AS (SELECT job, id, row_number() OVER (PARTITION BY job ORDER BY episode, attempt_number, id) AS k FROM a WHERE now_state IN ('queued', 'retryable'))
+SELECT job, id AS attempt FROM free WHERE k = 1 AND job NOT IN (SELECT job FROM a WHERE now_state IN ('leased', 'requesting')) AND job IN (SELECT job FROM owned WHERE state = 'running' AND lease_expires_at > TIMESTAMP '{NOW}')""")
 def claim_next(spark, d):
-    return first_wins(jobs(spark, d).filter("state = 'queued'"), ["job"], ["k"]).select("job", F.col("k").alias("attempt"))
+    return C.claim_next(owned_jobs(spark, d), attempts(spark, d), _now())
+
+
+@query("compare_and_set", f"""WITH {EPISODES}, u AS (SELECT o_custkey AS episode_index, o_orderkey AS id, o_orderkey % 5 AS expected FROM orders),
+t AS (SELECT u.*, e.revision, row_number() OVER (PARTITION BY u.episode_index, e.revision IS NOT NULL AND e.revision = expected ORDER BY id) AS k FROM u LEFT JOIN episodes e USING (episode_index))
+SELECT CASE WHEN revision IS NULL THEN 'missing' WHEN revision = expected AND k = 1 THEN 'updated' ELSE 'stale' END AS outcome, count(*) AS n, coalesce(sum(CASE WHEN revision = expected AND k = 1 THEN id END), 0)::BIGINT AS ids FROM t GROUP BY 1""")
+def compare_and_set(spark, d):
+    """Updates of episodes by the revision that they have seen: the first that fits counts, others are stale."""
+    updates = read(spark, d, "orders").select(F.col("o_custkey").alias("episode_index"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5).alias("expected"), F.lit("draft").alias("review_state"))
+    _, tried = C.compare_and_set(episodes(spark, d).select("episode_index", "revision", "review_state"), updates, "episode_index", ["review_state"], ["id"])
+    return tried.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("outcome") == "updated", F.col("id"))), F.lit(0)).alias("ids"))
 
 
 @query("recent_errors", f"WITH {JOBS} SELECT job, k, stamp FROM log WHERE state = 'failed' ORDER BY stamp DESC, k DESC LIMIT 20")
@@ -162,10 +201,9 @@ def cancel_attempts(spark, d):
     return rows.select("k", state.alias("state"), (F.col("running") & (F.col("state") == "running")).alias("cancel_requested"))
 
 
-@query("recover_jobs", f"WITH {JOBS} SELECT k, CASE WHEN state = 'running' THEN 'failed' ELSE state END AS state, CASE WHEN state = 'running' THEN 'interrupted' END AS error FROM log")
+@query("recover_jobs", f"WITH {JOBS} SELECT k, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state, CASE WHEN state IN ('queued', 'running') THEN 'Worker restarted; resume unfinished episodes explicitly' END AS error FROM log")
 def recover_jobs(spark, d):
-    run = F.col("state") == "running"
-    return jobs(spark, d).select("k", F.when(run, "failed").otherwise(F.col("state")).alias("state"), F.when(run, "interrupted").alias("error"))
+    return C.recover_jobs(jobs(spark, d)).select("k", "state", "error")
 
 
 @query("lease_expiry", f"WITH {JOBS} SELECT k, stamp + INTERVAL 180 SECOND AS expires_at, stamp + INTERVAL 180 SECOND <= (SELECT max(stamp) FROM log) AS expired FROM log WHERE state = 'running'")
@@ -204,7 +242,8 @@ def active_proposal(spark, d):
 @query("approval_events", f"WITH {EPISODES} SELECT episode_index, row_number() OVER (ORDER BY updated_at, episode_index) AS position FROM episodes WHERE review_state LIKE 'approved%'")
 def approval_events(spark, d):
     e = episodes(spark, d).filter(F.col("review_state").startswith("approved"))
-    return e.select("episode_index", F.row_number().over(Window.orderBy("updated_at", "episode_index")).cast("bigint").alias("position"))
+    ranked = global_rank(e, F.to_date("updated_at"), ["updated_at", "episode_index"])
+    return ranked.select("episode_index", (F.col("rank") + 1).alias("position"))
 
 
 @query("audit_log", f"WITH {EPISODES} SELECT group_id, episode_index, row_number() OVER (PARTITION BY group_id ORDER BY updated_at, episode_index) AS event_no, lag(review_state, 1, 'none') OVER (PARTITION BY group_id ORDER BY updated_at, episode_index) AS before_state, review_state AS after_state FROM episodes")
@@ -254,10 +293,21 @@ def run_summary(spark, d):
     return episodes(spark, d).groupBy("chunk").agg(n.alias("episodes"), done.alias("reviewed"), rounded(done / n).alias("review_rate"), F.sum("length").alias("frames"))
 
 
-@query("review_status", f"WITH {EPISODES} SELECT episode_index, CASE WHEN reviewer IS NULL THEN 'unreviewed' WHEN sha256(episode_index || ':' || revision) = sha256(episode_index || ':' || (episode_index % 4)) THEN 'reviewed' ELSE 'stale' END AS status FROM episodes")
+_TEXT = "concat_ws(',', t2, t3, t4, t5, t6, t7)"
+
+
+@query("review_status", f"""WITH {EPISODES}, v AS (SELECT *, sha256({_TEXT}) AS now, sha256({_TEXT} || CASE WHEN revision = 0 THEN '!' ELSE '' END) AS then_, sha256(CASE WHEN episode_index % 10 = 5 THEN '[1,2)' ELSE '' END) AS clip,
+CASE WHEN episode_index % 4 <> 0 THEN sha256(CASE WHEN episode_index % 20 = 5 THEN '[1,2)' ELSE '' END) END AS clip_then FROM episodes)
+SELECT episode_index, CASE WHEN reviewer IS NOT NULL AND now = then_ AND coalesce(clip_then, sha256('')) = clip THEN 'reviewed' ELSE 'unreviewed' END AS status FROM v""")
 def review_status(spark, d):
-    now, then = F.sha2(F.concat_ws(":", "episode_index", "revision"), 256), F.sha2(F.concat_ws(":", "episode_index", F.col("episode_index") % 4), 256)
-    return episodes(spark, d).select("episode_index", F.when(F.col("reviewer").isNull(), "unreviewed").when(now == then, "reviewed").otherwise("stale").alias("status"))
+    k, text = F.col("episode_index"), F.concat_ws(",", *C.STEPS)
+    clip = lambda c: F.sha2(F.when(c, "[1,2)").otherwise(""), 256)
+    rows = episodes(spark, d).select(
+        "episode_index", F.when(F.col("reviewer").isNotNull(), F.col("updated_at")).alias("reviewed_at"), F.sha2(text, 256).alias("annotations"),
+        F.sha2(F.concat(text, F.when(F.col("revision") == 0, "!").otherwise("")), 256).alias("reviewed_annotations"), clip(k % 10 == 5).alias("exclusions"),
+        F.when(k % 4 != 0, clip(k % 20 == 5)).alias("reviewed_exclusions"), F.sha2(F.lit(""), 256).alias("no_exclusions"),
+    )
+    return C.review_status(rows).select("episode_index", "status")
 
 
 @query("review_evidence", f"WITH {EPISODES} SELECT episode_index, CASE WHEN length = 0 THEN NULL ELSE reviewer IS NOT NULL AND review_state LIKE 'approved%' END AS reviewed FROM episodes")
@@ -312,7 +362,7 @@ def prediction_summary(spark, d):
 SELECT child, root, depth FROM w WHERE root NOT IN (SELECT child FROM e)""")
 def provenance_closure(spark, d):
     e = read(spark, d, "part").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 2).alias("parent")).filter("parent > 0")
-    return C.closure(e, 32)
+    return C.closure(e)
 
 
 @query("inventory_diff", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'added' WHEN a.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 10 <> 3) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 10 <> 7) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v OR a.k IS NULL OR b.k IS NULL")
@@ -378,9 +428,7 @@ def export_gate(spark, d):
 
 @query("delete_episodes", f"WITH {EPISODES} SELECT episode_index AS source, row_number() OVER (ORDER BY episode_index) - 1 AS episode_index FROM episodes WHERE review_state <> 'approved_reject'")
 def delete_episodes(spark, d):
-    e = episodes(spark, d).select("episode_index", "review_state")
-    gone = e.filter("review_state = 'approved_reject'").select("episode_index")
-    kept = e.join(gone, "episode_index", "left_anti").withColumn("length", F.lit(1))
+    kept = episodes(spark, d).select("episode_index", "review_state").filter("review_state <> 'approved_reject'").withColumn("length", F.lit(1))
     return S.global_offsets(kept).select(F.col("episode_index").alias("source"), F.col("from_index").alias("episode_index"))
 
 
@@ -406,18 +454,43 @@ def pooled_stats(spark, d):
     return out.select("dim", "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("std"), 3).alias("std"), rounded(F.col("min")).alias("min"), rounded(F.col("max")).alias("max"))
 
 
-@query("contract_validate", f"WITH {EPISODES} SELECT episode_index, coalesce(t2 > 0 AND t7 <= length, FALSE) AS in_bounds, coalesce(t3 - t2 <= 5, FALSE) AS adjacent, coalesce(length - t7 <= 10, FALSE) AS ends_near FROM episodes WHERE length > 0")
+SEGMENTS = EPISODES + """,
+seg AS (SELECT episode_index, length / 10.0::DOUBLE AS duration, unnest([1, 2, 3, 4, 5, 6, 7]) AS step, unnest([0, t2, t3, t4, t5, t6, t7]) / 10.0::DOUBLE AS s, unnest([t2, t3, t4, t5, t6, t7, length]) / 10.0::DOUBLE AS e FROM episodes WHERE length > 0),
+g AS (SELECT *, s IS NULL AS gone, s IS NOT NULL AND e IS NULL AS bad, s IS NOT NULL AND e IS NOT NULL AS timed FROM seg),
+w AS (SELECT *, lag(s) OVER p AS before_s, lag(e) OVER p AS before_e, lag(step) OVER p AS before_step, count(*) OVER p2 AS n_timed FROM g WHERE timed WINDOW p AS (PARTITION BY episode_index ORDER BY step), p2 AS (PARTITION BY episode_index)),
+f AS (SELECT episode_index, bool_or(gone) AS open FROM g GROUP BY 1),
+codes AS (
+  SELECT episode_index, 'not_finite:' || step AS code FROM g WHERE bad
+  UNION ALL SELECT episode_index, 'out_of_bounds:' || step FROM w WHERE NOT (0 <= s AND s < e AND e <= duration)
+  UNION ALL SELECT episode_index, 'missing_steps' FROM f WHERE open
+  UNION ALL SELECT episode_index, 'episode_complete' FROM f WHERE open
+  UNION ALL SELECT episode_index, 'no_uncertainty' FROM f WHERE open
+  UNION ALL SELECT DISTINCT episode_index, 'starts_not_rising' FROM w WHERE s <= before_s
+  UNION ALL SELECT episode_index, 'early_end' FROM w JOIN f USING (episode_index) WHERE NOT open AND n_timed = 7 AND step = 7 AND abs(e - duration) > 0.5
+  UNION ALL SELECT episode_index, 'not_adjacent:' || before_step || '-' || step FROM w JOIN f USING (episode_index) WHERE NOT open AND n_timed = 7 AND abs(before_e - s) > 0.5)
+"""
+
+
+@query("contract_validate", f"WITH {SEGMENTS} SELECT code, count(*) AS n, count(DISTINCT episode_index) AS episodes FROM codes GROUP BY code")
 def contract_validate(spark, d):
-    ok = lambda c: F.coalesce(F.expr(c), F.lit(False))
-    return episodes(spark, d).filter("length > 0").select("episode_index", ok("t2 > 0 AND t7 <= length").alias("in_bounds"), ok("t3 - t2 <= 5").alias("adjacent"), ok("length - t7 <= 10").alias("ends_near"))
+    """Replies that claim to be complete, one for each episode with frames: a step without a start was not observed."""
+    t = [F.lit(0).cast("bigint")] + [F.col(c) for c in C.STEPS] + [F.col("length")]
+    second = lambda c: (c / 10).cast("double")
+    segments = [F.struct(F.lit(k + 1).alias("step"), F.when(t[k].isNull(), "not_observed").otherwise("completed").alias("status"), second(t[k]).alias("start_s"), second(t[k + 1]).alias("end_s"), F.lit(0.9).alias("confidence")) for k in range(7)]
+    rows = episodes(spark, d).filter("length > 0").select(
+        "episode_index", second(F.col("length")).alias("duration"), F.lit(True).alias("episode_complete"), F.array().cast("array<int>").alias("missing_steps"),
+        F.array().cast("array<string>").alias("uncertainties"), F.array(*segments).alias("segments"),
+    )
+    codes = P.contract_errors(rows).select("episode_index", F.explode("errors").alias("code"))
+    return codes.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("episode_index").alias("episodes"))
 
 
 @query("generation_merge", f"WITH {EPISODES} SELECT episode_index, CASE WHEN length > 0 AND t2 IS NOT NULL THEN coalesce(t2 + 1, t2) ELSE t2 END AS t2, length > 0 AND t2 IS NOT NULL AS replaced FROM episodes")
 def generation_merge(spark, d):
     """New values where the generation is valid; a failed one keeps the original."""
     e = episodes(spark, d).select("episode_index", "length", "t2")
-    new = e.filter("length > 0 AND t2 IS NOT NULL").select("episode_index", (F.col("t2") + 1).alias("fresh"))
-    return e.join(new, "episode_index", "left").select("episode_index", F.coalesce("fresh", "t2").alias("t2"), F.col("fresh").isNotNull().alias("replaced"))
+    valid = (F.col("length") > 0) & F.col("t2").isNotNull()
+    return e.select("episode_index", F.when(valid, F.col("t2") + 1).otherwise(F.col("t2")).alias("t2"), valid.alias("replaced"))
 
 
 @query("flagged_semi", f"WITH {EPISODES} SELECT episode_index, length FROM episodes WHERE episode_index IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import element, even_position, per_episode
+from tidewell.functions import per_episode
+from tidewell.operators import replies as P
 from tidewell.operators import scalars as C
 from tidewell.operators import sequences as S
 from tidewell.operators import trajectory as T
@@ -79,13 +78,8 @@ def frame_timestamps(spark, d):
     return frames(spark, d).filter("episode_index = 3 AND NOT isnan(timestamp)").orderBy("timestamp").select("frame_index", "timestamp")
 
 
-@query("episode_slice", f"WITH {EPISODES}, o AS (SELECT episode_index, sum(length) OVER (ORDER BY episode_index ROWS UNBOUNDED PRECEDING) - length AS start, length FROM episodes) SELECT episode_index, start::BIGINT AS start, greatest(start + length, start + 1)::BIGINT AS stop FROM o WHERE episode_index % 50 = 0")
+@query("episode_slice", f"WITH {EPISODES}, o AS (SELECT episode_index, sum(length) OVER (ORDER BY episode_index ROWS UNBOUNDED PRECEDING) - length AS start, length FROM episodes) SELECT episode_index, start::BIGINT AS start, greatest(start + length, start + 1)::BIGINT AS stop FROM o")
 def episode_slice(spark, d):
-    return episode_slice_all(spark, d).filter("episode_index % 50 = 0")
-
-
-@query("episode_slice_all")
-def episode_slice_all(spark, d):
     """The row range of every episode."""
     o = S.global_offsets(episodes(spark, d).select("episode_index", "length"))
     return o.select("episode_index", F.col("from_index").alias("start"), F.greatest("to_index", F.col("from_index") + 1).alias("stop"))
@@ -117,22 +111,13 @@ def paginate(spark, d):
     return read(spark, d, "customer").orderBy(F.col("c_acctbal").desc(), "c_custkey").offset(60).limit(30).select("c_custkey", "c_name")
 
 
-@query("episode_frame_info", f"WITH {EPISODES} SELECT episode_index, camera, 0.0::DOUBLE AS first_s, greatest(0, length / 10.0::DOUBLE - 0.05) AS last_s FROM episodes, (SELECT unnest(['front', 'wrist']) AS camera) WHERE episode_index % 20 = 0")
+@query("episode_frame_info", f"""WITH {EPISODES}, ranked AS (SELECT episode_index, length, row_number() OVER (ORDER BY episode_index) - 1 AS k, count(*) OVER () AS n FROM episodes)
+SELECT episode_index, camera, 0.0::DOUBLE AS first_s, greatest(0, length / 10.0::DOUBLE - 0.05) AS last_s FROM ranked, (SELECT unnest(['front', 'wrist']) AS camera)
+WHERE n <= {OVERVIEW_EPISODES} OR k IN (SELECT floor(i * ((SELECT count(*) FROM episodes) - 1) / {OVERVIEW_EPISODES - 1}.0::DOUBLE + 0.5)::BIGINT FROM range({OVERVIEW_EPISODES}) t(i))""")
 def episode_frame_info(spark, d):
-    return _frame_info(episodes(spark, d).filter("episode_index % 20 = 0"))
-
-
-@query("episode_frame_info_sampled")
-def episode_frame_info_sampled(spark, d):
     """All episodes, or ``OVERVIEW_EPISODES`` of them at evenly spread positions if there are more."""
     e = episodes(spark, d).select("episode_index", "length")
-    ranks = S.global_offsets(e.select("episode_index", F.lit(1).cast("bigint").alias("length"))).select("episode_index", F.col("from_index").alias("rank"))
-    n, target = e.count(), OVERVIEW_EPISODES
-    if n > target:
-        i = F.floor(F.col("rank") * (target - 1) / (n - 1) + 0.5)
-        near = [(even_position(i + k, F.lit(n), F.lit(target)) == F.col("rank")) & (i + k).between(0, target - 1) for k in (-1, 0, 1)]
-        e = e.join(ranks.filter(reduce(lambda x, y: x | y, near)).select("episode_index"), "episode_index", "left_semi")
-    return _frame_info(e)
+    return _frame_info(e.join(T.sample_episodes(e.select("episode_index"), OVERVIEW_EPISODES), "episode_index", "left_semi"))
 
 
 def _frame_info(e):
@@ -237,15 +222,9 @@ def chart_groups(spark, d):
     return spark.createDataFrame(rows, "group_no bigint, series string")
 
 
-@query("merge_groups", f"WITH {FRAMES} SELECT episode_index, frame_index, {r('action[1]')} AS a, CASE WHEN frame_index % 3 = 0 THEN {r('state[2]')} ELSE {r('action[2]')} END AS b FROM frames WHERE episode_index < 5")
+@query("merge_groups", f"WITH {FRAMES} SELECT episode_index, frame_index, {r('action[1]')} AS a, CASE WHEN frame_index % 3 = 0 THEN {r('state[2]')} ELSE {r('action[2]')} END AS b FROM frames")
 def merge_groups(spark, d):
     """Rows of two groups merged by position; of a shared key the later group's value counts."""
-    return _merge_groups(frames(spark, d).filter("episode_index < 5"))
-
-
-@query("merge_groups_all")
-def merge_groups_all(spark, d):
-    """The merge over the frames of every episode."""
     return _merge_groups(frames(spark, d))
 
 
@@ -350,10 +329,11 @@ def episode_length_histogram(spark, d):
     return every.join(c, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("format_total_time", f"WITH {EPISODES} SELECT chunk, (sum(length) // 3600)::BIGINT::VARCHAR || 'h ' || (sum(length) % 3600 // 60)::BIGINT::VARCHAR || 'm' AS total FROM episodes GROUP BY chunk")
+@query("format_total_time", f"""WITH {EPISODES}, t AS (SELECT chunk, sum(length) / 10.0::DOUBLE AS s FROM episodes GROUP BY chunk)
+SELECT chunk, CASE WHEN s >= 3600 THEN floor(s / 3600)::BIGINT || 'h ' ELSE '' END || floor((s % 3600) / 60)::BIGINT || 'm' AS total FROM t""")
 def format_total_time(spark, d):
-    t = episodes(spark, d).groupBy("chunk").agg(F.sum("length").alias("s"))
-    return t.select("chunk", F.concat(F.floor(F.col("s") / 3600), F.lit("h "), F.floor(F.col("s") % 3600 / 60), F.lit("m")).alias("total"))
+    t = episodes(spark, d).groupBy("chunk").agg(F.sum("length").alias("frames"))
+    return t.select("chunk", C.total_time(F.col("frames"), F.lit(10)).alias("total"))
 
 
 @query("duration_label", f"WITH {EPISODES} SELECT episode_index, CASE WHEN length >= 0 THEN printf('%.1f s', length / 10.0::DOUBLE) END AS label FROM episodes")
@@ -368,24 +348,18 @@ def gripper_normalize(spark, d):
     return frames(spark, d).select("episode_index", "frame_index", rounded(F.try_divide(v - lo, hi - lo) * 0.044, 6).alias("width"))
 
 
-@query("unit_convert", f"WITH {LONG}, m AS (SELECT dim, max(abs(v)) AS top FROM long GROUP BY dim) SELECT l.dim, count(*) AS n, {r('avg(CASE WHEN top > 360 THEN v * 2 * pi() / 4096 WHEN top > 6.3 THEN radians(v) ELSE v END)', 5)} AS mean FROM long l JOIN m ON m.dim = l.dim GROUP BY l.dim")
+@query("unit_convert", f"WITH {LONG}, m AS (SELECT dim, max(abs(v)) AS top FROM long GROUP BY dim) SELECT l.dim, count(*) AS n, {r('avg(CASE WHEN top > 360 THEN (v - 2048) / 2048 * pi() WHEN top > 6.3 THEN radians(v) ELSE v END)', 5)} AS mean FROM long l JOIN m ON m.dim = l.dim GROUP BY l.dim")
 def unit_convert(spark, d):
     """Ticks, degrees or radians, by the largest value of a dimension."""
     long = T.long_form(frames(spark, d), 4)
     top = F.broadcast(long.groupBy("dim").agg(F.max(F.abs("v")).alias("top")))
-    v = F.when(F.col("top") > 360, F.col("v") * 2 * F.pi() / 4096).when(F.col("top") > 6.3, F.radians("v")).otherwise(F.col("v"))
-    return long.join(top, "dim").groupBy("dim").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(v), 5).alias("mean"))
+    return long.join(top, "dim").groupBy("dim").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(C.to_radians(F.col("v"), F.col("top"))), 5).alias("mean"))
 
 
 # texts and hashes
 
-@query("normalize_text", "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+', ' ', 'g') AS t FROM documents WHERE doc_id % 10 = 0")
+@query("normalize_text", "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+', ' ', 'g') AS t FROM documents")
 def normalize_text(spark, d):
-    return normalize_text_all(spark, d).filter("doc_id % 10 = 0")
-
-
-@query("normalize_text_all")
-def normalize_text_all(spark, d):
     """Every text, trimmed and with its white space collapsed."""
     t = F.btrim(F.col("text"), F.lit(" \t\n\r"))
     return read(spark, d, "documents").select("doc_id", F.regexp_replace(t, "[ \\t\\n\\r]+", " ").alias("t"))
@@ -441,29 +415,50 @@ def contract_generation(spark, d):
     return read(spark, d, "part").select(k.alias("k"), F.regexp_extract(v, pattern, 1).alias("lineage"), F.nullif(F.regexp_extract(v, pattern, 2), F.lit("")).try_cast("int").alias("generation"))
 
 
-@query("name_validate", "SELECT p_partkey AS k, regexp_matches(p_name, '^[A-Za-z0-9][A-Za-z0-9 _.-]{0,40}$') AS valid FROM part")
+@query("name_validate", "WITH n AS (SELECT p_partkey AS k, replace(p_name, ' ', CASE p_partkey % 4 WHEN 0 THEN '_' WHEN 1 THEN ' ' WHEN 2 THEN '..' ELSE '-' END) AS name FROM part UNION ALL SELECT -1, 'frozen') SELECT k, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9._-]{0,79}') AND NOT contains(name, '..') AND name NOT IN ('frozen', 'manifest.json') AS valid FROM n")
 def name_validate(spark, d):
-    return read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").rlike("^[A-Za-z0-9][A-Za-z0-9 _.-]{0,40}$").alias("valid"))
+    k = F.col("p_partkey")
+    gap = F.when(k % 4 == 0, "_").when(k % 4 == 1, " ").when(k % 4 == 2, "..").otherwise("-")
+    names = read(spark, d, "part").select(k.alias("k"), F.replace("p_name", F.lit(" "), gap).alias("name")).union(spark.sql("SELECT -1L, 'frozen'"))
+    return names.select("k", P.valid_name(F.col("name")).alias("valid"))
 
 
-@query("redact_text", "SELECT c_custkey, replace(c_name, lpad(c_custkey::VARCHAR, 3, '0'), '[redacted]') AS t FROM customer")
+@query("redact_text", "SELECT c_custkey, replace(replace(c_name, 'Customer', '[REDACTED]'), lpad(c_custkey::VARCHAR, 3, '0'), '[REDACTED]') AS t FROM customer")
 def redact_text(spark, d):
+    """Two secrets, the longer one first, and an empty one."""
     key = F.col("c_custkey").cast("string")
-    return read(spark, d, "customer").select("c_custkey", F.replace("c_name", F.when(F.length(key) > 3, F.substring(key, 1, 3)).otherwise(F.lpad(key, 3, "0")), F.lit("[redacted]")).alias("t"))
+    own = F.when(F.length(key) > 3, F.substring(key, 1, 3)).otherwise(F.lpad(key, 3, "0"))
+    return read(spark, d, "customer").select("c_custkey", P.redact(F.col("c_name"), F.array(own, F.lit("Customer"), F.lit(""))).alias("t"))
+
+
+_ERRORS = (
+    "step 3 must satisfy 0 <= start_s < end_s <= duration_s 9.0", "step 2 must satisfy 0 <= start_s < end_s <= duration_s 9.0", "complete steps 4 and 5 must be adjacent within 0.5 seconds",
+    "a complete response must start at 0 within 0.25 seconds", "a complete response must end at duration within 0.5 seconds", "non-null timed segments must have strictly increasing starts",
+    "a complete response must yield six strictly increasing transition frames", "something else",
+)
 
 
-@query("repair_fields", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'start' WHEN event_id % 3 = 1 THEN 'end' END AS side, (event_id % 7 + 1)::INT AS step FROM events")
+@query("repair_fields", "SELECT event_id, CASE event_id % 8 WHEN 0 THEN CASE WHEN value < 50 THEN '' ELSE '3' END WHEN 1 THEN '2' WHEN 2 THEN '5' WHEN 3 THEN '1' WHEN 5 THEN '1,2,3,4,5,6,7' WHEN 6 THEN '2,3,4,5,6,7' ELSE '' END AS starts, CASE event_id % 8 WHEN 0 THEN CASE WHEN value < 50 THEN '3' ELSE '' END WHEN 2 THEN '4' WHEN 4 THEN '7' ELSE '' END AS ends FROM events")
 def repair_fields(spark, d):
-    text = F.concat(F.lit("segment step="), F.col("event_id") % 7 + 1, F.lit(": "), F.when(F.col("event_id") % 3 == 0, "start_s out of range").when(F.col("event_id") % 3 == 1, "end_s out of range").otherwise("other"))
-    side = F.when(text.contains("start_s"), "start").when(text.contains("end_s"), "end")
-    return read(spark, d, "events").select("event_id", side.alias("side"), F.regexp_extract(text, r"step=(\d+)", 1).cast("int").alias("step"))
+    """Of a segment whose start is fine the end may move, of one whose end is fine the start."""
+    early = F.col("value") < 50
+    error = F.get(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 8).cast("int"))
+    starts = F.array(F.lit(0.0), F.lit(-1.0), F.when(early, 5.0).otherwise(-2.0), *[F.lit(float(k)) for k in range(4, 8)])
+    ends = F.array(F.lit(1.0), F.lit(2.0), F.when(early, 4.0).otherwise(4.0), *[F.lit(float(k + 1)) for k in range(4, 8)])
+    rows = read(spark, d, "events").select("event_id", P.repair_fields(error, starts, ends, F.lit(9.0)).alias("f"))
+    return rows.select("event_id", F.array_join("f.starts", ",").alias("starts"), F.array_join("f.ends", ",").alias("ends"))
 
 
-@query("vqa_classify", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bbox' WHEN 1 THEN 'keypoint' WHEN 2 THEN 'count' WHEN 3 THEN 'attribute' WHEN 4 THEN 'spatial' ELSE 'unknown' END AS kind FROM events")
+_ANSWERS = (
+    '{"detections":[{"bbox":[1,2,3,4]}]}', '{"point_format":"xy","point":[1,2]}', '{"count":3,"label":"cup"}', '{"attribute":"color","value":"red"}', '{"subject":"cup","relation":"left of"}',
+    "not json", '{"point":[1,2]}', '{"count":3}', '{"count":"3","label":"cup"}', '{"attribute":"color","value":null}', '{"relation":"left of"}', '{"detections":{}}',
+)
+
+
+@query("vqa_classify", "SELECT event_id, CASE event_id % 12 WHEN 0 THEN 'bbox' WHEN 1 THEN 'keypoint' WHEN 2 THEN 'count' WHEN 3 THEN 'attribute' WHEN 4 THEN 'spatial' END AS kind FROM events")
 def vqa_classify(spark, d):
-    k = F.col("event_id") % 6
-    answer = F.when(k == 0, '{"detections":[{"bbox":[1,2,3,4]}]}').when(k == 1, '{"point":[1,2]}').when(k == 2, '{"count":3}').when(k == 3, '{"attribute":"red"}').when(k == 4, '{"relation":"left of"}').otherwise("not json")
-    return read(spark, d, "events").select("event_id", C.vqa_kind(answer).alias("kind"))
+    answer = F.get(F.array(*map(F.lit, _ANSWERS)), (F.col("event_id") % 12).cast("int"))
+    return read(spark, d, "events").select("event_id", P.answer_kind(answer).alias("kind"))
 
 
 @query("vqa_camera", "SELECT event_id FROM events WHERE event_id % 4 <> 1")
@@ -475,15 +470,17 @@ def vqa_camera(spark, d):
     return read(spark, d, "events").withColumn("found", found).filter(F.exists("found", lambda x: x["camera"].isNull() | (x["camera"] == "front"))).select("event_id")
 
 
-@query("parse_response", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ok' WHEN doc_id % 3 = 1 THEN 'trailing_text' ELSE 'invalid_json' END AS status, CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 END AS steps FROM documents")
+_REPLIES = ('<think>x</think> {"steps":%d}', '{"steps":1}{"steps":2}', '{"steps":1} and more', "{steps}", '{"steps":1,"steps":2}', '{"steps":NaN}', "<think>{}", "[1]")
+_STATUS = ("ok", "trailing_text", "trailing_text", "invalid_json", "duplicate_member", "nonfinite_number", "unterminated_think", "not_an_object")
+
+
+@query("parse_response", f"SELECT doc_id, {list(_STATUS)}[doc_id % 8 + 1] AS status, CASE WHEN doc_id % 8 = 0 THEN doc_id % 7 END AS steps FROM documents")
 def parse_response(spark, d):
-    """Model replies: the thinking is cut, the rest must be one JSON object."""
+    """Replies: the thinking in front is cut, the rest must be one JSON object."""
     k = F.col("doc_id")
-    body = F.when(k % 3 == 0, F.concat(F.lit('{"steps":'), k % 7, F.lit("}"))).when(k % 3 == 1, F.lit('{"steps":1} and more')).otherwise("{steps")
-    rest = F.trim(F.regexp_replace(F.concat(F.lit("<think>x</think> "), body), "(?s)<think>.*?</think>", ""))
-    whole = F.from_json(rest, "steps bigint").getField("steps")
-    status = F.when(~rest.rlike(r"^\{.*\}"), "invalid_json").when(~rest.rlike(r"\}$"), "trailing_text").otherwise("ok")
-    return read(spark, d, "documents").select("doc_id", status.alias("status"), F.when(status == "ok", whole).alias("steps"))
+    text = F.get(F.array(F.format_string(_REPLIES[0], k % 7), *map(F.lit, _REPLIES[1:])), (k % 8).cast("int"))
+    rows = read(spark, d, "documents").select("doc_id", P.parse_reply(text).alias("p"))
+    return rows.select("doc_id", "p.status", F.get_json_object("p.body", "$.steps").cast("bigint").alias("steps"))
 
 
 @query("instructions", f"WITH {ATOMS} SELECT episode_index, string_agg(content, chr(10) ORDER BY seq) AS instructions FROM atoms WHERE role = 'user' AND seq < 4 GROUP BY 1")
@@ -494,8 +491,8 @@ def instructions(spark, d):
 
 @query("file_manifest")
 def file_manifest(spark, d):
-    """Digest, two spaces and name of each file, in the order of the names' bytes."""
-    files = spark.read.format("binaryFile").load([f"{d}/{t}.parquet" for t in ("region", "nation", "supplier")])
+    """Digest, two spaces and name of each small table's file, in the order of the names' bytes; each is read whole."""
+    files = spark.read.format("binaryFile").load([f"{d}/{t}.parquet" for t in ("region", "nation", "supplier", "customer", "part")])
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.concat_ws("  ", F.sha2("content", 256), name).alias("line")).orderBy(F.encode(F.split("line", "  ")[1], "UTF-8"))
 
@@ -561,10 +558,10 @@ def variance_color(spark, d):
     return _depth(spark, d).select("event_id", rounded(F.sqrt("x"), 3).alias("shade"))
 
 
-@query("viridis", f"WITH {DEPTH} SELECT event_id, floor(greatest(0, least(255, x * 255)))::INT AS slot FROM x")
+@query("viridis", f"WITH {DEPTH} SELECT event_id, floor(greatest(0, least(255, x * 255)) + 0.5)::INT AS slot FROM x")
 def viridis(spark, d):
-    """The slot of a 256-colour map."""
-    return _depth(spark, d).select("event_id", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("x") * 255))).cast("int").alias("slot"))
+    """The slot of a 256-colour map; the map itself is a parameter of ``color``."""
+    return _depth(spark, d).select("event_id", C.color_slot(F.col("x")).alias("slot"))
 
 
 @query("map_point", "SELECT event_id, CASE WHEN value <= 1 THEN floor(value * 640) WHEN value <= 50 THEN floor(value / 1000 * 640) ELSE floor(value) END AS px FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import per_episode
 from tidewell.operators import sequences as S
+from tidewell.operators.ranks import global_rank, of_ids
 from tidewell.operators.trajectory import element
 from tidewell.plans.registry import query
 from tidewell.plans.views import ATOMS, EPISODES, EVENT_FRAMES, EXCLUSIONS, FRAMES, atoms, episodes, event_frames, exclusions, frames, r, rounded
@@ -96,29 +97,29 @@ def active_at(spark, d):
     return S.as_of(f, _event_atoms(spark, d), "label").drop("timestamp")
 
 
-@query("robot_frame_at", f"""WITH {FRAMES}, q AS (SELECT episode_index, frame_index AS k, frame_index * 0.0625::DOUBLE AS t FROM frames WHERE frame_index % 9 = 0)
+@query("robot_frame_at", f"""WITH {FRAMES}, q AS (SELECT episode_index, frame_index AS k, frame_index * 0.0625::DOUBLE AS t FROM frames)
 SELECT q.episode_index, q.k, greatest(0, max(f.frame_index)) AS frame FROM q JOIN frames f ON f.episode_index = q.episode_index AND f.timestamp <= q.t + 0.00001 GROUP BY ALL""")
 def robot_frame_at(spark, d):
     f = frames(spark, d).select("episode_index", "frame_index", "timestamp")
-    q = f.filter("frame_index % 9 = 0").select("episode_index", F.col("frame_index").alias("k"), (F.col("frame_index") * 0.0625).alias("timestamp"))
+    q = f.select("episode_index", F.col("frame_index").alias("k"), (F.col("frame_index") * 0.0625).alias("timestamp"))
     marks = f.select("episode_index", "timestamp", F.col("frame_index").alias("seq"), F.col("frame_index").alias("frame"))
     return S.as_of(q, marks, "frame", tolerance=1e-5).drop("timestamp")
 
 
-@query("snap_nearest", f"""WITH {EVENT_FRAMES}, q AS (SELECT episode_index, frame_index AS k, timestamp * 0.93 AS t FROM event_frames WHERE frame_index % 4 = 1)
+@query("snap_nearest", f"""WITH {EVENT_FRAMES}, q AS (SELECT episode_index, frame_index AS k, timestamp * 0.93 AS t FROM event_frames)
 SELECT q.episode_index, q.k, arg_min(f.frame_index, (abs(f.timestamp - q.t), f.frame_index)) AS frame_index FROM q JOIN event_frames f USING (episode_index) GROUP BY q.episode_index, q.k""")
 def snap_nearest(spark, d):
     f = event_frames(spark, d)
-    q = f.filter("frame_index % 4 = 1").select("episode_index", F.col("frame_index").alias("k"), (F.col("timestamp") * 0.93).alias("t"))
+    q = f.select("episode_index", F.col("frame_index").alias("k"), (F.col("timestamp") * 0.93).alias("t"))
     return S.nearest_frame(q, f).drop("t")
 
 
-@query("nearest_boundary", f"""WITH {FRAMES}, {MERGED}, b AS (SELECT episode_index, start_frame AS at FROM merged UNION SELECT episode_index, end_frame FROM merged), q AS (SELECT episode_index, frame_index FROM frames WHERE frame_index % 50 = 7)
+@query("nearest_boundary", f"""WITH {FRAMES}, {MERGED}, b AS (SELECT episode_index, start_frame AS at FROM merged UNION SELECT episode_index, end_frame FROM merged), q AS (SELECT episode_index, frame_index FROM frames)
 SELECT q.episode_index, q.frame_index AS frame, arg_min(b.at, (abs(b.at - q.frame_index), b.at)) AS boundary FROM q JOIN b USING (episode_index) GROUP BY ALL""")
 def nearest_boundary(spark, d):
     m = S.merge_intervals(exclusions(spark, d))
     b = m.select("episode_index", F.explode(F.array("start_frame", "end_frame")).alias("frame_index")).distinct().withColumn("timestamp", F.col("frame_index").cast("double"))
-    q = frames(spark, d).filter("frame_index % 50 = 7").select("episode_index", F.col("frame_index").alias("frame"), F.col("frame_index").cast("double").alias("t"))
+    q = frames(spark, d).select("episode_index", F.col("frame_index").alias("frame"), F.col("frame_index").cast("double").alias("t"))
     return S.nearest_frame(q, b).select("episode_index", "frame", F.col("frame_index").alias("boundary")).filter("boundary IS NOT NULL")
 
 
@@ -140,14 +141,9 @@ def events_at(spark, d):
     return event_frames(spark, d).select("episode_index", "frame_index", (F.count(F.lit(1)).over(w) - 1).alias("n_near"))
 
 
-@query("adjacent_episodes", f"""WITH {EPISODES} SELECT a.episode_index, b.episode_index AS neighbour FROM episodes a JOIN episodes b ON b.episode_index BETWEEN a.episode_index - 2 AND a.episode_index + 2
-AND b.episode_index <> a.episode_index WHERE a.episode_index % 10 = 0""")
+@query("adjacent_episodes", f"""WITH {EPISODES} SELECT a.episode_index, b.episode_index AS neighbour FROM (SELECT episode_index, unnest([-2, -1, 1, 2]) AS off FROM episodes) a
+JOIN episodes b ON b.episode_index = a.episode_index + a.off""")
 def adjacent_episodes(spark, d):
-    return adjacent_episodes_all(spark, d).filter("episode_index % 10 = 0")
-
-
-@query("adjacent_episodes_all")
-def adjacent_episodes_all(spark, d):
     """The neighbours of every episode."""
     e = episodes(spark, d).select("episode_index")
     near = e.select("episode_index", F.explode(F.array(*[F.col("episode_index") + k for k in (-2, -1, 1, 2)])).alias("neighbour"))
@@ -185,7 +181,7 @@ def reindex_export(spark, d):
     """Kept episodes numbered densely, and frames numbered through all of them by their episode's offset."""
     f = frames(spark, d).filter("episode_index % 3 <> 0").select("episode_index", "frame_index")
     counts = f.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
-    e = S.global_offsets(counts).withColumn("new", (F.row_number().over(Window.orderBy("episode_index")) - 1).cast("bigint"))
+    e = global_rank(S.global_offsets(counts), of_ids("episode_index"), ["episode_index"], "new")
     return f.join(e.select("episode_index", "new", "from_index"), "episode_index").select(F.col("new").alias("episode_index"), "frame_index", (F.col("from_index") + F.col("frame_index")).alias("index"))
 
 

@@ -67,8 +67,7 @@ def low_movement(spark, d):
 
 @query("speed_distribution", f"WITH {MOVEMENT} SELECT row_number() OVER (ORDER BY movement, episode_index) AS rank, movement AS speed FROM movement")
 def speed_distribution(spark, d):
-    scores = T.movement_scores(frames(spark, d), WIDTH)
-    return scores.select(F.row_number().over(Window.orderBy("movement", "episode_index")).cast("bigint").alias("rank"), F.col("movement").alias("speed"))
+    return T.speed_ranks(T.movement_scores(frames(spark, d), WIDTH))
 
 
 @query("motor_ranges", f"WITH {RANGES} SELECT dim, {r('motor_range')} AS motor_range, n_unique, n_unique <= 4 AS discrete FROM ranges")
@@ -168,22 +167,27 @@ def velocity_single(spark, d):
     return rows.groupBy("dim").agg(rounded(F.stddev_pop("x")).alias("std"), rounded(F.max(F.abs("x"))).alias("max_abs"))
 
 
-@query("velocity_verdict", f"""WITH {POOLED}, s AS (SELECT dim, stddev_pop(x) AS std FROM pooled GROUP BY dim), m AS (SELECT max(std) AS top FROM s)
-SELECT dim, CASE WHEN top = 0 THEN 'N/A' WHEN std / top < 0.4 THEN 'Smooth' WHEN std / top < 0.7 THEN 'Moderate' ELSE 'Jerky' END AS verdict FROM s, m""")
+_MOTORS = ("quantity", "gripper_price", "discount", "tax")
+
+
+@query("velocity_verdict", f"""WITH {POOLED}, s AS (SELECT dim, {list(_MOTORS)}[dim + 1] AS name, stddev_pop(x) AS std FROM pooled GROUP BY dim),
+k AS (SELECT s.*, n_unique > 4 AND coalesce(lively, 0) = 1 AS use FROM s JOIN ranges USING (dim) JOIN (SELECT dim, max(active::INT) AS lively FROM activity GROUP BY dim) USING (dim)),
+m AS (SELECT coalesce(max(std) FILTER (WHERE use), 1) AS top FROM k),
+c AS (SELECT count(*) FILTER (WHERE use) AS n, count(*) FILTER (WHERE use AND std / top < 0.4) AS n_smooth, count(*) FILTER (WHERE use AND std / top >= 0.4 AND std / top < 0.7) AS n_moderate,
+      count(*) FILTER (WHERE use AND std / top >= 0.7 AND name NOT ILIKE '%grip%') AS n_jerky, count(*) FILTER (WHERE use AND std / top >= 0.7 AND name ILIKE '%grip%') AS n_jerky_grippers, count(*) FILTER (WHERE NOT use) AS n_excluded FROM k, m)
+SELECT CASE WHEN n = 0 THEN 'N/A' WHEN n_smooth / n >= 0.6 AND n_jerky = 0 THEN 'Smooth' WHEN n_jerky <= 2 AND n_smooth / n >= 0.3 THEN 'Moderate' ELSE 'Jerky' END AS verdict,
+       n_smooth, n_moderate, n_jerky, n_jerky_grippers, n_excluded FROM c""")
 def velocity_verdict(spark, d):
-    s = T.agg_velocity(_long(spark, d)).select("dim", "std").withColumn("top", F.max("std").over(Window.partitionBy()))
-    share = F.try_divide("std", "top")
-    return s.select("dim", F.when(F.col("top") == 0, "N/A").when(share < 0.4, "Smooth").when(share < 0.7, "Moderate").otherwise("Jerky").alias("verdict"))
+    names = F.get(F.array(*map(F.lit, _MOTORS)), F.col("dim"))
+    return T.velocity_verdict(T.agg_velocity(_long(spark, d)).withColumn("name", names))
 
 
 @query("speed_variance", f"""WITH {MOVEMENT}, s AS (SELECT avg(movement) AS mean, stddev_pop(movement) AS std, count(*) AS n, list(movement ORDER BY movement) AS xs FROM movement)
 SELECT {r('mean')} AS mean, {r('std')} AS std, {r('CASE WHEN mean > 0 THEN std / mean ELSE 0 END')} AS cv, {r('xs[n // 2 + 1]')} AS median, least(30, ceil(sqrt(n)))::BIGINT AS bins,
-       CASE WHEN mean = 0 OR std / mean < 0.2 THEN 'Consistent' WHEN std / mean < 0.4 THEN 'Moderate' ELSE 'High' END AS verdict FROM s""")
+       CASE WHEN mean = 0 OR std / mean < 0.2 THEN 'Consistent' WHEN std / mean < 0.4 THEN 'Moderate variance' ELSE 'High variance' END AS verdict FROM s""")
 def speed_variance(spark, d):
-    s = T.movement_scores(frames(spark, d), WIDTH).agg(F.avg("movement").alias("mean"), F.stddev_pop("movement").alias("std"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("movement")).alias("xs"))
-    cv = F.coalesce(F.try_divide("std", "mean"), F.lit(0.0))
-    verdict = F.when(cv < 0.2, "Consistent").when(cv < 0.4, "Moderate").otherwise("High")
-    return s.select(rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"), rounded(cv).alias("cv"), rounded(F.get("xs", F.floor(F.col("n") / 2).cast("int"))).alias("median"), F.least(F.lit(30), F.ceil(F.sqrt("n"))).cast("bigint").alias("bins"), verdict.alias("verdict"))
+    s = T.speed_variance(T.movement_scores(frames(spark, d), WIDTH))
+    return s.select(*[rounded(F.col(c)).alias(c) for c in ("mean", "std", "cv", "median")], "bins", "verdict")
 
 
 # sampling
@@ -207,8 +211,7 @@ def even_sample_by_episode(spark, d):
 @query("sample_episodes", f"""WITH {EPISODES}, ranked AS (SELECT episode_index, row_number() OVER (ORDER BY episode_index) - 1 AS k, count(*) OVER () AS n FROM episodes)
 SELECT episode_index FROM ranked WHERE n <= 120 OR {_EVEN('n', 120, 'k')}""")
 def sample_episodes(spark, d):
-    rows = episodes(spark, d).select("episode_index", F.lit(0).alias("all"))
-    return T.even_sample(rows, 120, "all", "episode_index").select("episode_index")
+    return T.sample_episodes(episodes(spark, d).select("episode_index"), 120)
 
 
 @query("sample_2fps", f"""WITH {FRAMES}, e AS (SELECT episode_index, max(timestamp) AS last, count(*) AS n FROM frames GROUP BY 1),
@@ -230,11 +233,9 @@ def qa_frames(spark, d):
 
 
 @query("sampling_gate", f"""WITH {FRAMES}, e AS (SELECT episode_index, max(timestamp) AS duration, count(*) AS n FROM frames GROUP BY 1)
-SELECT episode_index, CASE WHEN duration > 58 THEN 'duration_limit' WHEN floor(duration * 2) + 1 > 115 THEN 'frame_limit' WHEN n * 110000 > 67108864 THEN 'payload_limit' ELSE 'ready' END AS gate FROM e""")
+SELECT episode_index, CASE WHEN duration > 120 THEN 'duration_limit' WHEN floor(duration * 2) + 1 > 240 THEN 'frame_limit' WHEN n * 110000 > 67108864 THEN 'payload_limit' ELSE 'ready' END AS gate FROM e""")
 def sampling_gate(spark, d):
-    e = frames(spark, d).groupBy("episode_index").agg(F.max("timestamp").alias("duration"), F.count(F.lit(1)).alias("n"))
-    gate = F.when(F.col("duration") > 58, "duration_limit").when(F.floor(F.col("duration") * 2) + 1 > 115, "frame_limit").when(F.col("n") * 110000 > 67_108_864, "payload_limit").otherwise("ready")
-    return e.select("episode_index", gate.alias("gate"))
+    return T.sampling_gate(frames(spark, d), 110_000)
 
 
 @query("js_round", f"WITH {EVENT_FRAMES} SELECT event_id, floor((value - 50) * 2 + 0.5) / 2 AS x FROM event_frames")
