@@ -49,10 +49,39 @@ def test_stages_take_effect(spark, tmp_path):
     assert len(kept[4]) == len(kept[3]) and all(r["round_trip"] for r in kept[4])
 
 
-def test_stages_take_empty_and_odd_tables(spark):
-    rows = [(1, None, None, None), (2, "", "en", "a"), (None, "some words", "en", None), (4, "some words", "en", "a"), (4, "some words", "en", "a")]
-    for table_ in ([], rows):
-        docs = frame(spark, table_)
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, DATA)
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 0
+def stages_of(spark, rows):
+    """The rows after each stage, as sorted (doc_id, text) pairs; token counts after the last."""
+    docs, out = frame(spark, rows), []
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == columns
+        out.append(sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str))
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    return [*out, sorted(((r["doc_id"], r["n_tokens"] > 0, r["round_trip"]) for r in last), key=str)]
+
+
+def test_stages_take_an_empty_table(spark):
+    assert stages_of(spark, []) == [[], [], [], [], []]
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in each column, blank texts, copies under one id and without one, a text of 60,000 words; nothing is labelled."""
+    long = " ".join(f"word{k}" for k in range(60_000))
+    words = "some words that stand here for all to see"
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, " 12 \n", "en", "a"), (None, words, None, None), (4, words, None, "a"), (4, words, None, "a"), (5, long, None, "b"), (6, "alone in this place", None, None)]
+    found, lines, near, mixed, encoded = stages_of(spark, rows)
+    assert found == sorted([(None, words), (4, words), (4, words), (5, long), (6, "alone in this place")], key=str)
+    assert lines == sorted([(None, ""), (4, words), (4, words), (5, long), (6, "alone in this place")], key=str)  # equal rows of one id keep what one alone would
+    assert near == sorted([(None, ""), (4, words), (5, long), (6, "alone in this place")], key=str)
+    assert {d for d, _ in mixed} == {4, 5, 6} and all(t in dict(near)[d] for d, t in mixed)
+    assert [d for d, _, _ in encoded] == [d for d, _ in mixed] and all(some and same for _, some, same in encoded)
+
+
+def test_run_equals_the_stages_one_by_one(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    key = lambda df: sorted((r["doc_id"], r["decoded_sha256"], r["n_tokens"]) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, DATA)) == key(want)
