@@ -7,6 +7,14 @@ it back, and ``run`` does so in the shared folder, so that no plan spans two sta
 Language ID drops texts without any letter, which no language can claim. Line dedup takes repeated lines out of texts.
 Near-dedup keeps one document of each group. Mixing repeats documents, or cuts word ranges out of them, until each
 source has its share; documents that the mix does not draw are not in its result.
+
+Defined cases, for each stage. Language ID: a null or empty text and one without letters is dropped, any other stays,
+labelled or not. Line dedup: every row stays; lines after the first of equal or near ones go, a null text stays null, a
+text all of whose lines go becomes empty. Near-dedup: of each component one row stays; rows without words all stay, and
+rows without an id are grouped by their shingles. Mixing: texts without words have size 0 and are not drawn; a null
+source is a source of its own. SentencePiece: a null or empty text has no ids. Nulls in other columns and extra columns
+pass through all stages but the last; long texts are processed whole; ties and repeated rows are as each operator's
+docstring says; an empty table gives an empty table with the same columns.
 """
 
 from __future__ import annotations

@@ -337,6 +337,24 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "c")).collect()] == ["2,x"]
 
 
+def test_ignored_columns_size_and_cameras():
+    features = {"a": {"dtype": "float32", "shape": [2]}, "m": {"dtype": "float64", "shape": [3, 3]}, "cam": {"dtype": "video", "shape": [480, 640, 3]}, "s": {"dtype": "string", "shape": [1, 1]}}
+    assert sources.ignored_columns(features) == ["m"]
+    assert sources.size_and_cameras({"features": features, "data_files_size_in_mb": 1.24, "video_files_size_in_mb": 2.01}) == {"dataset_size_mb": 3.3, "cameras": [{"name": "cam", "height": 480, "width": 640}]}
+    assert sources.size_and_cameras({}) == {"dataset_size_mb": 0.0, "cameras": []}
+
+
+def test_atoms_are_extracted_from_rows(spark):
+    """The first row's list, events at their row's time, equal atoms once, those without a role dropped, in order."""
+    a, b, e = ("user", "x", "plan", 2.0, None), ("user", "x", "subtask", 2.0, None), ("user", "q", "vqa", None, "front")
+    rows = [(1, 0, 0.0, [a, b, (None, "y", "plan", 0.0, None)], [e, e]), (1, 1, 0.5, [("user", "other", "plan", 0.0, None)], [e, ("user", "q", "vqa", 0.25, "front")]), (2, 3, 1.0, None, None)]
+    atom = "array<struct<role:string,content:string,style:string,timestamp:double,camera:string>>"
+    df = spark.createDataFrame(rows, f"episode_index bigint, frame_index bigint, timestamp double, language_persistent {atom}, language_events {atom}")
+    got = sorted(map(tuple, annotation.extract(df).collect()), key=lambda r: r[1])
+    want = [("user", "q", "vqa", 0.0, "front"), ("user", "q", "vqa", 0.25, "front"), ("user", "q", "vqa", 0.5, "front"), a, b]
+    assert got == [(1, k, *x) for k, x in enumerate(want)]
+
+
 def test_leases_follow_a_stream(spark, tmp_path):
     src = tmp_path / "claims"
     claims = spark.createDataFrame([(1, "a", 0.0), (1, "b", 10.0), (1, "a", 100.0), (1, "b", 281.0)], "job bigint, owner string, at double")

@@ -27,6 +27,24 @@ def column_for_style(style: Column) -> Column:
     )
 
 
+def extract(rows: DataFrame) -> DataFrame:
+    """``episode_index, position, role, content, style, timestamp, camera``: the atoms that an episode's rows hold.
+
+    ``rows`` has ``episode_index, frame_index, timestamp`` and two arrays of structs, ``language_persistent`` and
+    ``language_events``. The persistent list repeats on every row, so the first row's counts; an event counts wherever it
+    stands, at its row's time if it has none. Atoms without a role are none. Equal atoms count once; they are ordered by
+    time, style and role, with a missing one first.
+    """
+    fields = ("role", "content", "style", "timestamp", "camera")
+    first = rows.groupBy("episode_index").agg(F.min_by("language_persistent", "frame_index").alias("list"))
+    lasting = first.select("episode_index", F.inline("list")).select("episode_index", *fields)
+    events = rows.select("episode_index", F.col("timestamp").alias("s_at"), F.inline("language_events"))
+    events = events.withColumn("timestamp", F.coalesce("timestamp", "s_at")).select("episode_index", *fields)
+    atoms = lasting.unionByName(events).filter(F.col("role").isNotNull()).withColumn("timestamp", F.coalesce("timestamp", F.lit(0.0))).dropDuplicates()
+    order = per_episode("timestamp", F.coalesce("style", F.lit("")), F.coalesce("role", F.lit("")), "content", "camera")
+    return atoms.select("episode_index", (F.row_number().over(order) - 1).cast("bigint").alias("position"), *fields)
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key: the first in ``order``."""
     w = Window.partitionBy(*keys).orderBy(*order)

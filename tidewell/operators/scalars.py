@@ -106,3 +106,18 @@ def join_nearest_name(joints: DataFrame, columns: DataFrame) -> DataFrame:
     priority = F.when(j == c, 1).when(F.regexp_replace(j, "[_-]", "") == F.regexp_replace(c, "[_-]", ""), 2).when(c.contains(j) | j.contains(c), 3)
     best = pairs.withColumn("priority", priority).filter("priority IS NOT NULL")
     return best.groupBy("joint").agg(F.min_by("column", F.struct("priority", "column")).alias("column"), F.min("priority").alias("priority"))
+
+
+def whole_or(value: Column, fallback: float = 0.0) -> Column:
+    """A whole number of any width as a double, or ``fallback``."""
+    return F.coalesce(value.cast("double"), F.lit(float(fallback)))
+
+
+def json_number(value: Column) -> Column:
+    """A number as JSON has it: without a fraction if it has none."""
+    return F.when(value == F.floor(value), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+
+
+def rounded_seconds(value: Column) -> Column:
+    """Seconds to twelve digits."""
+    return F.floor(value * 1e12 + F.lit(0.5)).cast("double") / 1e12

@@ -118,10 +118,19 @@ def extract_atoms(spark, d):
     return kept.unionByName(lists.filter(~F.col("style").isin(*A.PERSISTENT))).select("episode_index", "seq", "style")
 
 
-@query("extract_atoms_server", f"WITH {ATOMS} SELECT DISTINCT episode_index, role, content, style, timestamp, camera FROM atoms")
+@query("extract_atoms_server", f"""WITH {ATOMS}, x AS (SELECT DISTINCT episode_index, role, content, style, timestamp, camera FROM atoms)
+SELECT *, row_number() OVER (PARTITION BY episode_index ORDER BY timestamp, coalesce(style, ''), coalesce(role, ''), content, camera NULLS FIRST) - 1 AS position FROM x""")
 def extract_atoms_server(spark, d):
-    a = atoms(spark, d).drop("seq")
-    return a.unionByName(a).dropDuplicates()
+    """Rows of a table, a turn each: the first has the persistent list, later ones a stale one; events have no time of their own."""
+    a = atoms(spark, d)
+    parts = [F.col(c) for c in ("role", "content", "style", "timestamp", "camera")]
+    lists = a.filter(F.col("style").isin(*A.PERSISTENT)).groupBy("episode_index").agg(F.collect_list(F.struct(*parts)).alias("list"))
+    rows = a.join(lists, "episode_index", "left").withColumn("first", F.min("seq").over(per_episode()))
+    stale = F.array(F.struct(F.lit("assistant").alias("role"), F.lit("stale").alias("content"), F.lit("plan").alias("style"), F.lit(0.0).alias("timestamp"), F.lit(None).cast("string").alias("camera")))
+    event = F.struct("role", "content", "style", F.lit(None).cast("double").alias("timestamp"), "camera")
+    rows = rows.select("episode_index", F.col("seq").alias("frame_index"), "timestamp", F.when(F.col("seq") == F.col("first"), F.col("list")).otherwise(stale).alias("language_persistent"),
+                       F.when(~F.col("style").isin(*A.PERSISTENT), F.array(event)).alias("language_events"))
+    return A.extract(rows)
 
 
 @query("read_atoms", f"WITH {ATOMS} SELECT episode_index, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM atoms GROUP BY 1")

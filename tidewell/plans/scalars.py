@@ -356,6 +356,15 @@ def unit_convert(spark, d):
     return long.join(top, "dim").groupBy("dim").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(C.to_radians(F.col("v"), F.col("top"))), 5).alias("mean"))
 
 
+@query("small_numbers", """SELECT event_id, coalesce(CASE WHEN event_id % 5 <> 0 THEN user_id END, -1)::DOUBLE AS whole, CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END AS json,
+floor(v / 3 * 1e12 + 0.5)::DOUBLE / 1e12 AS seconds FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN floor(value) ELSE floor(value * 4) / 4 END AS v FROM events)""")
+def small_numbers(spark, d):
+    """Whole numbers with a fallback, numbers as JSON has them, and seconds to twelve digits."""
+    e = read(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 3 == 0, F.floor("value").cast("double")).otherwise(F.floor(F.col("value") * 4) / 4))
+    whole = C.whole_or(F.when(F.col("event_id") % 5 != 0, F.col("user_id")), -1)
+    return e.select("event_id", whole.alias("whole"), C.json_number(F.col("v")).alias("json"), C.rounded_seconds(F.col("v") / 3).alias("seconds"))
+
+
 # texts and hashes
 
 @query("normalize_text", "SELECT doc_id, regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \\t\\n\\r]+', ' ', 'g') AS t FROM documents")

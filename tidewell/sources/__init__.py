@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 from collections import OrderedDict
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Versions, element types and kinds of media of the datasets.
 VERSIONS = ("v3.1", "v3.0", "v2.1", "v2.0")
 
 #: Declared element types and what they are read as; half floats and unsigned 64-bit numbers have no type of their own.
@@ -98,3 +100,15 @@ def read_episodes(spark: SparkSession, root: str, version: str) -> DataFrame:
 def read_runs(spark: SparkSession, workspace: str) -> DataFrame:
     """Run records, one JSON file each; a broken one becomes a row with ``_corrupt_record``."""
     return spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").option("pathGlobFilter", "run.json").json(f"{workspace}/runs")
+
+
+def ignored_columns(features: dict) -> list[str]:
+    """Numeric features of more than one dimension, which charts leave out."""
+    return [k for k, f in features.items() if f["dtype"] in TYPES and f["dtype"] != "string" and len(f.get("shape") or []) > 1]
+
+
+def size_and_cameras(info: dict) -> dict:
+    """Size of data and videos in MB, to one digit, and the cameras with height and width."""
+    size = (info.get("data_files_size_in_mb") or 0) + (info.get("video_files_size_in_mb") or 0)
+    cameras = [{"name": k, "height": f["shape"][0], "width": f["shape"][1]} for k, f in info.get("features", {}).items() if f.get("dtype") == "video" and len(f.get("shape", ())) >= 2]
+    return {"dataset_size_mb": math.floor(size * 10 + 0.5) / 10, "cameras": cameras}
