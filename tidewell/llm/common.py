@@ -141,6 +141,16 @@ def release() -> None:
             trim(0)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have every executor's JVM collect its garbage, and so give back what its heap has grown by.
+
+    A heap that a shuffle has grown to its bound stays there, full of garbage, beside the Python workers of later jobs.
+    The executors must be idle, so that each gets its share of one task a core.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to ``most`` at most, or of one row."""
     ends = np.cumsum(sizes)
